@@ -1,0 +1,5 @@
+"""Streaming: intentionally empty.
+
+The reference reads whole files only; it has no stream, watermark or
+stateful operator, so nothing is built here (see README, "Not built").
+"""
