@@ -57,7 +57,10 @@ def zscore_vector(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
 def fuse_views(df: DataFrame, views: dict[str, float], out: str = "features") -> DataFrame:
     """Concatenate array views, each multiplied by its weight
     (e.g. ``{"semantic": 0.3, "behavior": 1.0}``)."""
-    parts = [F.transform(F.col(c), lambda x, w=w: x * F.lit(float(w))) for c, w in views.items()]
+    def scaled(c, w):
+        return F.transform(F.col(c), lambda x: x * F.lit(float(w)))
+
+    parts = [scaled(c, w) for c, w in views.items()]
     return df.withColumn(out, F.concat(*parts))
 
 

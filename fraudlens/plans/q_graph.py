@@ -1 +1,156 @@
-"""placeholder"""
+"""Registered queries: kNN graphs, fusion, feature vectors
+and the rows-only clustering queries (G1b, G4, G5, G8, G9)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fraudlens.operators import features, graph
+from fraudlens.plans.registry import query
+from fraudlens.sources import adapters
+
+K = 50
+# Three views of the embeddings table: the two halves and the whole vector.
+VIEWS = {"half_a": (1, 32), "half_b": (33, 32), "full": (1, 64)}
+
+
+def embedding_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = adapters.load_table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", "label", *[F.slice("embedding", s, n).alias(v) for v, (s, n) in VIEWS.items()])
+
+
+def view_graphs(spark: SparkSession, sf_dir: str, k: int = K) -> dict[str, DataFrame]:
+    ev = embedding_views(spark, sf_dir)
+    return {v: graph.knn_graph(ev, "vec_id", v, k) for v in VIEWS}
+
+
+def n_vertices(spark, sf_dir) -> DataFrame:
+    return adapters.load_table(spark, sf_dir, "embeddings").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _dist_sql(view: str, start: int, length: int) -> str:
+    return f"""
+{view}_e AS (SELECT vec_id, CAST(x.v AS DOUBLE) AS v, x.i AS i
+  FROM (SELECT vec_id, unnest(embedding[{start}:{start + length - 1}]) AS v,
+               generate_subscripts(embedding[{start}:{start + length - 1}], 1) AS i FROM embeddings) x),
+{view}_d AS (SELECT a.vec_id AS src, b.vec_id AS dst, sum((a.v - b.v) * (a.v - b.v)) AS d2
+  FROM {view}_e a JOIN {view}_e b ON a.i = b.i AND a.vec_id <> b.vec_id GROUP BY a.vec_id, b.vec_id),
+{view}_g AS (SELECT src, dst, 1.0 AS weight, CAST(rn AS INTEGER) AS rank FROM (
+  SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY d2, dst) AS rn FROM {view}_d) WHERE rn <= {K})"""
+
+
+def _views_sql() -> str:
+    return "WITH " + ",".join(_dist_sql(v, s, n) for v, (s, n) in VIEWS.items()) + """,
+nv AS (SELECT count(*) AS n FROM embeddings),
+deg AS (
+  SELECT 'half_a' AS view, (SELECT sum(weight) FROM half_a_g) / (SELECT n FROM nv) AS mean_degree
+  UNION ALL SELECT 'half_b', (SELECT sum(weight) FROM half_b_g) / (SELECT n FROM nv)
+  UNION ALL SELECT 'full', (SELECT sum(weight) FROM full_g) / (SELECT n FROM nv)),
+vw AS (SELECT view, mean_degree, (1.0 / mean_degree) / (SELECT sum(1.0 / mean_degree) FROM deg) AS weight FROM deg),
+fused AS (
+  SELECT src, dst, sum(w * weight) AS weight FROM (
+    SELECT src, dst, weight, (SELECT weight FROM vw WHERE view = 'half_a') AS w FROM half_a_g
+    UNION ALL SELECT src, dst, weight, (SELECT weight FROM vw WHERE view = 'half_b') FROM half_b_g
+    UNION ALL SELECT src, dst, weight, (SELECT weight FROM vw WHERE view = 'full') FROM full_g)
+  GROUP BY src, dst)"""
+
+
+@query("knn_graph", "WITH " + _dist_sql("full", 1, 64) + "\nSELECT src, dst, weight, rank FROM full_g")
+def knn_graph(spark, sf_dir):
+    """G1 (J3, D4): exact 50-NN graph of the embeddings, self excluded."""
+    e = adapters.load_table(spark, sf_dir, "embeddings")
+    return graph.knn_graph(e, "vec_id", "embedding", K)
+
+
+@query("view_weights", _views_sql() + """
+SELECT view, round(mean_degree, 6) AS mean_degree, round(weight, 6) AS weight FROM vw""")
+def view_weights(spark, sf_dir):
+    """Inverse mean degree per view, normalised to sum 1."""
+    return graph.view_weights(view_graphs(spark, sf_dir), n_vertices(spark, sf_dir))
+
+
+def _fused(spark, sf_dir):
+    views = view_graphs(spark, sf_dir)
+    w = graph.view_weights(views, n_vertices(spark, sf_dir))
+    return graph.fuse_graphs(views, w)
+
+
+@query("fused_graph", _views_sql() + "\nSELECT src, dst, round(weight, 6) AS weight FROM fused")
+def fused_graph(spark, sf_dir):
+    """Weighted union of the three view graphs."""
+    return _fused(spark, sf_dir)
+
+
+@query("symmetric_graph", _views_sql() + """
+SELECT src, dst, round(sum(weight) / 2, 6) AS weight FROM (
+  SELECT src, dst, weight FROM fused UNION ALL SELECT dst AS src, src AS dst, weight FROM fused)
+GROUP BY src, dst""")
+def symmetric_graph(spark, sf_dir):
+    """(W + W^T) / 2 of the fused graph."""
+    return graph.symmetrize(_fused(spark, sf_dir))
+
+
+@query("mean_degree", _views_sql() + """
+SELECT round((SELECT sum(weight) FROM fused) / (SELECT n FROM nv), 6) AS mean_degree""")
+def mean_degree(spark, sf_dir):
+    """Mean weighted degree of the fused graph."""
+    return graph.mean_degree(_fused(spark, sf_dir), n_vertices(spark, sf_dir))
+
+
+# ---- vectors -----------------------------------------------------------------------
+
+@query("weighted_block", """
+SELECT vec_id, CAST(i AS INTEGER) - 1 AS slot, round(CAST(v AS DOUBLE) * 0.3, 6) AS value FROM (
+  SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings)""")
+def weighted_block(spark, sf_dir):
+    """A view block scaled by a constant (0.3, the semantic weight)."""
+    e = adapters.load_table(spark, sf_dir, "embeddings")
+    from fraudlens.functions.columns import scale_array
+    s = e.select("vec_id", scale_array(F.col("embedding").cast("array<double>"), 0.3).alias("v"))
+    return s.select("vec_id", F.posexplode("v").alias("slot", "value"))
+
+
+@query("array_ops", """
+SELECT vec_id, len(embedding) AS width,
+       CAST(len(list_filter(embedding, lambda x: x > 0)) AS INTEGER) AS n_positive,
+       round(CAST(list_sum(list_transform(list_filter(embedding, lambda x: x > 0), lambda x: CAST(x AS DOUBLE))) AS DOUBLE), 6)
+         AS sum_positive,
+       len(list_concat(embedding[1:32], embedding[33:64])) AS concat_width
+FROM embeddings""")
+def array_ops(spark, sf_dir):
+    """array slicing, concatenation, boolean masks."""
+    e = adapters.load_table(spark, sf_dir, "embeddings")
+    pos = F.filter(F.col("embedding"), lambda x: x > 0)
+    return e.select("vec_id", F.size("embedding").alias("width"), F.size(pos).alias("n_positive"),
+                    F.aggregate(pos, F.lit(0.0), lambda a, x: a + x.cast("double")).alias("sum_positive"),
+                    F.size(F.concat(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32))).alias("concat_width"))
+
+
+def _fused_vector_sql() -> str:
+    return """WITH
+e AS (SELECT vec_id, CAST(v AS DOUBLE) AS v, CAST(i AS INTEGER) - 1 AS slot FROM (
+        SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings)),
+se AS (SELECT slot, avg(v) AS m, stddev_pop(v) AS s FROM e GROUP BY slot),
+ze AS (SELECT e.vec_id, e.slot, 0.3 * (CASE WHEN s = 0 THEN v - m ELSE (v - m) / s END) AS value
+       FROM e JOIN se ON e.slot = se.slot),
+b AS (SELECT vec_id, 64 + CAST(i AS INTEGER) - 1 AS slot, CAST(v AS DOUBLE) AS v FROM (
+        SELECT vec_id, unnest([CAST(label AS DOUBLE), CAST(vec_id % 13 AS DOUBLE)]) AS v,
+               generate_subscripts([1, 2], 1) AS i FROM embeddings)),
+sb AS (SELECT slot, avg(v) AS m, stddev_pop(v) AS s FROM b GROUP BY slot),
+zb AS (SELECT b.vec_id, b.slot, CASE WHEN s = 0 THEN v - m ELSE (v - m) / s END AS value
+       FROM b JOIN sb ON b.slot = sb.slot)
+SELECT vec_id, slot, round(value, 6) AS value FROM ze UNION ALL SELECT vec_id, slot, round(value, 6) FROM zb"""
+
+
+@query("fused_vector", _fused_vector_sql())
+def fused_vector(spark, sf_dir):
+    """X4 (+X1 on vectors, P11, P12): [0.3 * z(semantic), 1.0 * z(behaviour)]
+    - here semantic = the 64-dim embedding and behaviour = two numeric
+    columns; long form (vec_id, slot, value)."""
+    e = adapters.load_table(spark, sf_dir, "embeddings")
+    e = e.select("vec_id", F.col("embedding").cast("array<double>").alias("sem"),
+                 F.array(F.col("label").cast("double"), (F.col("vec_id") % 13).cast("double")).alias("beh"))
+    z = features.zscore_vector(features.zscore_vector(e, "sem"), "beh")
+    f = features.fuse_views(z, {"sem": 0.3, "beh": 1.0})
+    return f.select("vec_id", F.posexplode("features").alias("slot", "value"))
