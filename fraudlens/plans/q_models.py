@@ -1 +1,159 @@
-"""placeholder"""
+"""Registered queries: classifiers (M1-M9), search (H1-H3), PCA.
+
+The model queries fit on the training part of the fused review matrix
+(documents adapter, whole table) and return validation probabilities
+``(id, label, prob)``. Tree and boosting budgets of these registered
+queries are one fixed point of the search space (stated per query); the
+search itself is ``param_search``.
+"""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.ml.functions import array_to_vector  # noqa: F401  (documented dependency)
+from pyspark.sql import functions as F
+
+from fraudlens.operators import evaluate, features, models, search
+from fraudlens.operators.sampling import train_val_split
+from fraudlens.plans import pipeline
+from fraudlens.plans.registry import query
+from fraudlens.session import checkpoint
+from fraudlens.sources import adapters
+
+
+_MATRICES: dict = {}
+
+
+def _matrix(spark, sf_dir):
+    """The fused review matrix, built once per session and folder and
+    checkpointed (shared checkpoint folder), then split."""
+    key = (id(spark), sf_dir)
+    if key not in _MATRICES:
+        _MATRICES[key] = checkpoint(pipeline.model_matrix(spark, sf_dir, "docs"))
+    return pipeline.split(_MATRICES[key])
+
+
+def _nb_sql() -> str:
+    return """WITH
+base AS (SELECT vec_id, CASE WHEN label >= 5 THEN 1 ELSE 0 END AS y, embedding FROM embeddings),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5(CAST(vec_id AS VARCHAR) || '|42'), vec_id) AS rn,
+                  ceil(0.2 * count(*) OVER (PARTITION BY y)) AS k FROM base),
+sp AS (SELECT vec_id, y, embedding, rn <= k AS is_val FROM ranked),
+lng AS (SELECT vec_id, y, is_val, CAST(i AS INTEGER) - 1 AS f, CAST(v AS DOUBLE) AS x FROM (
+          SELECT vec_id, y, is_val, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM sp)),
+tr AS (SELECT * FROM lng WHERE NOT is_val),
+eps AS (SELECT 1e-9 * max(v) AS e FROM (SELECT f, var_pop(x) AS v FROM tr GROUP BY f)),
+ntr AS (SELECT count(*) AS n FROM sp WHERE NOT is_val),
+prior AS (SELECT y, ln(CAST(count(*) AS DOUBLE) / (SELECT n FROM ntr)) AS lp FROM sp WHERE NOT is_val GROUP BY y),
+th AS (SELECT y, f, avg(x) AS m, var_pop(x) + (SELECT e FROM eps) AS v FROM tr GROUP BY y, f),
+jll AS (SELECT l.vec_id, l.y AS label, th.y AS c,
+               sum(-0.5 * ln(2 * pi() * th.v) - 0.5 * (l.x - th.m) * (l.x - th.m) / th.v) AS s
+        FROM lng l JOIN th ON l.f = th.f WHERE l.is_val GROUP BY l.vec_id, l.y, th.y),
+j2 AS (SELECT jll.vec_id, jll.label, jll.c, jll.s + p.lp AS j FROM jll JOIN prior p ON jll.c = p.y)
+SELECT vec_id AS id, label,
+       round(1.0 / (1.0 + exp(max(j) FILTER (WHERE c = 0) - max(j) FILTER (WHERE c = 1))), 6) AS prob
+FROM j2 GROUP BY vec_id, label"""
+
+
+@query("gaussian_nb", _nb_sql())
+def gaussian_nb(spark, sf_dir):
+    """M7: Gaussian naive Bayes (var_smoothing 1e-9) on the 64-dim
+    embeddings, label = (class >= 5), stratified 80/20 split."""
+    e = adapters.load_table(spark, sf_dir, "embeddings")
+    m = e.select(F.col("vec_id").alias("id"), (F.col("label") >= 5).cast("int").alias("label"),
+                 F.col("embedding").cast("array<double>").alias("features"))
+    s = train_val_split(m, "label", 0.2, seed=42, id_col="id")
+    tr, va = s.where(~F.col("is_val")).drop("is_val"), s.where(F.col("is_val")).drop("is_val")
+    return models.fit_gaussian_nb(tr, va, 1e-9)
+
+
+@query("fit_logreg")
+def fit_logreg(spark, sf_dir):
+    """M2: logistic regression, C = 1, L2, balanced weights, 2000 iterations."""
+    tr, va = _matrix(spark, sf_dir)
+    return models.fit_logreg(tr, va, C=1.0, penalty="l2", class_weight="balanced")
+
+
+@query("fit_gbt")
+def fit_gbt(spark, sf_dir):
+    """M1: boosted trees, 50 rounds, depth 4, learning rate 0.1, positive
+    weight neg/pos (A10)."""
+    tr, va = _matrix(spark, sf_dir)
+    ratio = tr.agg(F.try_divide(F.count_if(F.col("label") == 0).cast("double"),
+                                F.count_if(F.col("label") == 1).cast("double"))).first()[0]
+    return models.fit_gbt(tr, va, n_estimators=50, max_depth=4, learning_rate=0.1, subsample=0.8,
+                          colsample=0.8, scale_pos_weight=ratio)
+
+
+@query("fit_svm")
+def fit_svm(spark, sf_dir):
+    """M3: rbf kernel via 256 random Fourier features + linear SVM + Platt."""
+    tr, va = _matrix(spark, sf_dir)
+    return models.fit_svm(tr, va, kernel="rbf", C=1.0, class_weight="balanced")
+
+
+@query("fit_mlp")
+def fit_mlp(spark, sf_dir):
+    """M4: perceptron with one hidden layer of 64, l-bfgs."""
+    tr, va = _matrix(spark, sf_dir)
+    return models.fit_mlp(tr, va, hidden=(64,), solver="lbfgs", max_iter=100)
+
+
+@query("fit_tree")
+def fit_tree(spark, sf_dir):
+    """M5: decision tree, entropy, depth 6, balanced weights."""
+    tr, va = _matrix(spark, sf_dir)
+    return models.fit_tree(tr, va, criterion="entropy", max_depth=6, min_samples_leaf=2,
+                           class_weight="balanced")
+
+
+@query("fit_forest")
+def fit_forest(spark, sf_dir):
+    """M6: random forest, 100 trees, depth 8, sqrt features."""
+    tr, va = _matrix(spark, sf_dir)
+    return models.fit_forest(tr, va, n_estimators=100, max_depth=8, max_features="sqrt",
+                             class_weight="balanced")
+
+
+@query("fit_stacking")
+def fit_stacking(spark, sf_dir):
+    """M8: stacking of svm, dt, rf, gbt, nb, mlp with a logistic meta-model
+    (5 stratified folds; base budgets reduced: 20 trees / 20 rounds)."""
+    tr, va = _matrix(spark, sf_dir)
+    params = {"rf": {"n_estimators": 20, "max_depth": 6}, "gbt": {"n_estimators": 20, "max_depth": 3},
+              "mlp": {"hidden": (32,), "max_iter": 50}, "dt": {"max_depth": 5}}
+    return models.fit_stacking(tr, va, params, n_folds=5)
+
+
+@query("param_search")
+def param_search(spark, sf_dir):
+    """H1-H3: ten seeded trials of the naive-Bayes and logistic-regression
+    spaces, scored by validation AUC; the trial table with the best trial
+    of each study flagged."""
+    tr, va = _matrix(spark, sf_dir)
+
+    def objective(fit):
+        def f(p):
+            pred = fit(tr, va, **p)
+            return evaluate.roc_auc(pred).first()["roc_auc"] or 0.0
+        return f
+
+    t_nb = search.run_search(spark, "nb", objective(models.fit_gaussian_nb), search.sample_params("nb", 10, 1))
+    t_lr = search.run_search(spark, "lr", objective(models.fit_logreg), search.sample_params("lr", 10, 2))
+    trials = t_nb.unionByName(t_lr)
+    best = search.best_trial(trials).select("model", F.col("trial").alias("_bt"))
+    return trials.join(best, "model").withColumn("is_best", F.col("trial") == F.col("_bt")).drop("_bt")
+
+
+@query("pca_train_val")
+def pca_train_val(spark, sf_dir):
+    """PCA to 10 dims fit on the training rows (centred with their
+    mean) and applied to the validation rows."""
+    tr, va = _matrix(spark, sf_dir)
+    p = features.pca_fit_transform(va, "features", 10, out="pca", fit_on=tr)
+    return p.select("id", "label", "pca")
+
+
+def _json(o):  # pragma: no cover - helper for notebooks
+    return json.dumps(o, sort_keys=True, default=str)

@@ -1 +1,43 @@
-"""placeholder"""
+"""Registered queries: text (E1-E5) and sinks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fraudlens.operators import text
+from fraudlens.plans.registry import query
+from fraudlens.sources import adapters
+
+
+@query("token_ids", f"""
+SELECT doc_id, CAST(i AS INTEGER) - 1 AS pos,
+       (CAST(('0x' || substring(md5(tok), 1, 8)) AS BIGINT) % {text.DEFAULT_VOCAB}) + 1 AS token_id
+FROM (SELECT doc_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i FROM (
+        SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS toks FROM documents))""")
+def token_ids(spark, sf_dir):
+    """Hashed token ids of every whole document, long form (doc, pos, id)."""
+    d = adapters.load_table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.posexplode(text.token_ids("text")).alias("pos", "token_id"))
+
+
+@query("embed_semantic")
+def embed_semantic(spark, sf_dir):
+    """E3 (E2, U2): 64-dim semantic vector of every document (hashed
+    TF-IDF, L2, seeded projection)."""
+    d = adapters.load_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return text.semantic_embedding(d, "text", dim=64).select("doc_id", "semantic")
+
+
+@query("embed_ngram_cnn")
+def embed_ngram_cnn(spark, sf_dir):
+    """E4 (U3): 300-dim n-gram CNN vector of every labelled review text."""
+    r = adapters.reviews_docs(spark, sf_dir).select("review_id", "Review")
+    return text.cnn_embedding(r, "Review").select("review_id", "cnn")
+
+
+@query("projection_2d")
+def projection_2d(spark, sf_dir):
+    """E5: 2-D principal-component projection of the embeddings with labels."""
+    e = adapters.load_table(spark, sf_dir, "embeddings")
+    e = e.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    return text.projection_2d(e, "vec_id", "v", "label")
