@@ -57,7 +57,12 @@ def minmax_scale(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def narrow_reviews(reviews: DataFrame) -> DataFrame:
-    """B1, B2 at the scan; the text column itself is dropped here."""
+    """B1, B2 at the scan; the text column itself is dropped here. A table
+    that already carries ``review_len``/``word_count``/``_has_text`` (text
+    measured once per document upstream) is passed through."""
+    if "review_len" in reviews.columns:
+        return reviews.select("review_id", "user_id", "prod_id", "date", "rating", "label",
+                              "review_len", "word_count", "_has_text")
     return reviews.select(
         "review_id", "user_id", "prod_id", "date", "rating", "label",
         text_length("Review").alias("review_len"),

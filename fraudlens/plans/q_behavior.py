@@ -54,7 +54,8 @@ SELECT review_id, length(Review) AS review_len,
 FROM reviews_orders""")
 def text_stats(spark, sf_dir):
     """B1, B2 (F1, F2): characters and whitespace tokens of every whole text."""
-    return behavior.text_stats(adapters.reviews_orders(spark, sf_dir))
+    r = adapters.reviews_orders(spark, sf_dir, text_stats=True)
+    return r.select("review_id", "review_len", "word_count")
 
 
 @query("user_profile", f"""
@@ -64,7 +65,7 @@ SELECT user_id, count(Review) AS user_review_count, round(avg(rating), 6) AS use
 FROM joined WHERE user_id IS NOT NULL GROUP BY user_id""")
 def user_profile(spark, sf_dir):
     """B7-B9 (A2-A4): per-user count of texts, mean and sample variance of ratings."""
-    n = behavior.narrow_reviews(joined_orders(spark, sf_dir))
+    n = behavior.narrow_reviews(joined_orders(spark, sf_dir, text_stats=True))
     return n.where(F.col("user_id").isNotNull()).groupBy("user_id").agg(*behavior.user_profile_aggs())
 
 
@@ -94,7 +95,7 @@ SELECT review_id, prod_target_count, round(rating_dev, 6) AS rating_dev,
        round(prod_rating_var, 6) AS prod_rating_var FROM feat""")
 def product_profile(spark, sf_dir):
     """B5, B6, B13 (J2): per-product count, deviation from product mean, variance."""
-    n = behavior.narrow_reviews(joined_orders(spark, sf_dir))
+    n = behavior.narrow_reviews(joined_orders(spark, sf_dir, text_stats=True))
     out = prep.aggregate_back(n, ["prod_id"], behavior.product_aggs())
     return out.select("review_id", "prod_target_count",
                       F.abs(F.col("rating") - F.col("_prod_mean")).alias("rating_dev"),
@@ -106,7 +107,7 @@ def product_profile(spark, sf_dir):
 SELECT review_id, user_prod_review_count FROM feat""")
 def user_product_count(spark, sf_dir):
     """B14 (A6): reviews by the same user of the same product."""
-    n = behavior.narrow_reviews(joined_orders(spark, sf_dir))
+    n = behavior.narrow_reviews(joined_orders(spark, sf_dir, text_stats=True))
     out = prep.aggregate_back(n, ["user_id", "prod_id"],
                               [F.count_if(F.col("_has_text")).alias("user_prod_review_count")])
     return out.select("review_id", "user_prod_review_count")
@@ -116,7 +117,7 @@ def user_product_count(spark, sf_dir):
 SELECT review_id, user_id, prod_id, label, {feat_select()} FROM feat""")
 def behavior_features(spark, sf_dir):
     """The 14 behavioural features of every joined review."""
-    return behavior.behavior_features(joined_orders(spark, sf_dir))
+    return behavior.behavior_features(joined_orders(spark, sf_dir, text_stats=True))
 
 
 def _zscore_sql(base_sql: str) -> str:
@@ -132,7 +133,7 @@ SELECT review_id, label, {z} FROM feat, st"""
 @query("zscore_features", _zscore_sql(_ORDER_FEATS))
 def zscore_features(spark, sf_dir):
     """Z-score of the 14 features with the population std (constant -> 0)."""
-    f = behavior.behavior_features(joined_orders(spark, sf_dir))
+    f = behavior.behavior_features(joined_orders(spark, sf_dir, text_stats=True))
     return features.zscore_columns(f, behavior.BEHAVIOR_COLUMNS).select("review_id", "label",
                                                                         *behavior.BEHAVIOR_COLUMNS)
 

@@ -13,9 +13,12 @@ from fraudlens.plans.sql import J1, ORDERS, ORDERS_NOTEXT
 from fraudlens.sources import adapters, sinks
 
 
-def joined_orders(spark: SparkSession, sf_dir: str, with_text: bool = True) -> DataFrame:
-    """J1 over the orders adapter: content LEFT JOIN metadata."""
-    reviews = adapters.reviews_orders(spark, sf_dir, with_text=with_text)
+def joined_orders(spark: SparkSession, sf_dir: str, with_text: bool = True,
+                  text_stats: bool = False) -> DataFrame:
+    """J1 over the orders adapter: content LEFT JOIN metadata. With
+    ``text_stats`` the content carries per-document text statistics
+    instead of the text itself."""
+    reviews = adapters.reviews_orders(spark, sf_dir, with_text=with_text, text_stats=text_stats)
     content, meta = adapters.split_content_meta(reviews)
     return prep.left_join_reviews(content, meta)
 

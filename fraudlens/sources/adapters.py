@@ -18,7 +18,8 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def reviews_orders(spark: SparkSession, sf_dir: str, with_text: bool = True) -> DataFrame:
+def reviews_orders(spark: SparkSession, sf_dir: str, with_text: bool = True,
+                   text_stats: bool = False) -> DataFrame:
     """One review per order.
 
     user = customer, product = smallest part key of the order's line items
@@ -46,6 +47,15 @@ def reviews_orders(spark: SparkSession, sf_dir: str, with_text: bool = True) ->
     n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))
     keyed = (base.crossJoin(F.broadcast(n_docs))
              .withColumn("doc_key", F.col("review_id") % F.col("n_docs")))
+    if text_stats:
+        # Many reviews share one document: measure each text once (B1, B2)
+        # and join only the numbers, so no text is copied by the fan-out.
+        from fraudlens.functions.columns import text_length, word_count
+        stats = docs.select("doc_id", text_length("text").alias("review_len"),
+                            word_count("text").alias("word_count"))
+        out = keyed.join(stats, keyed.doc_key == stats.doc_id, "left")
+        return out.select(*[c for c in REVIEW_COLUMNS if c != "Review"], "review_len", "word_count",
+                          F.col("doc_id").isNotNull().alias("_has_text"))
     out = keyed.join(docs, keyed.doc_key == docs.doc_id, "left")
     return out.select(*[F.col("text").alias("Review") if c == "Review" else F.col(c)
                         for c in REVIEW_COLUMNS])
@@ -91,10 +101,11 @@ def reviews_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def split_content_meta(reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cut a review table into the two files of the reference layout.
 
-    content = (review_id, user_id, prod_id, date, Review)
+    content = every column but rating and label (review_id, user_id, prod_id,
+              date, Review - or precomputed text statistics)
     metadata = (meta_id, user_id, prod_id, rating, label, date)
     """
-    content = reviews.select("review_id", "user_id", "prod_id", "date", "Review")
+    content = reviews.select(*[c for c in reviews.columns if c not in ("rating", "label")])
     meta = reviews.select(F.col("review_id").alias("meta_id"), "user_id", "prod_id",
                           "rating", "label", "date")
     return content, meta
