@@ -136,7 +136,7 @@ def param_search(spark, sf_dir):
     def objective(fit):
         def f(p):
             pred = fit(tr, va, **p)
-            return evaluate.roc_auc(pred).first()["roc_auc"] or 0.0
+            return evaluate.roc_auc(pred, score_col="prob").first()["roc_auc"] or 0.0
         return f
 
     t_nb = search.run_search(spark, "nb", objective(models.fit_gaussian_nb), search.sample_params("nb", 10, 1))
