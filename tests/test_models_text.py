@@ -48,3 +48,26 @@ def test_tsv_round_trip(spark, tmp_path):
     m = read_metadata(spark, str(tmp_path / "m")).first()
     assert (m.rating, m.label) == (5.0, -1)
     assert read_graph(spark, str(tmp_path / "g")).first().Rating == 4.0
+
+
+def test_batch_encode_plug(spark):
+    """A user encoder loaded once per worker, fed Arrow batches."""
+    def make_predict_fn():
+        def predict(texts):
+            return np.array([[float(len(t)), float(t.count(" "))] for t in texts], dtype=np.float32)
+        return predict
+
+    df = spark.createDataFrame([(1, "a b c"), (2, "hello")], "id long, t string")
+    out = {r.id: r.embedding for r in text.batch_encode(df, "t", make_predict_fn, 2, batch_size=1).collect()}
+    assert out[1] == [5.0, 2.0] and out[2] == [5.0, 0.0]
+
+
+def test_sinks_round_trip(spark, tmp_path):
+    from fraudlens.sources import write_embeddings, write_feature_matrix
+    df = spark.createDataFrame([(1, 0, [0.5, 1.5]), (2, 1, [2.0, -1.0])], "review_id long, label int, features array<double>")
+    write_embeddings(df, str(tmp_path / "e_csv"), fmt="csv", vector_col="features")
+    back = spark.read.option("header", "true").csv(str(tmp_path / "e_csv"))
+    assert back.count() == 2 and "features" in back.columns
+    write_feature_matrix(df, str(tmp_path / "m"), width=2)
+    m = spark.read.parquet(str(tmp_path / "m")).orderBy("review_id").collect()
+    assert m[1]["0"] == 2.0 and m[1]["1"] == -1.0 and m[1].label == 1
