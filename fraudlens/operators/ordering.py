@@ -6,10 +6,12 @@ task. The helpers below split by *range* instead:
 
 1. ``repartitionByRange(n, key, order...)`` cuts the ordered key space into
    ``n`` slices of about equal size (a hot key spans several slices);
-2. per-(key, slice) totals form a small table (rows ~ keys + slices);
-3. a window over that small table gives each slice its carry-in
-   (offset, previous row);
-4. the row-level window runs per (key, slice), so no task holds more than
+2. a key that continues across a slice boundary is, by construction, the
+   key that ends the previous slice; so a carry table with one row per
+   slice (the last key and its running totals / last value) gives every
+   slice its carry-in; it is broadcast and joined on the slice number
+   alone (the big side is not reshuffled for it);
+3. the row-level window runs per (key, slice), so no task holds more than
    about 1/n of the data.
 
 Slices are contiguous ranges of the sort order, so adaptive coalescing of
@@ -57,6 +59,29 @@ def _sliced(df: DataFrame, part_cols: list[str], order_cols: list[str], n: int |
     return checkpoint(sliced, eager=True)
 
 
+def _key(part_cols: list[str]):
+    return F.struct(*[F.col(c) for c in part_cols]) if part_cols else F.lit(0)
+
+
+def _carry_sums(r: DataFrame, part_cols: list[str], sum_exprs: dict) -> DataFrame:
+    """Per slice: the key that ends the previous non-empty slice and that
+    key's running totals over all earlier slices. One row per slice, so it
+    is broadcast and joined on the slice number alone.
+
+    Sound because slices are contiguous ranges of (key, order): rows of a
+    key that began before slice s are exactly the tail of slice s-1 and
+    possibly whole single-key slices before it."""
+    key = _key(part_cols)
+    per_key = r.groupBy(SLICE, key.alias("_k")).agg(*[e.alias(n) for n, e in sum_exprs.items()])
+    last = per_key.groupBy(SLICE).agg(
+        F.max_by(F.struct(F.col("_k"), *[F.col(n) for n in sum_exprs]), F.col("_k")).alias("_last"))
+    last = last.select(SLICE, F.col("_last._k").alias("_lk"), *[F.col(f"_last.{n}").alias(n) for n in sum_exprs])
+    run = Window.partitionBy("_lk").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, 0)
+    cum = last.select(SLICE, "_lk", *[F.sum(n).over(run).alias(n) for n in sum_exprs])
+    prev = Window.orderBy(SLICE)  # <= n_slices rows
+    return cum.select(SLICE, F.lag(F.struct("_lk", *sum_exprs)).over(prev).alias("_carry"))
+
+
 def ordered_rank(df: DataFrame, part_cols: list[str], order_cols: list[str],
                  rank_col: str = "_rank", n_slices: int | None = None) -> DataFrame:
     """``row_number() over (partition by part_cols order by order_cols)``,
@@ -64,31 +89,33 @@ def ordered_rank(df: DataFrame, part_cols: list[str], order_cols: list[str],
 
     ``order_cols`` must give a total order (end with a unique id)."""
     r = _sliced(df, part_cols, order_cols, n_slices)
-    counts = r.groupBy(*part_cols, SLICE).agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy(*part_cols).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*part_cols, SLICE,
-                            F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
-    j = _null_safe_join(r, offsets, part_cols + [SLICE])
+    carry = _carry_sums(r, part_cols, {"_n": F.count(F.lit(1))})
+    j = r.join(F.broadcast(carry), SLICE, "left")
+    same = F.col("_carry").isNotNull() & _key(part_cols).eqNullSafe(F.col("_carry._lk"))
+    off = F.when(same, F.col("_carry._n")).otherwise(F.lit(0))
     w = Window.partitionBy(*part_cols, SLICE).orderBy(*[F.col(c).asc_nulls_first() for c in order_cols])
-    return j.withColumn(rank_col, F.col("_off") + F.row_number().over(w)).drop(SLICE, "_off")
+    return j.withColumn(rank_col, off + F.row_number().over(w)).drop(SLICE, "_carry")
 
 
 def previous_value(df: DataFrame, part_cols: list[str], order_cols: list[str],
                    value_col: str, out_col: str, n_slices: int | None = None) -> DataFrame:
     """``lag(value_col) over (partition by part_cols order by order_cols)``.
 
-    The first row of every slice takes the last value of the same key in
-    the nearest earlier slice (a carry table of one row per key and slice).
-    """
+    The first row of a key in a slice takes the last row of the previous
+    non-empty slice when that row has the same key (a key that continues
+    across a slice boundary ends the previous slice). The carry table has
+    one row per slice and is broadcast; the row-level window runs per
+    (key, slice)."""
     r = _sliced(df, part_cols, order_cols, n_slices)
-    ordkey = F.struct(*[F.col(c) for c in order_cols])
-    last = r.groupBy(*part_cols, SLICE).agg(F.max_by(F.col(value_col), ordkey).alias("_last"))
-    w_small = Window.partitionBy(*part_cols).orderBy(SLICE)
-    carry = last.select(*part_cols, SLICE, F.lag("_last").over(w_small).alias("_carry"))
-    j = _null_safe_join(r, carry, part_cols + [SLICE], "left")
+    full = F.struct(*[F.col(c) for c in part_cols + order_cols])
+    last = r.groupBy(SLICE).agg(
+        F.max_by(F.struct(_key(part_cols).alias("k"), F.col(value_col).alias("v")), full).alias("_l"))
+    carry = last.select(SLICE, F.lag("_l").over(Window.orderBy(SLICE)).alias("_carry"))  # <= n_slices rows
+    j = r.join(F.broadcast(carry), SLICE, "left")
     w = Window.partitionBy(*part_cols, SLICE).orderBy(*[F.col(c).asc_nulls_first() for c in order_cols])
+    same = F.col("_carry").isNotNull() & _key(part_cols).eqNullSafe(F.col("_carry.k"))
     first_in_slice = F.row_number().over(w) == 1
-    prev = F.when(first_in_slice, F.col("_carry")).otherwise(F.lag(value_col).over(w))
+    prev = F.when(first_in_slice, F.when(same, F.col("_carry.v"))).otherwise(F.lag(value_col).over(w))
     return j.withColumn(out_col, prev).drop(SLICE, "_carry")
 
 
@@ -97,21 +124,19 @@ def prefix_sums(df: DataFrame, part_cols: list[str], order_cols: list[str], sum_
                 n_slices: int | None = None) -> DataFrame:
     """Running sums of ``sum_cols`` per ``part_cols`` group along
     ``order_cols``, without moving a group into one partition (range slices
-    + per-slice offsets from a small per-(group, slice) table)."""
+    + the per-slice carry of ``_carry_sums``)."""
     r = _sliced(df, part_cols, order_cols, n_slices)
-    tot = r.groupBy(*part_cols, SLICE).agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
-    before = Window.partitionBy(*part_cols).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select(*part_cols, SLICE,
-                      *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}")
-                        for c in sum_cols])
-    j = _null_safe_join(r, offs, part_cols + [SLICE])
+    carry = _carry_sums(r, part_cols, {f"_t_{c}": F.sum(c) for c in sum_cols})
+    j = r.join(F.broadcast(carry), SLICE, "left")
+    same = F.col("_carry").isNotNull() & _key(part_cols).eqNullSafe(F.col("_carry._lk"))
     frame_end = 0 if inclusive else -1
     w = (Window.partitionBy(*part_cols, SLICE).orderBy(*[F.col(c).asc_nulls_first() for c in order_cols])
          .rowsBetween(Window.unboundedPreceding, frame_end))
     out = j
     for c in sum_cols:
-        out = out.withColumn(c + suffix, F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(w), F.lit(0)))
-    return out.drop(SLICE, *[f"_o_{c}" for c in sum_cols])
+        off = F.when(same, F.col(f"_carry._t_{c}")).otherwise(F.lit(0))
+        out = out.withColumn(c + suffix, off + F.coalesce(F.sum(c).over(w), F.lit(0)))
+    return out.drop(SLICE, "_carry")
 
 
 def hash_order(id_col: str | Column, seed: int) -> Column:
