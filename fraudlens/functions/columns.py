@@ -5,7 +5,7 @@ All are built-in Spark expressions, so they stay inside whole-stage codegen.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---- fixed values (must equal the reference) -------------------------------
@@ -120,3 +120,12 @@ def entropy_term(p) -> Column:
     """-p ln p for p > 0 (zero probabilities are left out)."""
     pc = _c(p)
     return F.when(pc > 0, -pc * F.ln(pc))
+
+
+def with_scalar(df: DataFrame, name: str, one_row: DataFrame) -> DataFrame:
+    """Attach a one-row, one-column aggregate (usually a struct of
+    statistics) to every row as column ``name``: one uncorrelated scalar
+    subquery, computed once - no join, nothing collected. Later
+    expressions read its fields as ``F.col(name + ".field")``, also inside
+    higher-order functions, where a subquery itself is not allowed."""
+    return df.withColumn(name, one_row.scalar())

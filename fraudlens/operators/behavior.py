@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fraudlens.functions.columns import entropy_term, label_name, seconds_between, text_length, word_count
+from fraudlens.functions.columns import (entropy_term, label_name, seconds_between, text_length,
+                                         with_scalar, word_count)
 from fraudlens.operators.ordering import ordered_rank, previous_value
 from fraudlens.operators.prep import aggregate_back
 
@@ -45,15 +46,14 @@ def time_gap(df: DataFrame, by: str, out: str, ts_col: str = "date", id_col: str
 
 def minmax_scale(df: DataFrame, cols: list[str]) -> DataFrame:
     """``(x - min) / (max - min)`` over the whole table. max == min
-    gives NULL, then 0 (T7). Bounds are one row, broadcast."""
-    bounds = df.agg(*[F.min(c).alias(f"_mn_{c}") for c in cols],
-                    *[F.max(c).alias(f"_mx_{c}") for c in cols])
-    j = df.crossJoin(F.broadcast(bounds))
+    gives NULL, then 0 (T7). The bounds are one partially aggregated row,
+    used as a scalar subquery (no join)."""
+    out = with_scalar(df, "_b", df.agg(F.struct(*[F.min(c).alias(f"mn_{c}") for c in cols],
+                                                  *[F.max(c).alias(f"mx_{c}") for c in cols])))
     for c in cols:
-        j = j.withColumn(c, F.coalesce(F.try_divide(F.col(c) - F.col(f"_mn_{c}"),
-                                                    F.col(f"_mx_{c}") - F.col(f"_mn_{c}")),
-                                       F.lit(0.0)))
-    return j.drop(*[f"_mn_{c}" for c in cols], *[f"_mx_{c}" for c in cols])
+        mn, mx = F.col(f"_b.mn_{c}"), F.col(f"_b.mx_{c}")
+        out = out.withColumn(c, F.coalesce(F.try_divide(F.col(c) - mn, mx - mn), F.lit(0.0)))
+    return out.drop("_b")
 
 
 def narrow_reviews(reviews: DataFrame) -> DataFrame:

@@ -51,9 +51,8 @@ def second_eigenvector(edges: DataFrame, max_steps: int = 40, tol: float = 1e-6,
     # materialise the graph once: degrees and the normalised edges both read it
     edges = checkpoint(edges.select("src", "dst", "weight"))
     deg = edges.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("_d"))
-    tot = deg.agg(F.sum("_d").alias("_dt"))
-    verts = checkpoint(deg.crossJoin(tot).select(
-        "id", F.sqrt("_d").alias("sd"), (F.sqrt("_d") / F.sqrt("_dt")).alias("u1")))
+    tot = deg.agg(F.sum("_d")).scalar()
+    verts = checkpoint(deg.select("id", F.sqrt("_d").alias("sd"), (F.sqrt("_d") / F.sqrt(tot)).alias("u1")))
     sd = verts.select("id", "sd")
     a = (edges.join(sd.select(F.col("id").alias("src"), F.col("sd").alias("_s1")), "src")
               .join(sd.select(F.col("id").alias("dst"), F.col("sd").alias("_s2")), "dst")

@@ -128,7 +128,9 @@ def metrics_at_best_threshold(scored: DataFrame, label_col: str = "label", score
                     ((tp + tn).cast("double") / (tp + fp + tn + fn).cast("double")).alias("accuracy"),
                     "balanced_accuracy", _f1(tp, fp, fn).alias("f1"))
     auc = roc_auc(scored, label_col, score_col, keys).select(*keys, "roc_auc")
-    return m.join(auc, keys) if keys else m.crossJoin(auc)
+    if keys:
+        return m.join(auc, keys)
+    return m.withColumn("roc_auc", auc.scalar())  # both sides are one row
 
 
 def metrics_at(scored: DataFrame, threshold: float, label_col: str = "label",
@@ -166,9 +168,8 @@ def adjusted_rand_index(df: DataFrame, truth_col: str = "label", pred_col: str =
     rows = c.groupBy("t").agg(F.sum("n").alias("a"))
     cols = c.groupBy("p").agg(F.sum("n").alias("b"))
     s = c.agg(F.sum("n").alias("n_tot"), F.sum(F.col("n") * F.col("n")).alias("ss"))
-    sa = rows.agg(F.sum(F.col("a") * F.col("a")).alias("sa"))
-    sb = cols.agg(F.sum(F.col("b") * F.col("b")).alias("sb"))
-    t = s.crossJoin(sa).crossJoin(sb)  # three one-row tables
+    t = s.select("n_tot", "ss", rows.agg(F.sum(F.col("a") * F.col("a"))).scalar().alias("sa"),
+                 cols.agg(F.sum(F.col("b") * F.col("b"))).scalar().alias("sb"))
     tp = F.col("ss") - F.col("n_tot")
     fp = F.col("sb") - F.col("ss")
     fn = F.col("sa") - F.col("ss")
@@ -182,17 +183,17 @@ def normalized_mutual_info(df: DataFrame, truth_col: str = "label", pred_col: st
     """NMI with the arithmetic-mean normaliser, natural log. Both
     labellings constant -> 1.0; zero mutual information -> 0.0."""
     c = contingency(df, truth_col, pred_col)
-    n_tot = c.agg(F.sum("n").alias("n_tot"))
+    n_tot = c.agg(F.sum("n")).scalar()
     rows = c.groupBy("t").agg(F.sum("n").alias("a"))
     cols = c.groupBy("p").agg(F.sum("n").alias("b"))
-    cj = c.join(rows, "t").join(cols, "p").crossJoin(n_tot)
-    mi = cj.agg(F.sum(F.col("n") / F.col("n_tot") *
-                      F.ln(F.col("n_tot") * F.col("n") / (F.col("a") * F.col("b")))).alias("mi"))
-    hu = rows.crossJoin(n_tot).agg(F.sum(entropy_term(F.col("a") / F.col("n_tot"))).alias("hu"),
-                                   F.count(F.lit(1)).alias("ku"))
-    hv = cols.crossJoin(n_tot).agg(F.sum(entropy_term(F.col("b") / F.col("n_tot"))).alias("hv"),
-                                   F.count(F.lit(1)).alias("kv"))
-    t = mi.crossJoin(hu).crossJoin(hv)
+    cj = c.join(rows, "t").join(cols, "p")
+    mi = (cj.select((F.col("n") / n_tot * F.ln(n_tot * F.col("n") / (F.col("a") * F.col("b")))).alias("_mi"))
+            .agg(F.sum("_mi").alias("mi")))
+    hu = (rows.select(entropy_term(F.col("a") / n_tot).alias("_h"))
+              .agg(F.struct(F.sum("_h").alias("h"), F.count(F.lit(1)).alias("k")))).scalar()
+    hv = (cols.select(entropy_term(F.col("b") / n_tot).alias("_h"))
+              .agg(F.struct(F.sum("_h").alias("h"), F.count(F.lit(1)).alias("k")))).scalar()
+    t = mi.select("mi", hu["h"].alias("hu"), hu["k"].alias("ku"), hv["h"].alias("hv"), hv["k"].alias("kv"))
     mi_c = F.greatest(F.col("mi"), F.lit(0.0))
     nmi = (F.when((F.col("ku") == 1) & (F.col("kv") == 1), F.lit(1.0))
              .when(mi_c <= 1e-15, F.lit(0.0))

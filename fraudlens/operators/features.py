@@ -1,8 +1,8 @@
 """Feature transforms (X1-X4) and matrix assembly.
 
 Statistics are always one small row (means / population stds, or a k x d
-PCA basis) computed by a partial aggregate and joined back with a
-broadcast; the vectors themselves are never collected.
+PCA basis) computed by a partial aggregate and used as a scalar
+subquery; the vectors themselves are never collected.
 """
 
 from __future__ import annotations
@@ -13,20 +13,19 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fraudlens.functions.columns import fill_zero
+from fraudlens.functions.columns import fill_zero, with_scalar
 
 
 def zscore_columns(df: DataFrame, cols: list[str]) -> DataFrame:
     """X1 on scalar columns: ``(x - mean) / std_pop``; a constant column
     gives ``x - mean`` (= 0), as a scaler with unit fallback scale does.
     NULLs stay NULL (ignored by the statistics)."""
-    stats = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in cols],
-                   *[F.stddev_pop(c).alias(f"_s_{c}") for c in cols])
-    j = df.crossJoin(F.broadcast(stats))  # one row
+    out = with_scalar(df, "_st", df.agg(F.struct(*[F.avg(c).alias(f"m_{c}") for c in cols],
+                                                   *[F.stddev_pop(c).alias(f"s_{c}") for c in cols])))
     for c in cols:
-        m, s = F.col(f"_m_{c}"), F.col(f"_s_{c}")
-        j = j.withColumn(c, F.when(s == 0, F.col(c) - m).otherwise((F.col(c) - m) / s))
-    return j.drop(*[f"_m_{c}" for c in cols], *[f"_s_{c}" for c in cols])
+        m, s = F.col(f"_st.m_{c}"), F.col(f"_st.s_{c}")
+        out = out.withColumn(c, F.when(s == 0, F.col(c) - m).otherwise((F.col(c) - m) / s))
+    return out.drop("_st")
 
 
 def assemble(df: DataFrame, cols: list[str], out: str = "features", fill_null: bool = True) -> DataFrame:
@@ -41,17 +40,18 @@ def zscore_vector(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
 
     Means and variances come from ``Summarizer`` (one JVM aggregate with
     partial merge); Spark's variance is the sample one, so it is rescaled
-    by (n-1)/n. The width-d statistics row is broadcast."""
+    by (n-1)/n. The width-d statistics row is a scalar subquery."""
     out = out or col
     v = df.withColumn("_v", array_to_vector(F.col(col)))
     st = v.select(Summarizer.metrics("mean", "variance", "count").summary(F.col("_v")).alias("s")) \
-          .select(vector_to_array("s.mean").alias("_mean"), vector_to_array("s.variance").alias("_var"),
-                  F.col("s.count").alias("_n"))
-    j = df.crossJoin(F.broadcast(st))
-    std = F.transform(F.col("_var"), lambda x: F.sqrt(x * (F.col("_n") - 1) / F.col("_n")))
-    z = F.zip_with(F.zip_with(F.col(col), F.col("_mean"), lambda x, m: x - m), std,
+          .select(F.struct(vector_to_array("s.mean").alias("mean"), vector_to_array("s.variance").alias("var"),
+                           F.col("s.count").alias("n")))
+    j = with_scalar(df, "_st", st)
+    n = F.col("_st.n")
+    std = F.transform(F.col("_st.var"), lambda x: F.sqrt(x * (n - 1) / n))
+    z = F.zip_with(F.zip_with(F.col(col), F.col("_st.mean"), lambda x, m: x - m), std,
                    lambda d, s: F.when(s == 0, d).otherwise(d / s))
-    return j.withColumn(out, z).drop("_mean", "_var", "_n")
+    return j.withColumn(out, z).drop("_st")
 
 
 def fuse_views(df: DataFrame, views: dict[str, float], out: str = "features") -> DataFrame:

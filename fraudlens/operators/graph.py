@@ -116,8 +116,8 @@ def knn_graph_lsh(df: DataFrame, id_col: str, vec_col: str, k: int = 50, bucket_
 def mean_degree(edges: DataFrame, n_vertices: DataFrame) -> DataFrame:
     """Total edge weight / number of vertices (``n_vertices`` is a
     one-row table with column ``n``)."""
-    return edges.agg(F.sum("weight").alias("_w")).crossJoin(n_vertices) \
-                .select((F.col("_w") / F.col("n")).alias("mean_degree"))
+    n = n_vertices.select("n").scalar()
+    return edges.agg(F.sum("weight").alias("_w")).select((F.col("_w") / n).alias("mean_degree"))
 
 
 def view_weights(views: dict[str, DataFrame], n_vertices: DataFrame) -> DataFrame:
@@ -128,8 +128,8 @@ def view_weights(views: dict[str, DataFrame], n_vertices: DataFrame) -> DataFram
         d = mean_degree(e, n_vertices).select(F.lit(name).alias("view"), "mean_degree")
         parts = d if parts is None else parts.unionByName(d)
     inv = parts.withColumn("_inv", 1.0 / F.col("mean_degree"))
-    tot = inv.agg(F.sum("_inv").alias("_s"))  # one row
-    return inv.crossJoin(tot).select("view", "mean_degree", (F.col("_inv") / F.col("_s")).alias("weight"))
+    tot = inv.agg(F.sum("_inv")).scalar()
+    return inv.select("view", "mean_degree", (F.col("_inv") / tot).alias("weight"))
 
 
 def fuse_graphs(views: dict[str, DataFrame], weights: dict[str, float] | DataFrame) -> DataFrame:

@@ -61,13 +61,13 @@ def gaussian_nb_fit(train: DataFrame, var_smoothing: float = 1e-9) -> DataFrame:
     rows; plus the class log prior. One row per (class, slot)."""
     lng = to_long(train)
     eps = (lng.groupBy("slot").agg(F.var_pop("value").alias("_v"))
-              .agg((F.lit(float(var_smoothing)) * F.max("_v")).alias("_eps")))
-    n = train.agg(F.count(F.lit(1)).alias("_n"))
-    prior = train.groupBy(Y).agg(F.count(F.lit(1)).alias("_nc")).crossJoin(n) \
-                 .select(Y, F.ln(F.col("_nc") / F.col("_n")).alias("log_prior"))
+              .agg(F.lit(float(var_smoothing)) * F.max("_v"))).scalar()
+    n = train.agg(F.count(F.lit(1))).scalar()
+    prior = train.groupBy(Y).agg(F.count(F.lit(1)).alias("_nc")) \
+                 .select(Y, F.ln(F.col("_nc") / n).alias("log_prior"))
     th = lng.groupBy(Y, "slot").agg(F.avg("value").alias("mean"), F.var_pop("value").alias("_var"))
-    return (th.crossJoin(eps).join(prior, Y)
-              .select(Y, "slot", "mean", (F.col("_var") + F.col("_eps")).alias("var"), "log_prior"))
+    return (th.join(prior, Y)
+              .select(Y, "slot", "mean", (F.col("_var") + eps).alias("var"), "log_prior"))
 
 
 def gaussian_nb_predict(params: DataFrame, df: DataFrame) -> DataFrame:

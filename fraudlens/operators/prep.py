@@ -44,9 +44,8 @@ def class_distribution(df: DataFrame, label_col: str = "label") -> DataFrame:
     """A1: share of each class name in percent; NULL names are excluded."""
     named = df.select(label_name(label_col).alias("label_name")).where(F.col("label_name").isNotNull())
     counts = named.groupBy("label_name").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))  # one row: broadcast-safe
-    return (counts.crossJoin(F.broadcast(total))
-            .select("label_name", (F.col("n") * 100.0 / F.col("total")).alias("pct")))
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.select("label_name", (F.col("n") * 100.0 / total).alias("pct"))
 
 
 def imbalance_ratio(df: DataFrame, label_col: str = "label_fixed") -> DataFrame:
@@ -59,10 +58,10 @@ def imbalance_ratio(df: DataFrame, label_col: str = "label_fixed") -> DataFrame:
 def class_weights(df: DataFrame, label_col: str = "label_fixed") -> DataFrame:
     """M9: balanced class weights ``n / (n_classes * n_c)``, one row per class."""
     counts = df.where(F.col(label_col).isNotNull()).groupBy(label_col).agg(F.count(F.lit(1)).alias("n_class"))
-    tot = counts.agg(F.sum("n_class").alias("n_total"), F.count(F.lit(1)).alias("n_classes"))
-    return (counts.crossJoin(F.broadcast(tot))
-            .select(label_col, "n_class",
-                    (F.col("n_total") / (F.col("n_classes") * F.col("n_class"))).alias("weight")))
+    tot = counts.agg(F.struct(F.sum("n_class").alias("n_total"),
+                              F.count(F.lit(1)).alias("n_classes")).alias("t")).scalar()
+    return counts.select(label_col, "n_class",
+                         (tot["n_total"] / (tot["n_classes"] * F.col("n_class"))).alias("weight"))
 
 
 def with_class_weight(df: DataFrame, label_col: str = "label_fixed", weight_col: str = "weight") -> DataFrame:

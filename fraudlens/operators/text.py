@@ -70,10 +70,10 @@ def idf_table(df: DataFrame, ids_col: str) -> DataFrame:
     """Smoothed inverse document frequency ``ln((1+N)/(1+df)) + 1`` per id.
     Distinct ids per document, then a partially aggregated count per id
     (at most ``vocab`` rows)."""
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
+    n = df.agg(F.count(F.lit(1))).scalar()
     d = (df.select(F.explode(F.array_distinct(F.col(ids_col))).alias("tok"))
            .groupBy("tok").agg(F.count(F.lit(1)).alias("_df")))
-    return d.crossJoin(n).select("tok", (F.ln((1.0 + F.col("_n")) / (1.0 + F.col("_df"))) + 1.0).alias("idf"))
+    return d.select("tok", (F.ln((1.0 + n) / (1.0 + F.col("_df"))) + 1.0).alias("idf"))
 
 
 def semantic_embedding(df: DataFrame, text_col: str = "Review", dim: int = 64, vocab: int = DEFAULT_VOCAB,

@@ -43,10 +43,9 @@ def reviews_orders(spark: SparkSession, sf_dir: str, with_text: bool = True,
     if not with_text:
         return base.withColumn("Review", F.lit(None).cast("string")).select(REVIEW_COLUMNS)
     docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
-    # One-row table: the document count; broadcasting it is size-safe.
-    n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    keyed = (base.crossJoin(F.broadcast(n_docs))
-             .withColumn("doc_key", F.col("review_id") % F.col("n_docs")))
+    # The document count, as a scalar subquery (one partial count).
+    n_docs = docs.agg(F.count(F.lit(1))).scalar()
+    keyed = base.withColumn("doc_key", F.col("review_id") % n_docs)
     if text_stats:
         # Many reviews share one document: measure each text once (B1, B2)
         # and join only the numbers, so no text is copied by the fan-out.
