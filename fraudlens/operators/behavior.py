@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from fraudlens.functions.columns import (entropy_term, label_name, seconds_between, text_length,
                                          with_scalar, word_count)
-from fraudlens.operators.ordering import ordered_rank, previous_value
+from fraudlens.operators.ordering import prefix_sums, previous_value
 from fraudlens.operators.prep import aggregate_back
 
 # Feature order of the behavioural matrix (B1-B14) - fixed, as in the reference.
@@ -151,32 +151,40 @@ def box_stats(features: DataFrame, label_col: str = "label", feature_cols: list[
               n_slices: int | None = None) -> DataFrame:
     """Five-number summary per class name and feature.
 
-    q1/median/q3 are exact linear-interpolated quantiles. They are found by
-    ranking each (class, feature) group with range slices (``ordered_rank``)
-    and keeping the <= 6 order statistics needed, so no group is gathered
-    in one task. Whiskers are the most extreme values within 1.5 IQR of the
-    box; outliers are counted outside it.
+    q1/median/q3 are exact linear-interpolated quantiles. The stacked
+    (class, feature, value) rows are first reduced to one count per
+    distinct value (partial aggregation: a hot value costs one row per
+    task). Running counts over the distinct values (``prefix_sums``, range
+    slices) place every order statistic: the value at 0-based rank ``r``
+    is the one whose count interval ``[before, before + cnt)`` holds ``r``.
+    Whiskers (the most extreme values within 1.5 IQR of the box) and the
+    outlier count come from the same distinct-value table, so the rows are
+    read once and no group is gathered in one task.
     """
     stack = ", ".join(f"'{c}', cast(`{c}` as double)" for c in feature_cols)
-    long = (features.select(label_name(label_col).alias("label_name"), "review_id", *feature_cols)
-                    .selectExpr("label_name", "review_id",
-                                f"stack({len(feature_cols)}, {stack}) as (feature, value)")
+    long = (features.select(label_name(label_col).alias("label_name"), *feature_cols)
+                    .selectExpr("label_name", f"stack({len(feature_cols)}, {stack}) as (feature, value)")
                     .where(F.col("value").isNotNull()))
     keys = ["label_name", "feature"]
-    sizes = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    ranked = ordered_rank(long, keys, ["value", "review_id"], "_rank", n_slices)
-    # positions (0-based) needed for the three quartiles
-    pos = sizes.select(*keys, "n", *[((F.col("n") - 1) * q).alias(f"_p{i}") for i, q in
-                                     enumerate([0.25, 0.5, 0.75])])
+    counts = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("cnt"))
+    cum = prefix_sums(counts, keys, ["value"], ["cnt"], suffix="_before", inclusive=False, n_slices=n_slices)
+    # one row per (class, feature): bounded by #classes x #features, broadcast-safe
+    pos = (counts.groupBy(*keys).agg(F.sum("cnt").alias("n"))
+                 .select(*keys, "n", *[((F.col("n") - 1) * q).alias(f"_p{i}")
+                                       for i, q in enumerate([0.25, 0.5, 0.75])]))
+    lo_r, hi_r = F.col("cnt_before"), F.col("cnt_before") + F.col("cnt")
+
+    def holds(r):
+        return (r >= lo_r) & (r < hi_r)
+
     wanted = F.lit(False)
     for i in range(3):
-        wanted = wanted | (F.col("_rank") - 1 == F.floor(f"_p{i}")) | (F.col("_rank") - 1 == F.ceil(f"_p{i}"))
-    # sizes has one row per (class, feature): tiny, broadcast-safe
-    picked = ranked.join(F.broadcast(pos), keys).where(wanted)
+        wanted = wanted | holds(F.floor(f"_p{i}")) | holds(F.ceil(f"_p{i}"))
+    picked = cum.join(F.broadcast(pos), keys).where(wanted)
 
     def q(i):
-        lo = F.max(F.when(F.col("_rank") - 1 == F.floor(f"_p{i}"), F.col("value")))
-        hi = F.max(F.when(F.col("_rank") - 1 == F.ceil(f"_p{i}"), F.col("value")))
+        lo = F.max(F.when(holds(F.floor(f"_p{i}")), F.col("value")))
+        hi = F.max(F.when(holds(F.ceil(f"_p{i}")), F.col("value")))
         frac = F.first(F.col(f"_p{i}") - F.floor(f"_p{i}"))
         return lo + (hi - lo) * frac
 
@@ -186,10 +194,10 @@ def box_stats(features: DataFrame, label_col: str = "label", feature_cols: list[
                  .withColumn("_hi", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     v = F.col("value")
     inside = (v >= F.col("_lo")) & (v <= F.col("_hi"))
-    whisk = (long.join(F.broadcast(quart.select(*keys, "_lo", "_hi")), keys)
-                 .groupBy(*keys)
-                 .agg(F.min(F.when(inside, v)).alias("whisker_low"),
-                      F.max(F.when(inside, v)).alias("whisker_high"),
-                      F.count_if(~inside).alias("n_outliers")))
+    whisk = (counts.join(F.broadcast(quart.select(*keys, "_lo", "_hi")), keys)
+                   .groupBy(*keys)
+                   .agg(F.min(F.when(inside, v)).alias("whisker_low"),
+                        F.max(F.when(inside, v)).alias("whisker_high"),
+                        F.coalesce(F.sum(F.when(~inside, F.col("cnt"))), F.lit(0)).alias("n_outliers")))
     return quart.join(whisk, keys).select(*keys, "n", "q1", "median", "q3", "whisker_low",
                                           "whisker_high", "n_outliers")
