@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fraudlens.functions.columns import seconds_between, text_length, word_count
+from fraudlens.functions.columns import NON_SPAM_NAME, SPAM_NAME, seconds_between, text_length, word_count
 from fraudlens.operators import behavior
 from fraudlens.operators.ordering import ordered_rank, prefix_sums, previous_value
 
@@ -80,6 +80,26 @@ def test_box_stats_match_numpy(spark):
     assert b.whisker_high == v[v <= hi].max()
 
 
+def test_box_stats_hot_value_and_two_classes(spark):
+    """A third of the rows share one value (a hot distinct value), many
+    ties, two classes; every group must equal numpy's linear quantiles."""
+    rng = np.random.default_rng(7)
+    a = [3.0] * 120 + rng.integers(0, 10, size=240).astype(float).tolist()
+    b = rng.exponential(size=97).tolist() + [50.0]
+    rows = [(i, 1, v) for i, v in enumerate(a)] + [(1000 + i, -1, v) for i, v in enumerate(b)]
+    df = spark.createDataFrame(rows, "review_id long, label int, x double")
+    got = {r.label_name: r for r in behavior.box_stats(df, "label", ["x"], n_slices=7).collect()}
+    for name, vals in ((NON_SPAM_NAME, a), (SPAM_NAME, b)):
+        r, v = got[name], np.array(vals)
+        q1, med, q3 = np.percentile(v, [25, 50, 75])
+        assert r.n == len(v)
+        assert abs(r.q1 - q1) < 1e-12 and abs(r.median - med) < 1e-12 and abs(r.q3 - q3) < 1e-12
+        lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+        inside = v[(v >= lo) & (v <= hi)]
+        assert r.whisker_low == inside.min() and r.whisker_high == inside.max()
+        assert r.n_outliers == int(len(v) - len(inside))
+
+
 def test_seconds_between_subsecond(spark):
     df = spark.createDataFrame([(T0, T0 + dt.timedelta(microseconds=1500001))], "a timestamp, b timestamp")
     assert df.select(seconds_between("a", "b").alias("s")).first().s == 1.500001
