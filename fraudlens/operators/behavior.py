@@ -16,6 +16,7 @@ from fraudlens.functions.columns import (entropy_term, label_name, seconds_betwe
                                          with_scalar, word_count)
 from fraudlens.operators.ordering import prefix_sums, previous_value
 from fraudlens.operators.prep import aggregate_back
+from fraudlens.session import write_table
 
 # Feature order of the behavioural matrix (B1-B14) - fixed, as in the reference.
 BEHAVIOR_COLUMNS = [
@@ -131,7 +132,10 @@ def behavior_features(reviews: DataFrame, n_slices: int | None = None) -> DataFr
     gaps scaled globally, product/user statistics over the given rows; a
     NULL product key gives NULL product statistics (prod_rating_var 0).
     """
-    n = narrow_reviews(reviews)
+    # Range slicing passes over its input twice (bound sampling, shuffle)
+    # and the entropy reads it again: write the narrow rows once instead of
+    # recomputing the join and the text measurement each time.
+    n = write_table(narrow_reviews(reviews), "reviews")
     g = with_time_gaps(n, n_slices)
     # one user-level table (B7-B11) and one entropy table, joined once
     user_tbl = (g.where(F.col("user_id").isNotNull())

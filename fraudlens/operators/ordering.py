@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fraudlens.session import checkpoint
+from fraudlens.session import write_table
 
 SLICE = "_slice"
 
@@ -51,12 +51,13 @@ def _sliced(df: DataFrame, part_cols: list[str], order_cols: list[str], n: int |
     bounds are sampled from the input. If two plan branches each ran their
     own exchange over an input whose row order is not fixed (any shuffle
     output), they could sample different bounds and disagree on slices.
-    A reliable checkpoint (shared ``spark.checkpoint.dir``) pins one
-    assignment that every branch reads and that survives executor loss.
+    Writing the sliced rows as a table in the shared checkpoint folder
+    pins one assignment (the slice is a stored column) that every branch
+    reads and that survives executor loss.
     """
     sliced = (df.repartitionByRange(_n_slices(df, n), *[F.col(c).asc_nulls_first() for c in part_cols + order_cols])
                 .withColumn(SLICE, F.spark_partition_id()))
-    return checkpoint(sliced, eager=True)
+    return write_table(sliced, "sliced")
 
 
 def _key(part_cols: list[str]):

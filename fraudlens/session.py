@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -56,3 +57,18 @@ def checkpoint(df, eager: bool = True):
     """Cut lineage with a reliable checkpoint into the shared folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def write_table(df, name: str = "table"):
+    """Cut lineage by writing ``df`` as a parquet table under the shared
+    checkpoint folder and reading it back.
+
+    One write job, columnar and compressed; unlike ``checkpoint()`` (a count
+    job, then a second job that recomputes the lineage to save it row by
+    row) the input is computed once. The copy lives in the cluster's shared
+    folder, so it survives the loss of any executor."""
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
