@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fraudlens.session import write_table
+
 # Token pattern: runs of Unicode letters, digits and underscore.
 TOKEN_PATTERN = "[\\p{L}\\p{N}_]+"
 DEFAULT_VOCAB = 1 << 15
@@ -82,8 +84,14 @@ def semantic_embedding(df: DataFrame, text_col: str = "Review", dim: int = 64, v
     L2-normalised, projected to ``dim`` by a seeded Gaussian matrix.
 
     The idf vector has at most ``vocab`` entries (a parameter, not the
-    data size); it travels to the workers inside the UDF closure."""
-    with_ids = df.withColumn("_ids", token_ids(text_col, vocab))
+    data size); it travels to the workers inside the UDF closure.
+
+    Both passes (document frequencies, then encoding) need the token ids
+    of every whole text. They are computed once and written, without the
+    text, to a table in the shared checkpoint folder that both passes
+    read. The result has the input columns except ``text_col``."""
+    keep = [c for c in df.columns if c != text_col]
+    with_ids = write_table(df.select(*keep, token_ids(text_col, vocab).alias("_ids")), "token_ids")
     idf_rows = idf_table(with_ids, "_ids").collect()  # <= vocab rows
     idf = np.zeros(vocab + 1, dtype=np.float64)
     for r in idf_rows:
