@@ -51,10 +51,9 @@ def minmax_scale(df: DataFrame, cols: list[str]) -> DataFrame:
     used as a scalar subquery (no join)."""
     out = with_scalar(df, "_b", df.agg(F.struct(*[F.min(c).alias(f"mn_{c}") for c in cols],
                                                   *[F.max(c).alias(f"mx_{c}") for c in cols])))
-    for c in cols:
-        mn, mx = F.col(f"_b.mn_{c}"), F.col(f"_b.mx_{c}")
-        out = out.withColumn(c, F.coalesce(F.try_divide(F.col(c) - mn, mx - mn), F.lit(0.0)))
-    return out.drop("_b")
+    scaled = {c: F.coalesce(F.try_divide(F.col(c) - F.col(f"_b.mn_{c}"), F.col(f"_b.mx_{c}") - F.col(f"_b.mn_{c}")),
+                            F.lit(0.0)) for c in cols}
+    return out.withColumns(scaled).drop("_b")
 
 
 def narrow_reviews(reviews: DataFrame) -> DataFrame:

@@ -22,10 +22,11 @@ def zscore_columns(df: DataFrame, cols: list[str]) -> DataFrame:
     NULLs stay NULL (ignored by the statistics)."""
     out = with_scalar(df, "_st", df.agg(F.struct(*[F.avg(c).alias(f"m_{c}") for c in cols],
                                                    *[F.stddev_pop(c).alias(f"s_{c}") for c in cols])))
-    for c in cols:
+    def z(c):
         m, s = F.col(f"_st.m_{c}"), F.col(f"_st.s_{c}")
-        out = out.withColumn(c, F.when(s == 0, F.col(c) - m).otherwise((F.col(c) - m) / s))
-    return out.drop("_st")
+        return F.when(s == 0, F.col(c) - m).otherwise((F.col(c) - m) / s)
+
+    return out.withColumns({c: z(c) for c in cols}).drop("_st")
 
 
 def assemble(df: DataFrame, cols: list[str], out: str = "features", fill_null: bool = True) -> DataFrame:

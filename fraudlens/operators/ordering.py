@@ -133,11 +133,11 @@ def prefix_sums(df: DataFrame, part_cols: list[str], order_cols: list[str], sum_
     frame_end = 0 if inclusive else -1
     w = (Window.partitionBy(*part_cols, SLICE).orderBy(*[F.col(c).asc_nulls_first() for c in order_cols])
          .rowsBetween(Window.unboundedPreceding, frame_end))
-    out = j
-    for c in sum_cols:
+    def running(c):
         off = F.when(same, F.col(f"_carry._t_{c}")).otherwise(F.lit(0))
-        out = out.withColumn(c + suffix, off + F.coalesce(F.sum(c).over(w), F.lit(0)))
-    return out.drop(SLICE, "_carry")
+        return off + F.coalesce(F.sum(c).over(w), F.lit(0))
+
+    return j.withColumns({c + suffix: running(c) for c in sum_cols}).drop(SLICE, "_carry")
 
 
 def hash_order(id_col: str | Column, seed: int) -> Column:
