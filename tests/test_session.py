@@ -35,3 +35,28 @@ def test_zscore_columns_population_std_and_constant(spark):
     got = {r.id: r for r in features.zscore_columns(df, ["x", "c"]).collect()}
     assert got[1].x == -1.0 and got[2].x == 1.0 and got[3].x is None
     assert all(got[i].c == 0.0 for i in (1, 2, 3))  # constant column -> x - mean
+
+
+def test_cluster_without_shared_checkpoint_dir_raises():
+    """No machine-local fallback outside local mode (stand-in session)."""
+    import pytest
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+        def set(self, key, value):
+            raise AssertionError("must not set a local folder on a cluster")
+
+    class Ctx:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Ctx()
+        conf = Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session())
