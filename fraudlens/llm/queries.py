@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fraudlens.llm import quality
+from fraudlens.llm import quality, sentencepiece_codec
 from fraudlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +27,9 @@ def query(name: str, sql: str | None = None):
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality statistics and verdict of every document."""
     return quality.quality_query(table(spark, sf_dir, "documents"))
+
+
+@query("op10_sentencepiece")
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of every document, and the text decoded from them."""
+    return sentencepiece_codec.sentencepiece_query(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
