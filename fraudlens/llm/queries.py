@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fraudlens.llm import quality, sentencepiece_codec
+from fraudlens.llm import line_dedup, quality, sentencepiece_codec
 from fraudlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,9 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SentencePiece ids of every document, and the text decoded from them."""
     return sentencepiece_codec.sentencepiece_query(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op6_line_dedup", line_dedup.oracle_sql())
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that several documents share stay in the largest document id only."""
+    return line_dedup.line_dedup_query(table(spark, sf_dir, "documents"))
