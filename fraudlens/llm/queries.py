@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fraudlens.llm import line_dedup, quality, sentencepiece_codec
+from fraudlens.llm import line_dedup, packing, quality, sentencepiece_codec
 from fraudlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +39,9 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that several documents share stay in the largest document id only."""
     return line_dedup.line_dedup_query(table(spark, sf_dir, "documents"))
+
+
+@query("op8_packing")
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 tokens."""
+    return packing.packing_query(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
