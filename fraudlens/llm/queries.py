@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fraudlens.llm import line_dedup, minhash, packing, quality, sentencepiece_codec
+from fraudlens.llm import line_dedup, minhash, packing, quality, sentencepiece_codec, warc
 from fraudlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,9 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return minhash.minhash_query(table(spark, sf_dir, "documents"))
+
+
+@query("op3_warc", warc.oracle_sql())
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC archives and read back."""
+    return warc.warc_query(table(spark, sf_dir, "pages"))
