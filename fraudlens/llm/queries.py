@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fraudlens.llm import line_dedup, minhash, packing, quality, sentencepiece_codec, warc
+from fraudlens.llm import line_dedup, minhash, packing, prefix_forest, quality, sentencepiece_codec, warc
 from fraudlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,9 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to WARC archives and read back."""
     return warc.warc_query(table(spark, sf_dir, "pages"))
+
+
+@query("op9_prefix_forest")
+def op9_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
+    return prefix_forest.nearest_query(table(spark, sf_dir, "embeddings"))
