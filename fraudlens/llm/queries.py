@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fraudlens.llm import line_dedup, minhash, packing, prefix_forest, quality, sentencepiece_codec, warc
+from fraudlens.llm import html_text, line_dedup, minhash, packing, prefix_forest, quality, sentencepiece_codec, warc
 from fraudlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,9 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every vector whose id is divisible by 20."""
     return prefix_forest.nearest_query(table(spark, sf_dir, "embeddings"))
+
+
+@query("op1_html_main_text")
+def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.html_query(table(spark, sf_dir, "pages"))
