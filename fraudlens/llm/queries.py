@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fraudlens.llm import html_text, line_dedup, minhash, packing, prefix_forest, quality, sentencepiece_codec, warc
+from fraudlens.llm import html_text, line_dedup, minhash, packing, prefix_forest, quality, sentencepiece_codec, token_counts, warc
 from fraudlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,9 @@ def op9_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_text.html_query(table(spark, sf_dir, "pages"))
+
+
+@query("op7_token_counts")
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after a batch of edits."""
+    return token_counts.token_counts_query(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
