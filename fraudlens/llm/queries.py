@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fraudlens.llm import html_text, line_dedup, minhash, packing, prefix_forest, quality, sentencepiece_codec, token_counts, warc
+from fraudlens.llm import html_text, line_dedup, minhash, packing, prefix_forest, quality, secrets, sentencepiece_codec, token_counts, warc
 from fraudlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,9 @@ def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document before and after a batch of edits."""
     return token_counts.token_counts_query(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op5_secret_scan")
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret findings of every document with the forest's verdict."""
+    return secrets.secrets_query(table(spark, sf_dir, "documents"))
