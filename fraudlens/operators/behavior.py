@@ -78,9 +78,11 @@ def text_stats(reviews: DataFrame) -> DataFrame:
 
 
 def with_time_gaps(narrow: DataFrame, n_slices: int | None = None) -> DataFrame:
-    """User and product gaps, then global min-max scaling."""
-    g = time_gap(narrow, "user_id", "time_since_prev", n_slices=n_slices)
-    g = time_gap(g, "prod_id", "time_since_prev_prod", n_slices=n_slices)
+    """User and product gaps, then global min-max scaling. Each gap
+    is written once: the second slicing passes over its input twice (bounds,
+    then rows), and so does the scaling (bounds of the values, then rows)."""
+    g = write_table(time_gap(narrow, "user_id", "time_since_prev", n_slices=n_slices), "user-gaps")
+    g = write_table(time_gap(g, "prod_id", "time_since_prev_prod", n_slices=n_slices), "gaps")
     return minmax_scale(g, ["time_since_prev", "time_since_prev_prod"])
 
 
@@ -140,7 +142,8 @@ def behavior_features(reviews: DataFrame, n_slices: int | None = None) -> DataFr
     user_tbl = (g.where(F.col("user_id").isNotNull())
                   .groupBy("user_id").agg(*user_profile_aggs(), *user_time_aggs())
                   .join(user_rating_entropy(n), "user_id", "left"))
-    out = g.join(user_tbl, "user_id", "left")
+    # written, so that both sides of the join have an exchange (see J2)
+    out = g.join(write_table(user_tbl, "user-profile"), "user_id", "left")
     out = aggregate_back(out, ["prod_id"], product_aggs())
     out = aggregate_back(out, ["user_id", "prod_id"],
                          [F.count_if(F.col("_has_text")).alias("user_prod_review_count")])
@@ -160,9 +163,9 @@ def box_stats(features: DataFrame, label_col: str = "label", feature_cols: list[
     task). Running counts over the distinct values (``prefix_sums``, range
     slices) place every order statistic: the value at 0-based rank ``r``
     is the one whose count interval ``[before, before + cnt)`` holds ``r``.
-    Whiskers (the most extreme values within 1.5 IQR of the box) and the
-    outlier count come from the same distinct-value table, so the rows are
-    read once and no group is gathered in one task.
+    Totals, whiskers (the most extreme values within 1.5 IQR of the box) and
+    the outlier count come from the same written slices, so the features are
+    computed once and no group is gathered in one task.
     """
     stack = ", ".join(f"'{c}', cast(`{c}` as double)" for c in feature_cols)
     long = (features.select(label_name(label_col).alias("label_name"), *feature_cols)
@@ -172,7 +175,7 @@ def box_stats(features: DataFrame, label_col: str = "label", feature_cols: list[
     counts = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("cnt"))
     cum = prefix_sums(counts, keys, ["value"], ["cnt"], suffix="_before", inclusive=False, n_slices=n_slices)
     # one row per (class, feature): bounded by #classes x #features, broadcast-safe
-    pos = (counts.groupBy(*keys).agg(F.sum("cnt").alias("n"))
+    pos = (cum.groupBy(*keys).agg(F.sum("cnt").alias("n"))
                  .select(*keys, "n", *[((F.col("n") - 1) * q).alias(f"_p{i}")
                                        for i, q in enumerate([0.25, 0.5, 0.75])]))
     lo_r, hi_r = F.col("cnt_before"), F.col("cnt_before") + F.col("cnt")
@@ -197,7 +200,7 @@ def box_stats(features: DataFrame, label_col: str = "label", feature_cols: list[
                  .withColumn("_hi", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     v = F.col("value")
     inside = (v >= F.col("_lo")) & (v <= F.col("_hi"))
-    whisk = (counts.join(F.broadcast(quart.select(*keys, "_lo", "_hi")), keys)
+    whisk = (cum.join(F.broadcast(quart.select(*keys, "_lo", "_hi")), keys)
                    .groupBy(*keys)
                    .agg(F.min(F.when(inside, v)).alias("whisker_low"),
                         F.max(F.when(inside, v)).alias("whisker_high"),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from fraudlens.functions.columns import GRID_SIZE, entropy_term, grid_bin, label_name, threshold_at
 from fraudlens.operators.ordering import prefix_sums
+from fraudlens.session import write_table
 
 
 def _lit_group(df: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
@@ -35,17 +36,30 @@ def _f1(tp, fp, fn):
     return F.when(den == 0, F.lit(0.0)).otherwise((2 * tp).cast("double") / den)
 
 
+def score_counts(scored: DataFrame, label_col: str, score_col: str, keys: list[str]) -> DataFrame:
+    """Positives and negatives per distinct score. Rows without a score are
+    left out here, once, so that every metric speaks of the same rows."""
+    y = F.col(label_col)
+    return (scored.where(F.col(score_col).isNotNull()).groupBy(*keys, F.col(score_col).alias("score"))
+                  .agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg")))
+
+
 def threshold_sweep(scored: DataFrame, label_col: str = "label", score_col: str = "score",
                     by: list[str] | None = None) -> DataFrame:
     """V1: confusion counts and balanced accuracy at each of the 200 grid
     thresholds (prediction = score >= t).
 
-    One pass: rows -> (group, bin, pos, neg) with bin = #thresholds <= score
-    (<= 201 bins per group); then suffix sums over the bins."""
+    One pass: rows -> counts per score -> (group, bin, pos, neg) with bin =
+    #thresholds <= score (<= 201 bins per group); then suffix sums over the bins."""
     df, keys = _lit_group(scored, list(by or []))
-    y = F.col(label_col)
-    bins = (df.groupBy(*keys, grid_bin(score_col).alias("_bin"))
-              .agg(F.count_if(y == 1).alias("_pos"), F.count_if(y == 0).alias("_neg")))
+    out = _sweep(score_counts(df, label_col, score_col, keys), keys)
+    return out if by else out.drop("_g")
+
+
+def _sweep(counts: DataFrame, keys: list[str]) -> DataFrame:
+    bins = (counts.groupBy(*keys, grid_bin("score").alias("_bin"))
+                  .agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg")))
+    df = counts
     full = (df.select(*keys).distinct()
               .select(*keys, F.explode(F.sequence(F.lit(0), F.lit(GRID_SIZE))).alias("_bin"))
               .join(bins, keys + ["_bin"], "left").fillna(0, ["_pos", "_neg"]))
@@ -60,9 +74,8 @@ def threshold_sweep(scored: DataFrame, label_col: str = "label", score_col: str
                       F.col("_neg_ge").alias("fp"), "_P", "_N"))
     tp, fp = F.col("tp"), F.col("fp")
     fn, tn = F.col("_P") - tp, F.col("_N") - fp
-    out = sweep.select(*keys, "j", threshold_at(F.col("j")).alias("threshold"), "tp", "fp",
-                       tn.alias("tn"), fn.alias("fn"), _recalls(tp, fn, tn, fp).alias("balanced_accuracy"))
-    return out if by else out.drop("_g")
+    return sweep.select(*keys, "j", threshold_at(F.col("j")).alias("threshold"), "tp", "fp",
+                        tn.alias("tn"), fn.alias("fn"), _recalls(tp, fn, tn, fp).alias("balanced_accuracy"))
 
 
 def best_threshold(sweep: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -75,12 +88,6 @@ def best_threshold(sweep: DataFrame, by: list[str] | None = None) -> DataFrame:
     return out if by else out.drop("_g")
 
 
-def score_counts(scored: DataFrame, label_col: str, score_col: str, keys: list[str]) -> DataFrame:
-    y = F.col(label_col)
-    return (scored.groupBy(*keys, F.col(score_col).alias("score"))
-                  .agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg")))
-
-
 def roc_auc(scored: DataFrame, label_col: str = "label", score_col: str = "score",
             by: list[str] | None = None, n_slices: int | None = None) -> DataFrame:
     """V6: ROC AUC with ties counted half (Mann-Whitney form).
@@ -89,13 +96,16 @@ def roc_auc(scored: DataFrame, label_col: str = "label", score_col: str = "score
     class is missing (undefined). J4 is implicit: truth and score are
     columns of the same row, never aligned by position."""
     df, keys = _lit_group(scored, list(by or []))
-    c = score_counts(df, label_col, score_col, keys)
-    cum = prefix_sums(c, keys, ["score"], ["neg"], suffix="_below", inclusive=False, n_slices=n_slices)
-    out = cum.groupBy(*keys).agg(
+    out = _auc(score_counts(df, label_col, score_col, keys), keys, n_slices)
+    return out if by else out.drop("_g")
+
+
+def _auc(counts: DataFrame, keys: list[str], n_slices: int | None = None) -> DataFrame:
+    cum = prefix_sums(counts, keys, ["score"], ["neg"], suffix="_below", inclusive=False, n_slices=n_slices)
+    return cum.groupBy(*keys).agg(
         F.try_divide(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0)),
                      F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("roc_auc"),
         F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    return out if by else out.drop("_g")
 
 
 def roc_curve(scored: DataFrame, label_col: str = "label", score_col: str = "score",
@@ -105,7 +115,7 @@ def roc_curve(scored: DataFrame, label_col: str = "label", score_col: str = "sco
     df, keys = _lit_group(scored, list(by or []))
     c = score_counts(df, label_col, score_col, keys).withColumn("_neg_score", -F.col("score"))
     cum = prefix_sums(c, keys, ["_neg_score"], ["pos", "neg"], suffix="_ge", n_slices=n_slices)
-    tot = c.groupBy(*keys).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
+    tot = cum.groupBy(*keys).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
     pts = cum.join(tot, keys).select(
         *keys, F.col("score").alias("threshold"),
         F.try_divide(F.col("neg_ge").cast("double"), F.col("_N").cast("double")).alias("fpr"),
@@ -119,18 +129,32 @@ def roc_curve(scored: DataFrame, label_col: str = "label", score_col: str = "sco
 def metrics_at_best_threshold(scored: DataFrame, label_col: str = "label", score_col: str = "score",
                               by: list[str] | None = None) -> DataFrame:
     """V3-V5, V8: accuracy, balanced accuracy, F1 (class 1) at the best grid
-    threshold, plus ROC AUC - one row per group. The confusion counts come
-    from the sweep table; no second pass over the scores."""
-    keys = list(by or [])
-    best = best_threshold(threshold_sweep(scored, label_col, score_col, keys), keys)
+    threshold, plus ROC AUC - one row per group. The scores are reduced to
+    counts per distinct score once, in a written table that the sweep and
+    the AUC both read."""
+    df, keys = _lit_group(scored, list(by or []))
+    counts = write_table(score_counts(df, label_col, score_col, keys), "score-counts")
+    best = best_threshold(_sweep(counts, keys), keys)
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
     m = best.select(*keys, "threshold",
                     ((tp + tn).cast("double") / (tp + fp + tn + fn).cast("double")).alias("accuracy"),
                     "balanced_accuracy", _f1(tp, fp, fn).alias("f1"))
-    auc = roc_auc(scored, label_col, score_col, keys).select(*keys, "roc_auc")
-    if keys:
-        return m.join(auc, keys)
-    return m.withColumn("roc_auc", auc.scalar())  # both sides are one row
+    out = m.join(_auc(counts, keys).select(*keys, "roc_auc"), keys)
+    return out if by else out.drop("_g")
+
+
+def majority_baseline(scored: DataFrame, label_col: str = "label", positive_label: int = 1) -> DataFrame:
+    """The metrics of always answering the more frequent class (ties: the
+    positive one), next to which a model's must be read. Unlabelled rows are
+    left out; ``positive_label`` is the class that F1 speaks of."""
+    y = F.col(label_col)
+    c = scored.agg(F.count_if(y == positive_label).alias("p"), F.count_if(y.isNotNull() & (y != positive_label)).alias("n"))
+    yes = F.col("p") >= F.col("n")
+    tp, fp = F.when(yes, F.col("p")).otherwise(0), F.when(yes, F.col("n")).otherwise(0)
+    fn, tn = F.when(yes, 0).otherwise(F.col("p")), F.when(yes, 0).otherwise(F.col("n"))
+    return c.select(F.lit("majority").alias("model"), F.lit(None).cast("double").alias("threshold"),
+                    F.try_divide((tp + tn).cast("double"), (F.col("p") + F.col("n")).cast("double")).alias("accuracy"),
+                    _recalls(tp, fn, tn, fp).alias("balanced_accuracy"), _f1(tp, fp, fn).alias("f1"), F.lit(0.5).alias("roc_auc"))
 
 
 def metrics_at(scored: DataFrame, threshold: float, label_col: str = "label",
@@ -202,9 +226,18 @@ def normalized_mutual_info(df: DataFrame, truth_col: str = "label", pred_col: st
 
 
 def crosstab(df: DataFrame, label_col: str = "label", cluster_col: str = "cluster",
-             clusters: tuple = (0, 1)) -> DataFrame:
-    """Class name x cluster counts (columns ``cluster_<k>``)."""
+             clusters: tuple | None = None) -> DataFrame:
+    """Class name x cluster counts (columns ``cluster_<k>``). Without
+    ``clusters`` there is a column for each cluster that occurs (their number
+    is k, a parameter of the clustering); with them, rows of any other
+    cluster, or of none, are counted in ``cluster_other``."""
     named = df.select(label_name(label_col).alias("label_name"), F.col(cluster_col).alias("_k"))
-    return (named.where(F.col("label_name").isNotNull())
-                 .groupBy("label_name")
-                 .agg(*[F.count_if(F.col("_k") == k).alias(f"cluster_{k}") for k in clusters]))
+    named = named.where(F.col("label_name").isNotNull())
+    k = F.col("_k")
+    if clusters is None:
+        found = [r["_k"] for r in named.select("_k").distinct().orderBy("_k").collect()]
+        counts = [F.count_if(k.eqNullSafe(F.lit(c))).alias(f"cluster_{'null' if c is None else c}") for c in found]
+    else:
+        counts = [F.count_if(k == c).alias(f"cluster_{c}") for c in clusters]
+        counts.append(F.count_if(k.isNull() | ~k.isin(*clusters)).alias("cluster_other"))
+    return named.groupBy("label_name").agg(*counts)

@@ -14,12 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fraudlens.functions.columns import fill_zero, with_scalar
+from fraudlens.session import write_table
 
 
 def zscore_columns(df: DataFrame, cols: list[str]) -> DataFrame:
     """X1 on scalar columns: ``(x - mean) / std_pop``; a constant column
     gives ``x - mean`` (= 0), as a scaler with unit fallback scale does.
-    NULLs stay NULL (ignored by the statistics)."""
+    NULLs stay NULL (ignored by the statistics). The rows are written first:
+    the statistics and the scaling both read them."""
+    df = write_table(df, "unscaled")
     out = with_scalar(df, "_st", df.agg(F.struct(*[F.avg(c).alias(f"m_{c}") for c in cols],
                                                    *[F.stddev_pop(c).alias(f"s_{c}") for c in cols])))
     def z(c):
@@ -41,8 +44,10 @@ def zscore_vector(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
 
     Means and variances come from ``Summarizer`` (one JVM aggregate with
     partial merge); Spark's variance is the sample one, so it is rescaled
-    by (n-1)/n. The width-d statistics row is a scalar subquery."""
+    by (n-1)/n. The width-d statistics row is a scalar subquery, and the
+    vectors are written first, since statistics and scaling both read them."""
     out = out or col
+    df = write_table(df, "unscaled")
     v = df.withColumn("_v", array_to_vector(F.col(col)))
     st = v.select(Summarizer.metrics("mean", "variance", "count").summary(F.col("_v")).alias("s")) \
           .select(F.struct(vector_to_array("s.mean").alias("mean"), vector_to_array("s.variance").alias("var"),

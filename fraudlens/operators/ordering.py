@@ -20,8 +20,6 @@ neighbouring slices keeps the result exact.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,14 +34,6 @@ def _n_slices(df: DataFrame, n: int | None) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join on ``keys`` where NULL matches NULL (group keys may be null)."""
-    r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
-                     *[c for c in right.columns if c not in keys])
-    cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(r[f"_r_{k}"]) for k in keys])
-    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
-
-
 def _sliced(df: DataFrame, part_cols: list[str], order_cols: list[str], n: int | None) -> DataFrame:
     """Rows with their range-slice number, materialised once.
 

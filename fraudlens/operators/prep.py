@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fraudlens.functions.columns import label_name
+from fraudlens.session import write_table
 
 JOIN_KEYS = ["user_id", "prod_id", "date"]
 
@@ -64,22 +65,17 @@ def class_weights(df: DataFrame, label_col: str = "label_fixed") -> DataFrame:
                          (tot["n_total"] / (tot["n_classes"] * F.col("n_class"))).alias("weight"))
 
 
-def with_class_weight(df: DataFrame, label_col: str = "label_fixed", weight_col: str = "weight") -> DataFrame:
-    """Attach the balanced weight to every row. The weight table has one row
-    per class, so broadcasting it is size-safe."""
-    w = class_weights(df, label_col).select(label_col, F.col("weight").alias(weight_col))
-    return df.join(F.broadcast(w), label_col, "left")
-
-
 def aggregate_back(df: DataFrame, keys: list[str], aggs: list[Column]) -> DataFrame:
     """Per-group aggregates attached to every row of the group
     (``groupby(k)[c].transform(f)``).
 
     groupBy uses partial (map-side) aggregation, so a hot key costs one
-    partial row per task; the join back is a sort-merge join whose hot
-    partition AQE splits. Rows with a NULL key get NULL aggregates, as the
-    reference's groupby drops NULL keys.
+    partial row per task. The groups are written before the join back: an
+    aggregate is already dealt by the key and would join without an exchange
+    of its own, and Spark splits a skewed partition only between two
+    exchanges. Rows with a NULL key get NULL aggregates, as the reference's
+    groupby drops NULL keys.
     """
     g = df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])) \
           .groupBy(*keys).agg(*aggs)
-    return df.join(g, keys, "left")
+    return df.join(write_table(g, "groups"), keys, "left")
