@@ -9,10 +9,11 @@ deflated against the first vector, with full re-orthogonalisation
 * ``S q`` is one join of the edge table with the vertex table plus a
   ``groupBy(src)`` sum;
 * every inner product of a step is one aggregate row (``m`` sums);
-* the vertex table is checkpointed into the shared checkpoint folder every
-  step (``checkpoint_every``): that truncates both the lineage (executor
-  loss costs one step) and the logical plan, which would otherwise grow
-  and be re-planned every step;
+* the vertex table is written to the shared checkpoint folder once a step:
+  that truncates both the lineage (executor loss costs one step) and the
+  logical plan, which would otherwise grow and be re-planned every step;
+* after ``width`` steps it restarts from the best vector so far, until the
+  residual meets the tolerance;
 * only the m x m tridiagonal eigenproblem and a 2 x 2 SVD run on the driver.
 
 Labels: ``cluster_qr`` (column-pivoted QR pivots = two ``max_by``
@@ -27,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fraudlens.session import checkpoint
+from fraudlens.session import write_table
 
 
 def _unit_hash(id_col: str) -> F.Column:
@@ -43,85 +44,88 @@ def _dot_row(q: F.Column, coeffs) -> F.Column:
     return F.aggregate(F.zip_with(q, lit, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def second_eigenvector(edges: DataFrame, max_steps: int = 40, tol: float = 1e-6,
-                       reorth_passes: int = 2, checkpoint_every: int = 1) -> tuple[DataFrame, float, int]:
+def second_eigenvector(edges: DataFrame, width: int = 40, tol: float = 1e-6,
+                       max_restarts: int | None = 50) -> tuple[DataFrame, float, int]:
     """Second-largest eigenpair of S for a symmetric edge table
     ``(src, dst, weight)``. Returns ``(vertices(id, sd, u1, v2), eigenvalue,
-    steps)``; ``v2`` has unit norm and is orthogonal to ``u1``."""
+    steps)``; ``v2`` has unit norm and is orthogonal to ``u1``.
+
+    Lanczos runs until the residual of the leading Ritz pair is below
+    ``tol``. After ``width`` steps it restarts from the Ritz vector, so the
+    vertex table never holds more than ``width`` basis vectors. If
+    ``max_restarts`` restarts do not reach ``tol``, it raises: an unconverged
+    vector is never returned."""
     # materialise the graph once: degrees and the normalised edges both read it
-    edges = checkpoint(edges.select("src", "dst", "weight"))
-    deg = edges.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("_d"))
+    edges = write_table(edges.select("src", "dst", "weight"), "graph")
+    deg = write_table(edges.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("_d")), "degrees")
     tot = deg.agg(F.sum("_d")).scalar()
-    verts = checkpoint(deg.select("id", F.sqrt("_d").alias("sd"), (F.sqrt("_d") / F.sqrt(tot)).alias("u1")))
+    verts = write_table(deg.select("id", F.sqrt("_d").alias("sd"), (F.sqrt("_d") / F.sqrt(tot)).alias("u1")), "vertices")
     sd = verts.select("id", "sd")
-    a = (edges.join(sd.select(F.col("id").alias("src"), F.col("sd").alias("_s1")), "src")
-              .join(sd.select(F.col("id").alias("dst"), F.col("sd").alias("_s2")), "dst")
-              .select("src", "dst", (F.col("weight") / (F.col("_s1") * F.col("_s2"))).alias("a")))
-    a = checkpoint(a)
+    a = write_table(edges.join(sd.select(F.col("id").alias("src"), F.col("sd").alias("_s1")), "src")
+                    .join(sd.select(F.col("id").alias("dst"), F.col("sd").alias("_s2")), "dst")
+                    .select("src", "dst", (F.col("weight") / (F.col("_s1") * F.col("_s2"))).alias("a")), "normal-edges")
     n = verts.count()
-    m_max = int(max(1, min(max_steps, n - 1)))
+    limit = int(max(1, min(width, n - 1)))  # n - 1 steps span all that is orthogonal to u1
 
     # start vector: hash values, deflated against u1, normalised
     x0 = verts.withColumn("_x", _unit_hash("id"))
     s = x0.agg(F.sum(F.col("_x") * F.col("u1")).alias("c")).first()["c"]
     x0 = x0.withColumn("_x", F.col("_x") - F.lit(s) * F.col("u1"))
-    nrm = x0.agg(F.sqrt(F.sum(F.col("_x") ** 2)).alias("n")).first()["n"]
-    X = checkpoint(x0.select("id", "sd", "u1", F.array((F.col("_x") / F.lit(nrm))).alias("Q")))
+    nrm = x0.agg(F.sqrt(F.sum(F.col("_x") ** 2)).alias("n")).first()["n"] or 1.0
+    X = write_table(x0.select("id", "sd", "u1", F.array((F.col("_x") / F.lit(nrm))).alias("Q")), "basis")
+
+    steps, restarts = 0, 0
+    while True:
+        X, theta, s_vec, residual, done = _lanczos(a, X, limit, tol)
+        steps += done
+        v2 = _dot_row(F.col("Q"), s_vec)
+        # the whole space was spanned, or the space is invariant, or tol is met
+        if residual < tol or done == n - 1:
+            break
+        if max_restarts is not None and restarts >= max_restarts:
+            raise RuntimeError(f"Lanczos did not converge: residual {residual:.3g} after {steps} steps (tol {tol:g})")
+        restarts += 1
+        X = write_table(X.select("id", "sd", "u1", F.array(v2).alias("Q")), "basis")
+    out = X.select("id", "sd", "u1", v2.alias("v2"))
+    # deterministic sign: the entry of largest magnitude is positive
+    sign = out.agg(F.max_by("v2", F.abs("v2")).alias("m")).first()["m"] or 1.0
+    out = out.withColumn("v2", F.col("v2") * F.lit(1.0 if sign >= 0 else -1.0))
+    return write_table(out, "eigenvector"), theta, steps
 
+
+def _lanczos(a: DataFrame, X: DataFrame, limit: int, tol: float):
+    """Up to ``limit`` steps from the basis vector in ``X``: the vertices with
+    the basis, the leading Ritz value, its coefficients, residual and steps.
+    Each step writes the vertex table once; two aggregate rows give its
+    inner products (classical Gram-Schmidt, twice)."""
     alphas, betas = [], []
-    theta, s_vec, steps = 0.0, np.array([1.0]), 0
-    for j in range(m_max):
-        steps = j + 1
+    for j in range(limit):
         qj = F.col("Q")[j]
         sq = (a.join(X.select(F.col("id").alias("dst"), qj.alias("_xq")), "dst")
                 .groupBy(F.col("src").alias("id")).agg(F.sum(F.col("a") * F.col("_xq")).alias("y")))
-        # one step of lineage: cached, and rebuilt from the checkpointed X if lost
-        Y = X.join(sq, "id", "left").withColumn("y", F.coalesce("y", F.lit(0.0))).cache()
+        Y = write_table(X.join(sq, "id", "left").withColumn("y", F.coalesce("y", F.lit(0.0))), "step")
         y = F.col("y")
         # Gram-Schmidt against u1 and q_0..q_j; alpha_j = q_j . S q_j
-        r = Y.agg(F.sum(F.col("u1") * y).alias("cu"), F.sum(y * y).alias("yy"),
-                  *[F.sum(F.col("Q")[k] * y).alias(f"c{k}") for k in range(j + 1)]).first()
+        r = Y.agg(F.sum(F.col("u1") * y).alias("cu"), *[F.sum(F.col("Q")[k] * y).alias(f"c{k}") for k in range(j + 1)]).first()
         c = np.array([r[f"c{k}"] for k in range(j + 1)], dtype=float)
         alphas.append(float(c[j]))
-        Y1 = Y.withColumn("y1", y - _dot_row(F.col("Q"), c) - F.lit(float(r["cu"])) * F.col("u1"))
+        Y = Y.withColumn("y1", y - _dot_row(F.col("Q"), c) - F.lit(float(r["cu"])) * F.col("u1"))
         y1 = F.col("y1")
-        norm2 = None
-        for _ in range(reorth_passes - 1):
-            # second pass; ||y2||^2 = ||y1||^2 - |c2|^2 - cu2^2 (orthonormal basis)
-            r2 = Y1.agg(F.sum(F.col("u1") * y1).alias("cu"), F.sum(y1 * y1).alias("yy"),
-                        *[F.sum(F.col("Q")[k] * y1).alias(f"c{k}") for k in range(j + 1)]).first()
-            c2 = np.array([r2[f"c{k}"] for k in range(j + 1)], dtype=float)
-            Y1 = Y1.withColumn("y1", y1 - _dot_row(F.col("Q"), c2) - F.lit(float(r2["cu"])) * F.col("u1"))
-            norm2 = float(r2["yy"]) - float(c2 @ c2) - float(r2["cu"]) ** 2
-        if norm2 is None:
-            norm2 = float(r["yy"]) - float(c @ c) - float(r["cu"]) ** 2
-        beta = float(np.sqrt(max(norm2, 0.0)))
+        # second pass; ||y2||^2 = ||y1||^2 - |c2|^2 - cu2^2 (orthonormal basis)
+        r2 = Y.agg(F.sum(F.col("u1") * y1).alias("cu"), F.sum(y1 * y1).alias("yy"),
+                   *[F.sum(F.col("Q")[k] * y1).alias(f"c{k}") for k in range(j + 1)]).first()
+        c2 = np.array([r2[f"c{k}"] for k in range(j + 1)], dtype=float)
+        y2 = y1 - _dot_row(F.col("Q"), c2) - F.lit(float(r2["cu"])) * F.col("u1")
+        beta = float(np.sqrt(max(float(r2["yy"]) - float(c2 @ c2) - float(r2["cu"]) ** 2, 0.0)))
         # Ritz values of the tridiagonal matrix so far
         T = np.diag(alphas) + np.diag(betas, 1) + np.diag(betas, -1)
         w, V = np.linalg.eigh(T)
         theta, s_vec = float(w[-1]), V[:, -1]
-        residual = abs(beta * s_vec[-1])
-        if residual < tol or beta < 1e-12 or j == m_max - 1:
-            X = checkpoint(Y.drop("y"))
-            Y.unpersist()
-            break
+        residual = 0.0 if beta < 1e-12 else abs(beta * s_vec[-1])
+        if residual < tol or j == limit - 1:
+            return Y.select("id", "sd", "u1", "Q"), theta, s_vec, residual, j + 1
         betas.append(beta)
-        X_new = Y1.select("id", "sd", "u1", F.concat(F.col("Q"), F.array(y1 / F.lit(beta))).alias("Q"))
-        if (j + 1) % checkpoint_every == 0:
-            X_new = checkpoint(X_new)  # reliable copy: lineage never exceeds checkpoint_every steps
-        else:
-            X_new = X_new.cache()
-            X_new.count()
-        if X.is_cached:
-            X.unpersist()
-        X = X_new
-        Y.unpersist()
-    v2 = _dot_row(F.col("Q"), s_vec)
-    out = X.select("id", "sd", "u1", v2.alias("v2"))
-    # deterministic sign: the entry of largest magnitude is positive
-    sign = out.agg(F.max_by("v2", F.abs("v2")).alias("m")).first()["m"] or 1.0
-    out = out.withColumn("v2", F.col("v2") * F.lit(1.0 if sign >= 0 else -1.0))
-    return checkpoint(out), theta, steps
+        X = Y.select("id", "sd", "u1", F.concat(F.col("Q"), F.array(y2 / F.lit(beta))).alias("Q"))
 
 
 def spectral_embedding(edges: DataFrame, **kw) -> DataFrame:

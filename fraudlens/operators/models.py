@@ -18,12 +18,14 @@ import pandas as pd
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier, RandomForestClassifier)
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fraudlens.functions.columns import with_scalar
 from fraudlens.operators.prep import class_weights
-from fraudlens.session import checkpoint
+from fraudlens.session import ensure_checkpoint_dir, write_table
 
 ID, Y, X = "id", "label", "features"
 
@@ -51,37 +53,45 @@ def _weighted(train: DataFrame, balanced: bool, pos_weight: float | None = None)
 
 # ---- M7 Gaussian naive Bayes (SQL-checkable) -------------------------------------
 
-def to_long(df: DataFrame, col: str = X) -> DataFrame:
-    return df.select(ID, Y, F.posexplode(col).alias("slot", "value"))
-
-
 def gaussian_nb_fit(train: DataFrame, var_smoothing: float = 1e-9) -> DataFrame:
-    """Per (class, slot): mean and population variance + epsilon, with
-    epsilon = var_smoothing * largest per-slot variance of all training
-    rows; plus the class log prior. One row per (class, slot)."""
-    lng = to_long(train)
-    eps = (lng.groupBy("slot").agg(F.var_pop("value").alias("_v"))
-              .agg(F.lit(float(var_smoothing)) * F.max("_v"))).scalar()
-    n = train.agg(F.count(F.lit(1))).scalar()
-    prior = train.groupBy(Y).agg(F.count(F.lit(1)).alias("_nc")) \
-                 .select(Y, F.ln(F.col("_nc") / n).alias("log_prior"))
-    th = lng.groupBy(Y, "slot").agg(F.avg("value").alias("mean"), F.var_pop("value").alias("_var"))
-    return (th.join(prior, Y)
-              .select(Y, "slot", "mean", (F.col("_var") + eps).alias("var"), "log_prior"))
+    """One row per class: mean and population variance + epsilon of every
+    slot (arrays) and the log prior; epsilon = var_smoothing * largest
+    per-slot variance of all training rows. Spark's ``Summarizer`` gives the
+    moments in one partially aggregated pass (its variance is the sample
+    one, so it is rescaled)."""
+    v = _vec(train)
+    moments = Summarizer.metrics("mean", "variance", "count").summary(F.col("_fv"))
+
+    def population(df):
+        n = F.col("s.count")
+        return df.withColumns({"mean": vector_to_array("s.mean"),
+                               "var": F.transform(vector_to_array("s.variance"), lambda x: x * (n - 1) / n), "n": n}).drop("s")
+
+    whole = population(v.agg(moments.alias("s")))
+    all_rows = whole.select(F.struct((F.lit(float(var_smoothing)) * F.array_max("var")).alias("eps"), F.col("n").alias("n")))
+    by_class = with_scalar(population(v.groupBy(Y).agg(moments.alias("s"))), "_all", all_rows)
+    return by_class.select(Y, "mean", F.transform("var", lambda x: x + F.col("_all.eps")).alias("var"),
+                           F.ln(F.col("n") / F.col("_all.n")).alias("log_prior"))
 
 
 def gaussian_nb_predict(params: DataFrame, df: DataFrame) -> DataFrame:
-    """Joint log likelihood per (row, class), then a two-class softmax."""
-    lng = to_long(df).withColumnRenamed(Y, "_y_true")
-    j = lng.join(F.broadcast(params.select(F.col(Y).alias("_c"), "slot", "mean", "var")), "slot")
-    term = -0.5 * F.ln(2 * math.pi * F.col("var")) - 0.5 * (F.col("value") - F.col("mean")) ** 2 / F.col("var")
-    jll = j.groupBy(ID, "_y_true", "_c").agg(F.sum(term).alias("_s"))
-    pr = params.select(F.col(Y).alias("_c"), "log_prior").distinct()
-    jll = jll.join(F.broadcast(pr), "_c").withColumn("_j", F.col("_s") + F.col("log_prior"))
-    wide = jll.groupBy(ID, "_y_true").agg(F.max(F.when(F.col("_c") == 0, F.col("_j"))).alias("_j0"),
-                                          F.max(F.when(F.col("_c") == 1, F.col("_j"))).alias("_j1"))
-    return wide.select(ID, F.col("_y_true").alias(Y),
-                       (1.0 / (1.0 + F.exp(F.col("_j0") - F.col("_j1")))).alias("prob"))
+    """Joint log likelihood per class, then a two-class softmax, as one
+    expression per row: the parameters are a scalar subquery with one entry
+    per class, so nothing is exploded or shuffled."""
+    table = params.where(F.col(Y).isin(0, 1)).agg(F.map_from_entries(F.collect_list(F.struct(
+        F.col(Y).cast("int"), F.struct("mean", "var", "log_prior")))).alias("p"))
+    out = with_scalar(df, "_p", table)
+
+    def joint(c):
+        p = F.try_element_at(F.col("_p"), F.lit(c))
+        term = F.zip_with(F.zip_with(F.col(X), p["mean"], lambda x, m: (x - m) * (x - m)), p["var"],
+                          lambda d2, v: -0.5 * F.ln(2 * math.pi * v) - 0.5 * d2 / v)
+        return F.aggregate(term, F.lit(0.0), lambda acc, t: acc + t) + p["log_prior"]
+
+    j0, j1 = joint(0), joint(1)
+    prob = F.when(j0.isNull() & j1.isNotNull(), F.lit(1.0)).when(j1.isNull() & j0.isNotNull(), F.lit(0.0)).otherwise(
+        1.0 / (1.0 + F.exp(j0 - j1)))
+    return out.select(ID, Y, prob.alias("prob"))
 
 
 def fit_gaussian_nb(train: DataFrame, test: DataFrame, var_smoothing: float = 1e-9) -> DataFrame:
@@ -91,6 +101,11 @@ def fit_gaussian_nb(train: DataFrame, test: DataFrame, var_smoothing: float = 1e
 
 # ---- Spark ML models -----------------------------------------------------------------
 
+def _check_depth(depth: int) -> None:
+    if depth > 30:
+        raise ValueError(f"Spark's trees have at most 30 levels, not {depth}")
+
+
 def fit_logreg(train: DataFrame, test: DataFrame, C: float = 1.0, penalty: str = "l2",
                class_weight: str | None = None, max_iter: int = 2000, tol: float = 1e-4) -> DataFrame:
     """M2: C-parameterised logistic regression; regParam = 1 / (C * sum w),
@@ -111,8 +126,10 @@ def fit_gbt(train: DataFrame, test: DataFrame, n_estimators: int = 200, max_dept
     no per-tree subset), min child weight is a row count, gamma is the
     minimum information gain."""
     tr, kw = _weighted(train, False, scale_pos_weight)
+    _check_depth(max_depth)
+    ensure_checkpoint_dir(train.sparkSession)  # long boosting cuts its lineage every 10 rounds
     strategy = "all" if colsample >= 1.0 else str(float(colsample))
-    m = GBTClassifier(featuresCol="_fv", labelCol=Y, maxIter=n_estimators, maxDepth=min(max_depth, 30),
+    m = GBTClassifier(featuresCol="_fv", labelCol=Y, maxIter=n_estimators, maxDepth=max_depth, checkpointInterval=10,
                       stepSize=learning_rate, subsamplingRate=subsample, featureSubsetStrategy=strategy,
                       minInstancesPerNode=int(min_child_weight), minInfoGain=float(gamma), seed=seed, **kw)
     return _prob(m.fit(_vec(tr)).transform(_vec(test)))
@@ -125,6 +142,7 @@ def fit_tree(train: DataFrame, test: DataFrame, criterion: str = "gini", max_dep
     without bootstrap. min_samples_split has no Spark counterpart and is
     folded into the leaf minimum as max(leaf, split / 2)."""
     tr, kw = _weighted(train, class_weight == "balanced")
+    _check_depth(max_depth)
     leaf = max(int(min_samples_leaf), int(math.ceil(min_samples_split / 2)))
     if max_features:
         m = RandomForestClassifier(featuresCol="_fv", labelCol=Y, numTrees=1, bootstrap=False,
@@ -141,6 +159,7 @@ def fit_forest(train: DataFrame, test: DataFrame, n_estimators: int = 100, max_d
                class_weight: str | None = None, seed: int = 42) -> DataFrame:
     """M6: random forest."""
     tr, kw = _weighted(train, class_weight == "balanced")
+    _check_depth(max_depth)
     leaf = max(int(min_samples_leaf), int(math.ceil(min_samples_split / 2)))
     m = RandomForestClassifier(featuresCol="_fv", labelCol=Y, numTrees=n_estimators, maxDepth=max_depth,
                                featureSubsetStrategy=max_features, minInstancesPerNode=leaf, seed=seed, **kw)
@@ -149,11 +168,14 @@ def fit_forest(train: DataFrame, test: DataFrame, n_estimators: int = 100, max_d
 
 def fit_mlp(train: DataFrame, test: DataFrame, hidden: tuple = (64,), solver: str = "l-bfgs",
             learning_rate_init: float = 0.03, max_iter: int = 200, seed: int = 42) -> DataFrame:
-    """M4: multilayer perceptron (sigmoid hidden units; Spark offers l-bfgs
-    and gradient descent, no adam, no L2 penalty)."""
+    """M4: multilayer perceptron (sigmoid hidden units, no L2 penalty).
+    ``solver`` is "lbfgs" or "gd" (gradient descent with step
+    ``learning_rate_init``), the two that Spark has; others raise."""
+    solvers = {"lbfgs": "l-bfgs", "l-bfgs": "l-bfgs", "gd": "gd"}
+    if solver not in solvers:
+        raise ValueError(f"no solver {solver!r}; there are {sorted(solvers)}")
     width = len(train.select(X).first()[0])
-    m = MultilayerPerceptronClassifier(featuresCol="_fv", labelCol=Y, layers=[width, *hidden, 2],
-                                       solver="gd" if solver in ("gd", "sgd", "adam") else "l-bfgs",
+    m = MultilayerPerceptronClassifier(featuresCol="_fv", labelCol=Y, layers=[width, *hidden, 2], solver=solvers[solver],
                                        stepSize=learning_rate_init, maxIter=max_iter, seed=seed)
     return _prob(m.fit(_vec(train)).transform(_vec(test)))
 
@@ -172,38 +194,77 @@ def _rff_udf(width: int, n_components: int, gamma: float, seed: int):
     return rff
 
 
-def fit_svm(train: DataFrame, test: DataFrame, kernel: str = "rbf", C: float = 1.0, degree: int = 2,
-            gamma: float | None = None, class_weight: str | None = None, n_components: int = 256,
-            max_iter: int = 200, seed: int = 42) -> DataFrame:
-    """M3 (re-aimed): kernel SVM as an explicit feature map + LinearSVC,
-    then Platt scaling (a 1-D logistic regression on the margin).
+def _sketch_udf(width: int, n_components: int, degree: int, gamma: float, seed: int):
+    """Tensor sketch of the kernel ``(gamma x.y)^degree``: the circular
+    convolution of ``degree`` count sketches, so the output width is the
+    same at any degree."""
+    rng = np.random.default_rng(seed)
+    place = rng.integers(0, n_components, size=(degree, width))
+    sign = rng.choice([-1.0, 1.0], size=(degree, width))
+    maps = np.zeros((degree, width, n_components))
+    for p in range(degree):
+        maps[p, np.arange(width), place[p]] = sign[p]
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def sketch(col: pd.Series) -> pd.Series:
+        Xb = math.sqrt(gamma) * (np.vstack(col.to_numpy()) if len(col) else np.empty((0, width)))
+        prod = np.ones((len(Xb), n_components // 2 + 1), dtype=complex)
+        for m in maps:
+            prod *= np.fft.rfft(Xb @ m, axis=1)
+        return pd.Series(list(np.fft.irfft(prod, n=n_components, axis=1)))
+    return sketch
 
-    rbf: random Fourier features sqrt(2/D) cos(Wx + b), W ~ N(0, 2 gamma I)
-    (gamma default 1 / (d * var(X))). poly: ``PolynomialExpansion``.
-    The map is a vectorised pandas UDF with a seeded (d x D) matrix."""
-    from pyspark.ml.feature import PolynomialExpansion
 
+def fit_svm(train: DataFrame, test: DataFrame, kernel: str = "rbf", C: float = 1.0, degree: int = 2,
+            gamma: float | None = None, class_weight: str | None = None, n_components: int = 512,
+            max_iter: int = 100, seed: int = 42, n_folds: int = 3) -> DataFrame:
+    """M3 (re-aimed): kernel SVM as an explicit feature map + LinearSVC with
+    regParam = 1 / (C * sum of weights), then Platt scaling (a 1-D logistic
+    regression) on margins of rows that the SVM they come from has not seen
+    (``n_folds`` stratified folds).
+
+    rbf: random Fourier features sqrt(2/D) cos(Wx + b), W ~ N(0, 2 gamma I).
+    poly: tensor sketch of ``(gamma x.y)^degree`` at any degree. gamma is
+    1 / (d * var(X)) unless given. Both maps are vectorised pandas UDFs with
+    seeded tables, of ``n_components`` slots."""
+    from fraudlens.operators.sampling import kfold
+
+    if kernel not in ("rbf", "poly"):
+        raise ValueError(f"no kernel {kernel!r}; there are rbf and poly")
     width = len(train.select(X).first()[0])
-    if kernel == "rbf":
-        if gamma is None:
-            var = train.select(F.explode(X).alias("v")).agg(F.var_pop("v")).first()[0] or 1.0
-            gamma = 1.0 / (width * var)
-        f = _rff_udf(width, n_components, float(gamma), seed)
-        tr = train.withColumn("_z", f(F.col(X)))
-        te = test.withColumn("_z", f(F.col(X)))
-        tr, te = _vec(tr, "_z"), _vec(te, "_z")
-    else:
-        pe = PolynomialExpansion(degree=min(int(degree), 3), inputCol="_fv0", outputCol="_fv")
-        tr = pe.transform(train.withColumn("_fv0", array_to_vector(F.col(X))))
-        te = pe.transform(test.withColumn("_fv0", array_to_vector(F.col(X))))
-    tr, kw = _weighted(tr, class_weight == "balanced")
-    svc = LinearSVC(featuresCol="_fv", labelCol=Y, regParam=1.0 / (C * 100.0), maxIter=max_iter, tol=1e-4,
-                    **kw).fit(tr)
-    margin_tr = svc.transform(tr).select(Y, vector_to_array("rawPrediction")[1].alias("_m"))
-    margin_te = svc.transform(te).select(ID, Y, vector_to_array("rawPrediction")[1].alias("_m"))
-    platt = LogisticRegression(featuresCol="_mv", labelCol=Y, maxIter=100).fit(
-        margin_tr.withColumn("_mv", array_to_vector(F.array("_m"))))
-    return _prob(platt.transform(margin_te.withColumn("_mv", array_to_vector(F.array("_m")))))
+    if gamma is None:
+        var = train.select(F.explode(X).alias("v")).agg(F.var_pop("v")).first()[0] or 1.0
+        gamma = 1.0 / (width * var)
+    f = (_rff_udf(width, n_components, float(gamma), seed) if kernel == "rbf"
+         else _sketch_udf(width, n_components, int(degree), float(gamma), seed))
+    mapped = write_table(kfold(train.withColumn("_z", f(F.col(X))).drop(X), Y, n_folds, seed=seed, id_col=ID), "svm-train")
+    te = test.withColumn("_z", f(F.col(X)))
+
+    def margins(tr: DataFrame, rows: DataFrame) -> DataFrame:
+        tr, kw = _weighted(tr, class_weight == "balanced")
+        total = tr.agg(F.sum(F.col(kw["weightCol"])) if kw else F.count(F.lit(1))).first()[0]
+        svc = LinearSVC(featuresCol="_fv", labelCol=Y, regParam=1.0 / (C * float(total)), maxIter=max_iter, tol=1e-3, **kw)
+        return svc.fit(_vec(tr, "_z")).transform(_vec(rows, "_z")).select(
+            ID, Y, F.array(vector_to_array("rawPrediction")[1]).alias("_m"))
+
+    unseen = None
+    for k in range(n_folds):
+        part = margins(mapped.where(F.col("fold") != k), mapped.where(F.col("fold") == k))
+        unseen = part if unseen is None else unseen.unionByName(part)
+    unseen = write_table(unseen, "svm-margins")
+    platt = LogisticRegression(featuresCol="_fv", labelCol=Y, maxIter=100).fit(_vec(unseen, "_m"))
+    return _prob(platt.transform(_vec(margins(mapped, te), "_m")))
+
+
+def with_pca(train: DataFrame, test: DataFrame, k: int = 100) -> tuple[DataFrame, DataFrame]:
+    """X3 before the SVM and the MLP: components fit on the training rows and
+    applied to both tables; k is the vector's width if that is smaller."""
+    from fraudlens.operators.features import pca_fit_transform
+
+    k = min(k, len(train.select(X).first()[0]))
+    train, test = write_table(train.select(ID, Y, X), "pca-train"), write_table(test.select(ID, Y, X), "pca-test")
+    both = [pca_fit_transform(df, X, k, out="_pc", fit_on=train) for df in (train, test)]
+    return tuple(write_table(df.select(ID, Y, F.col("_pc").alias(X)), "pca") for df in both)
 
 
 MODEL_FITS = {
@@ -227,34 +288,25 @@ def fit_stacking(train: DataFrame, test: DataFrame, base_params: dict[str, dict]
 
     bases = ["svm", "dt", "rf", "gbt", "nb", "mlp"]
     base_params = base_params or {}
-    folded = kfold(train, Y, n_folds, seed=seed, id_col=ID).cache()
+    folded = write_table(kfold(train, Y, n_folds, seed=seed, id_col=ID), "folds")
+    test = write_table(test, "stack-test")
+    whole = folded.drop("fold")
 
     def run(task):
         name, f = task
-        if f is None:
-            p = MODEL_FITS[name](train, test, **base_params.get(name, {}))
-        else:
-            p = MODEL_FITS[name](folded.where(F.col("fold") != f).drop("fold"),
-                                 folded.where(F.col("fold") == f).drop("fold"), **base_params.get(name, {}))
-        # materialise the (small) prediction table so the fit runs in this thread
-        return name, f, checkpoint(p.select(ID, F.col("prob").alias(f"p_{name}")))
+        tr = whole if f is None else folded.where(F.col("fold") != f).drop("fold")
+        te = test if f is None else folded.where(F.col("fold") == f).drop("fold")
+        p = MODEL_FITS[name](tr, te, **base_params.get(name, {}))
+        # one long table of predictions; written, so that the fit runs in this thread
+        return write_table(p.select(ID, Y, F.lit(name).alias("model"), F.lit(f is None).alias("of_test"), "prob"), "stack-part")
 
     tasks = [(b, f) for b in bases for f in [*range(n_folds), None]]
     with ThreadPoolExecutor(max(1, parallelism)) as ex:
-        results = list(ex.map(run, tasks))
-    oof, full = None, None
-    for name in bases:
-        parts = [p for (b, f, p) in results if b == name and f is not None]
-        col = parts[0]
-        for p in parts[1:]:
-            col = col.unionByName(p)
-        oof = col if oof is None else oof.join(col, ID)
-        fp = next(p for (b, f, p) in results if b == name and f is None)
-        full = fp if full is None else full.join(fp, ID)
-    meta_train = oof.join(train.select(ID, Y), ID)
-    meta_test = full.join(test.select(ID, Y), ID)
-    cols = [f"p_{b}" for b in bases]
-    meta = LogisticRegression(featuresCol="_fv", labelCol=Y, maxIter=500).fit(
-        meta_train.withColumn("_fv", array_to_vector(F.array(*cols))))
-    out = _prob(meta.transform(meta_test.withColumn("_fv", array_to_vector(F.array(*cols)))))
-    return out
+        parts = list(ex.map(run, tasks))
+    long = parts[0]
+    for p in parts[1:]:
+        long = long.unionByName(p)
+    wide = write_table(long.groupBy("of_test", ID, Y).agg(
+        F.array(*[F.max(F.when(F.col("model") == b, F.col("prob"))) for b in bases]).alias("_ps")), "stack")
+    meta = LogisticRegression(featuresCol="_fv", labelCol=Y, maxIter=500).fit(_vec(wide.where(~F.col("of_test")), "_ps"))
+    return _prob(meta.transform(_vec(wide.where("of_test"), "_ps")))

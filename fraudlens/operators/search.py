@@ -32,8 +32,9 @@ SPACES: dict[str, dict] = {
            "class_weight": ("cat", [None, "balanced"])},
     "svm": {"kernel": ("cat", ["rbf", "poly"]), "C": ("log", 1e-4, 10.0),
             "gamma": ("log", 1e-5, 1e-1), "class_weight": ("cat", [None, "balanced"])},
-    "mlp": {"n_layers": ("int", 1, 3), "n_units": ("int", 32, 256),
-            "solver": ("cat", ["adam", "lbfgs"]), "learning_rate_init": ("log", 1e-4, 1e-2)},
+    "mlp": {"n_layers": ("int", 1, 3), "n_units": ("int", 32, 256), "activation": ("cat", ["relu", "tanh"]),
+            "solver": ("cat", ["gd", "lbfgs"]), "alpha": ("log", 1e-6, 1e-2),
+            "learning_rate": ("cat", ["constant", "adaptive"]), "learning_rate_init": ("log", 1e-4, 1e-2)},
     "dt": {"criterion": ("cat", ["gini", "entropy"]), "max_depth": ("int", 3, 15),
            "min_samples_split": ("int", 2, 20), "min_samples_leaf": ("int", 1, 10),
            "max_features": ("cat", [None, "sqrt", "log2"]), "class_weight": ("cat", [None, "balanced"])},
@@ -45,7 +46,16 @@ SPACES: dict[str, dict] = {
 }
 # Conditional dimensions: the polynomial kernel also draws a degree in 2..5;
 # the MLP draws one width per layer.
-CONDITIONAL = {("svm", "kernel", "poly"): {"degree": ("int", 2, 5)}}
+CONDITIONAL = {("svm", "kernel", "poly"): {"degree": ("int", 2, 5), "coef0": ("float", 0.0, 1.0)},
+               ("svm", "kernel", "rbf"): {"degree": ("int", 1, 10)},
+               ("lr", "penalty", "l2"): {"solver": ("cat", ["liblinear", "saga"])}}
+# Drawn and recorded with every trial, but without effect on the fit here: the
+# solver of the logistic regression (Spark has one), degree under the rbf
+# kernel and coef0 (without effect in the reference as well), and the MLP's
+# activation, alpha and learning-rate schedule (Spark's MLP has sigmoid units
+# and no penalty). Its "adam" is replaced by gradient descent in the draw
+# itself, so that a trial names the solver that ran.
+UNUSED = {"lr": {"solver"}, "svm": {"coef0"}, "mlp": {"activation", "alpha", "learning_rate"}}
 # ---------------------------------------------------------------------------------
 
 
@@ -84,16 +94,24 @@ def run_search(spark: SparkSession, model: str, objective: Callable[[dict], floa
     def one(i_p):
         i, p = i_p
         try:
-            return (model, i, json.dumps(p, sort_keys=True, default=str), float(objective(p)), "ok")
-        except Exception:  # noqa: BLE001 - T17: a failed trial scores 0
-            return (model, i, json.dumps(p, sort_keys=True, default=str), 0.0, "failed")
+            return (model, i, json.dumps(p, sort_keys=True, default=str), float(objective(p)), "ok", None)
+        except Exception as e:  # noqa: BLE001 - T17: a failed trial scores 0 and says why
+            return (model, i, json.dumps(p, sort_keys=True, default=str), 0.0, "failed", f"{type(e).__name__}: {e}"[:2000])
 
     if parallelism > 1:
         with ThreadPoolExecutor(parallelism) as ex:
             rows = list(ex.map(one, enumerate(params)))
     else:
         rows = [one(x) for x in enumerate(params)]
-    return spark.createDataFrame(rows, "model string, trial int, params string, score double, status string")
+    return spark.createDataFrame(rows, "model string, trial int, params string, score double, status string, error string")
+
+
+def used(model: str, params: dict) -> dict:
+    """The parameters of a trial that the fit takes."""
+    out = {k: v for k, v in params.items() if k not in UNUSED.get(model, ())}
+    if model == "svm" and out.get("kernel") == "rbf":
+        out.pop("degree", None)
+    return out
 
 
 def best_trial(trials: DataFrame) -> DataFrame:

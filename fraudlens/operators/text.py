@@ -159,7 +159,8 @@ def cnn_embedding(df: DataFrame, text_col: str = "Review", vocab: int = DEFAULT_
                   emb: int = 128, channels: int = 100, widths=(3, 4, 5), seed: int = 11,
                   out: str = "cnn") -> DataFrame:
     """Embedding -> 1-D convolutions (widths 3/4/5 x 100) -> ReLU -> max
-    over time -> 300 floats, over the whole text padded to >= ``pad_to``."""
+    over time -> 300 floats, over the whole text padded to >= ``pad_to``. A
+    NULL text is all padding, as an empty one is."""
     widths = tuple(widths)
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
@@ -167,7 +168,7 @@ def cnn_embedding(df: DataFrame, text_col: str = "Review", vocab: int = DEFAULT_
         vecs = cnn_forward(list(col.to_numpy()), vocab, emb, channels, widths, seed)
         return pd.Series(list(vecs))
 
-    return df.withColumn(out, encode(token_ids(text_col, vocab, pad_to)))
+    return df.withColumn(out, encode(token_ids(F.coalesce(F.col(text_col), F.lit("")), vocab, pad_to)))
 
 
 def projection_2d(df: DataFrame, id_col: str, vec_col: str, label_col: str | None = None) -> DataFrame:

@@ -168,7 +168,7 @@ def knn_lsh(spark, sf_dir):
     """Approximate 50-NN graph by bucketed random projections."""
     e = adapters.load_table(spark, sf_dir, "embeddings")
     e = e.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    return graph.knn_graph_lsh(e, "vec_id", "v", K, bucket_length=4.0, num_hash_tables=4, radius=12.0)
+    return graph.knn_graph_lsh(e, "vec_id", "v", K, num_hash_tables=4)
 
 
 @query("spectral_qr")
@@ -190,21 +190,21 @@ def spectral_kmeans(spark, sf_dir):
 _SEARCHES: dict = {}
 
 
-def view_weight_search(spark, sf_dir, n_trials: int = 3, seed: int = 42, max_steps: int = 20):
-    """Memoised per session, folder and settings (G9 reuses G8's trials)."""
-    key = (id(spark), sf_dir, n_trials, seed, max_steps)
+def view_weight_search(spark, sf_dir, n_trials: int = 10, seed: int = 42):
+    """Memoised per application, folder and settings (G9 reuses G8's trials)."""
+    key = (spark.sparkContext.applicationId, sf_dir, n_trials, seed)
     if key not in _SEARCHES:
-        _SEARCHES[key] = _view_weight_search(spark, sf_dir, n_trials, seed, max_steps)
+        _SEARCHES[key] = _view_weight_search(spark, sf_dir, n_trials, seed)
     return _SEARCHES[key]
 
 
-def _view_weight_search(spark, sf_dir, n_trials: int, seed: int, max_steps: int):
+def _view_weight_search(spark, sf_dir, n_trials: int, seed: int):
     """Seeded search of view weights in [0.1, 0.8] (normalised to sum 1),
     each trial = fuse -> symmetrise -> spectral k-means -> ARI vs truth.
-    The view graphs are checkpointed once and reused by every trial."""
+    The view graphs are written once and reused by every trial."""
     from fraudlens.operators import cluster, evaluate, search
-    from fraudlens.session import checkpoint
-    views = {v: checkpoint(g) for v, g in view_graphs(spark, sf_dir).items()}
+    from fraudlens.session import write_table
+    views = {v: write_table(g, "view-graph") for v, g in view_graphs(spark, sf_dir).items()}
     names = list(views)
     truth = _truth(spark, sf_dir)
 
@@ -212,17 +212,17 @@ def _view_weight_search(spark, sf_dir, n_trials: int, seed: int, max_steps: int)
         w = [p["w1"], p["w2"], p["w3"]]
         tot = sum(w)
         fused = graph.fuse_graphs(views, {n: x / tot for n, x in zip(names, w)})
-        lab = cluster.spectral_clustering(graph.symmetrize(fused), "kmeans", seed=42, max_steps=max_steps)
+        lab = cluster.spectral_clustering(graph.symmetrize(fused), "kmeans", seed=42)
         return evaluate.adjusted_rand_index(lab.join(truth, "id"), "label", "cluster").first()["ari"]
 
     params = search.sample_params("views", n_trials, seed)
-    trials = checkpoint(search.run_search(spark, "views", objective, params))
+    trials = write_table(search.run_search(spark, "views", objective, params, parallelism=5), "trials")
     return trials, views, names, truth
 
 
 @query("view_weight_search")
 def view_weight_search_q(spark, sf_dir):
-    """G8 (H2, U4): three view-weight trials scored by ARI (trial table)."""
+    """G8 (H2, U4): ten view-weight trials scored by ARI (trial table)."""
     trials, _, _, _ = view_weight_search(spark, sf_dir)
     return trials
 
@@ -239,3 +239,71 @@ def spectral_best_weights(spark, sf_dir):
     fused = graph.fuse_graphs(views, {n: x / sum(w) for n, x in zip(names, w)})
     lab = cluster.spectral_clustering(graph.symmetrize(fused), "kmeans", seed=42)
     return lab.join(truth, "id")
+
+
+# ---- path 2 on the reviews themselves ---------------------------------------------------
+
+REVIEW_VIEWS = ["semantic", "behavior", "cnn"]
+_REVIEW_GRAPHS: dict = {}
+
+
+def review_graphs(spark, sf_dir):
+    """The three views of the reviews and their exact kNN graphs, written
+    once per application and folder."""
+    from fraudlens.plans import pipeline
+    from fraudlens.session import write_table
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _REVIEW_GRAPHS:
+        v = write_table(pipeline.review_views(spark, sf_dir, "docs", with_cnn=True), "review-views")
+        _REVIEW_GRAPHS[key] = v, {name: write_table(graph.knn_graph(v, "review_id", name, K), "review-graph") for name in REVIEW_VIEWS}
+    return _REVIEW_GRAPHS[key]
+
+
+def _review_clusters(spark, sf_dir, how: str) -> DataFrame:
+    from fraudlens.operators import cluster
+    v, graphs = review_graphs(spark, sf_dir)
+    fused = graph.fuse_graphs(graphs, graph.view_weights(graphs, v.agg(F.count(F.lit(1)).alias("n"))))
+    labels = cluster.spectral_clustering(graph.symmetrize(fused), how)
+    return labels.join(v.select(F.col("review_id").alias("id"), "label"), "id")
+
+
+@query("review_behavior_graph")
+def review_behavior_graph(spark, sf_dir):
+    """G1 on the reviews' behaviour view: exact 50-NN graph."""
+    return review_graphs(spark, sf_dir)[1]["behavior"]
+
+
+@query("review_clusters")
+def review_clusters(spark, sf_dir):
+    """Path 2 end to end: semantic, behaviour and CNN views of the same
+    reviews, fused graph (G1-G3b), spectral clusters by both label rules
+    (G4, G5) with the true label."""
+    return (_review_clusters(spark, sf_dir, "cluster_qr").withColumn("assign", F.lit("cluster_qr"))
+            .unionByName(_review_clusters(spark, sf_dir, "kmeans").withColumn("assign", F.lit("kmeans"))))
+
+
+@query("review_cluster_agreement")
+def review_cluster_agreement(spark, sf_dir):
+    """G6, G7, A9 of the real clusters: ARI, NMI and the crosstab's counts per label rule."""
+    from fraudlens.operators import evaluate
+    from fraudlens.session import write_table
+    out = None
+    for how in ("cluster_qr", "kmeans"):
+        c = write_table(_review_clusters(spark, sf_dir, how), "review-clusters")
+        row = c.agg(*[F.count_if((F.col("label") == y) & (F.col("cluster") == k)).alias(f"label_{y}_cluster_{k}") for y in (0, 1) for k in (0, 1)])
+        row = row.select(F.lit(how).alias("assign"), "*", evaluate.adjusted_rand_index(c).scalar().alias("ari"),
+                         evaluate.normalized_mutual_info(c).scalar().alias("nmi"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("review_projections")
+def review_projections(spark, sf_dir):
+    """E5 of the three review views: two principal components each."""
+    from fraudlens.operators import text
+    v, _ = review_graphs(spark, sf_dir)
+    out = None
+    for name in REVIEW_VIEWS:
+        p = text.projection_2d(v, "review_id", name, "label").withColumn("view", F.lit(name))
+        out = p if out is None else out.unionByName(p)
+    return out

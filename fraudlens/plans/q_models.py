@@ -2,23 +2,21 @@
 
 The model queries fit on the training part of the fused review matrix
 (documents adapter, whole table) and return validation probabilities
-``(id, label, prob)``. Tree and boosting budgets of these registered
-queries are one fixed point of the search space (stated per query); the
-search itself is ``param_search``.
+``(id, label, prob)``. Each uses one fixed point of its search space (stated
+per query); the searches themselves are the ``param_search_*`` queries.
 """
 
 from __future__ import annotations
 
 import json
 
-from pyspark.ml.functions import array_to_vector  # noqa: F401  (documented dependency)
 from pyspark.sql import functions as F
 
 from fraudlens.operators import evaluate, features, models, search
 from fraudlens.operators.sampling import train_val_split
 from fraudlens.plans import pipeline
 from fraudlens.plans.registry import query
-from fraudlens.session import checkpoint
+from fraudlens.session import write_table
 from fraudlens.sources import adapters
 
 
@@ -26,11 +24,11 @@ _MATRICES: dict = {}
 
 
 def _matrix(spark, sf_dir):
-    """The fused review matrix, built once per session and folder and
-    checkpointed (shared checkpoint folder), then split."""
-    key = (id(spark), sf_dir)
+    """The fused review matrix, built once per application and folder and
+    written to the shared checkpoint folder, then split."""
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MATRICES:
-        _MATRICES[key] = checkpoint(pipeline.model_matrix(spark, sf_dir, "docs"))
+        _MATRICES[key] = write_table(pipeline.model_matrix(spark, sf_dir, "docs"), "matrix")
     return pipeline.split(_MATRICES[key])
 
 
@@ -75,85 +73,167 @@ def fit_logreg(spark, sf_dir):
     return models.fit_logreg(tr, va, C=1.0, penalty="l2", class_weight="balanced")
 
 
+def _neg_pos(tr) -> float:
+    """A10 on the training rows: the boosted trees' positive weight."""
+    return tr.agg(F.try_divide(F.count_if(F.col("label") == 0).cast("double"),
+                               F.count_if(F.col("label") == 1).cast("double"))).first()[0]
+
+
+# One fixed point of each search space.
+GBT = {"n_estimators": 200, "max_depth": 4, "learning_rate": 0.1, "subsample": 0.8, "colsample": 0.8}
+POINTS = {
+    "svm": {"kernel": "rbf", "C": 1.0, "class_weight": "balanced"},
+    "mlp": {"hidden": (64,), "solver": "lbfgs", "max_iter": 200},
+    "lr": {"C": 1.0, "penalty": "l2", "class_weight": "balanced"},
+    "gbt": GBT,
+    "dt": {"criterion": "entropy", "max_depth": 6, "min_samples_leaf": 2, "class_weight": "balanced"},
+    "rf": {"n_estimators": 100, "max_depth": 8, "max_features": "sqrt", "class_weight": "balanced"},
+    "nb": {"var_smoothing": 1e-9},
+}
+PCA_FIRST = ("svm", "mlp")  # X3 stands before these two
+
+
+def _fit(name: str, tr, va, params: dict):
+    """One model on the training rows, its validation probabilities."""
+    if name in PCA_FIRST:
+        tr, va = models.with_pca(tr, va)
+    if name == "gbt":
+        params = {"scale_pos_weight": _neg_pos(tr)} | params
+    return models.MODEL_FITS[name](tr, va, **params)
+
+
 @query("fit_gbt")
 def fit_gbt(spark, sf_dir):
-    """M1: boosted trees, 50 rounds, depth 4, learning rate 0.1, positive
+    """M1: boosted trees, 200 rounds, depth 4, learning rate 0.1, positive
     weight neg/pos (A10)."""
-    tr, va = _matrix(spark, sf_dir)
-    ratio = tr.agg(F.try_divide(F.count_if(F.col("label") == 0).cast("double"),
-                                F.count_if(F.col("label") == 1).cast("double"))).first()[0]
-    return models.fit_gbt(tr, va, n_estimators=50, max_depth=4, learning_rate=0.1, subsample=0.8,
-                          colsample=0.8, scale_pos_weight=ratio)
+    return _fit("gbt", *_matrix(spark, sf_dir), POINTS["gbt"])
 
 
 @query("fit_svm")
 def fit_svm(spark, sf_dir):
-    """M3: rbf kernel via 256 random Fourier features + linear SVM + Platt."""
-    tr, va = _matrix(spark, sf_dir)
-    return models.fit_svm(tr, va, kernel="rbf", C=1.0, class_weight="balanced")
+    """M3: PCA, rbf kernel via 512 random Fourier features, linear SVM, Platt."""
+    return _fit("svm", *_matrix(spark, sf_dir), POINTS["svm"])
 
 
 @query("fit_mlp")
 def fit_mlp(spark, sf_dir):
-    """M4: perceptron with one hidden layer of 64, l-bfgs."""
-    tr, va = _matrix(spark, sf_dir)
-    return models.fit_mlp(tr, va, hidden=(64,), solver="lbfgs", max_iter=100)
+    """M4: PCA, perceptron with one hidden layer of 64, l-bfgs, 200 iterations."""
+    return _fit("mlp", *_matrix(spark, sf_dir), POINTS["mlp"])
 
 
 @query("fit_tree")
 def fit_tree(spark, sf_dir):
     """M5: decision tree, entropy, depth 6, balanced weights."""
-    tr, va = _matrix(spark, sf_dir)
-    return models.fit_tree(tr, va, criterion="entropy", max_depth=6, min_samples_leaf=2,
-                           class_weight="balanced")
+    return _fit("dt", *_matrix(spark, sf_dir), POINTS["dt"])
 
 
 @query("fit_forest")
 def fit_forest(spark, sf_dir):
     """M6: random forest, 100 trees, depth 8, sqrt features."""
-    tr, va = _matrix(spark, sf_dir)
-    return models.fit_forest(tr, va, n_estimators=100, max_depth=8, max_features="sqrt",
-                             class_weight="balanced")
+    return _fit("rf", *_matrix(spark, sf_dir), POINTS["rf"])
+
+
+def _stacked(tr, va):
+    """M8 with the points of its bases; plain vectors, as in the reference."""
+    params = {b: dict(POINTS[b]) for b in ("svm", "dt", "rf", "gbt", "nb", "mlp")}
+    params["gbt"]["scale_pos_weight"] = _neg_pos(tr)
+    return models.fit_stacking(tr, va, params, n_folds=5)
 
 
 @query("fit_stacking")
 def fit_stacking(spark, sf_dir):
-    """M8: stacking of svm, dt, rf, gbt, nb, mlp with a logistic meta-model
-    (5 stratified folds; base budgets reduced: 20 trees / 20 rounds)."""
-    tr, va = _matrix(spark, sf_dir)
-    params = {"rf": {"n_estimators": 20, "max_depth": 6}, "gbt": {"n_estimators": 20, "max_depth": 3},
-              "mlp": {"hidden": (32,), "max_iter": 50}, "dt": {"max_depth": 5}}
-    return models.fit_stacking(tr, va, params, n_folds=5)
+    """M8: stacking of svm, dt, rf, gbt, nb, mlp with a logistic meta-model (5 stratified folds)."""
+    return _stacked(*_matrix(spark, sf_dir))
+
+
+_SCORES: dict = {}
+
+
+def model_scores(spark, sf_dir):
+    """(model, id, label, score) of the eight models on the validation rows;
+    fitted once per application and folder and written as one table."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SCORES:
+        tr, va = _matrix(spark, sf_dir)
+        out = None
+        for name in [*POINTS, "stacking"]:
+            p = _stacked(tr, va) if name == "stacking" else _fit(name, tr, va, POINTS[name])
+            p = write_table(p.select(F.lit(name).alias("model"), "id", "label", F.col("prob").alias("score")), "scores")
+            out = p if out is None else out.unionByName(p)
+        _SCORES[key] = write_table(out, "model-scores")
+    return _SCORES[key]
+
+
+@query("model_leaderboard")
+def model_leaderboard(spark, sf_dir):
+    """Path 3 end to end: review matrix, split, the eight models, their
+    thresholds and metrics ranked by AUC (V1-V9), and the majority baseline
+    (T3) as a ninth, unranked row."""
+    scores = model_scores(spark, sf_dir)
+    board = evaluate.leaderboard(scores)
+    base = evaluate.majority_baseline(scores.where(F.col("model") == "nb")).withColumn("rank", F.lit(None).cast("int"))
+    return board.unionByName(base.select(*board.columns))
+
+
+@query("model_roc_curves")
+def model_roc_curves(spark, sf_dir):
+    """V7 of the eight models: one ROC point per model and distinct score."""
+    return evaluate.roc_curve(model_scores(spark, sf_dir), by=["model"])
+
+
+def _study(model: str, seed: int):
+    """H1-H3: ten seeded trials of a space, scored by validation AUC. The
+    vectors (after PCA, for the two models that want it) are written once
+    and shared by the trials."""
+    def run(spark, sf_dir):
+        tr, va = _matrix(spark, sf_dir)
+        if model in PCA_FIRST:
+            tr, va = models.with_pca(tr, va)
+        else:
+            tr, va = write_table(tr, "study-train"), write_table(va, "study-test")
+        more = {"scale_pos_weight": _neg_pos(tr)} if model == "gbt" else {}
+
+        def objective(p):
+            pred = models.MODEL_FITS[model](tr, va, **more, **search.used(model, p))
+            return evaluate.roc_auc(pred, score_col="prob").first()["roc_auc"] or 0.0
+
+        trials = write_table(search.run_search(spark, model, objective, search.sample_params(model, 10, seed), parallelism=4), "trials")
+        best = search.best_trial(trials).select("model", F.col("trial").alias("_bt"))
+        return trials.join(best, "model").withColumn("is_best", F.col("trial") == F.col("_bt")).drop("_bt")
+    run.__doc__ = f"H1-H3: ten trials of the {model} study, with the best one marked."
+    return run
+
+
+for _i, _m in enumerate(("nb", "lr", "svm", "mlp", "dt", "rf", "gbt")):
+    query(f"param_search_{_m}")(_study(_m, _i + 1))
 
 
 @query("param_search")
 def param_search(spark, sf_dir):
-    """H1-H3: ten seeded trials of the naive-Bayes and logistic-regression
-    spaces, scored by validation AUC; the trial table with the best trial
-    of each study flagged."""
-    tr, va = _matrix(spark, sf_dir)
+    """H2: the naive-Bayes and logistic-regression studies in one trial table."""
+    return _study("nb", 1)(spark, sf_dir).unionByName(_study("lr", 2)(spark, sf_dir))
 
-    def objective(fit):
-        def f(p):
-            pred = fit(tr, va, **p)
-            return evaluate.roc_auc(pred, score_col="prob").first()["roc_auc"] or 0.0
-        return f
 
-    t_nb = search.run_search(spark, "nb", objective(models.fit_gaussian_nb), search.sample_params("nb", 10, 1))
-    t_lr = search.run_search(spark, "lr", objective(models.fit_logreg), search.sample_params("lr", 10, 2))
-    trials = t_nb.unionByName(t_lr)
-    best = search.best_trial(trials).select("model", F.col("trial").alias("_bt"))
-    return trials.join(best, "model").withColumn("is_best", F.col("trial") == F.col("_bt")).drop("_bt")
+@query("best_refit")
+def best_refit(spark, sf_dir):
+    """H3: the logistic regression refit with its best trial's parameters;
+    validation probabilities."""
+    trials = _study("lr", 2)(spark, sf_dir)
+    best = json.loads(trials.where("is_best").first()["params"])
+    return _fit("lr", *_matrix(spark, sf_dir), search.used("lr", best))
 
 
 @query("pca_train_val")
 def pca_train_val(spark, sf_dir):
-    """PCA to 10 dims fit on the training rows (centred with their
-    mean) and applied to the validation rows."""
-    tr, va = _matrix(spark, sf_dir)
-    p = features.pca_fit_transform(va, "features", 10, out="pca", fit_on=tr)
-    return p.select("id", "label", "pca")
+    """PCA to min(100, width) components, fit on the training rows
+    (centred with their mean) and applied to the validation rows."""
+    return models.with_pca(*_matrix(spark, sf_dir))[1].select("id", "label", F.col("features").alias("pca"))
 
 
-def _json(o):  # pragma: no cover - helper for notebooks
-    return json.dumps(o, sort_keys=True, default=str)
+@query("pca_all")
+def pca_all(spark, sf_dir):
+    """The same components, fit on and applied to all rows."""
+    tr, va = _matrix(spark, sf_dir)
+    rows = write_table(tr.unionByName(va).select("id", "label", "features"), "matrix")
+    k = min(100, len(rows.select("features").first()[0]))
+    return features.pca_fit_transform(rows, "features", k, out="pca").select("id", "label", "pca")

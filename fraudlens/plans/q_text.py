@@ -30,9 +30,9 @@ def embed_semantic(spark, sf_dir):
 
 @query("embed_ngram_cnn")
 def embed_ngram_cnn(spark, sf_dir):
-    """E4 (U3): 300-dim n-gram CNN vector of every labelled review text."""
-    r = adapters.reviews_docs(spark, sf_dir).select("review_id", "Review")
-    return text.cnn_embedding(r, "Review").select("review_id", "cnn")
+    """E4 (U3): 300-dim n-gram CNN vector of every document's whole text."""
+    d = adapters.load_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return text.cnn_embedding(d, "text").select("doc_id", "cnn")
 
 
 @query("projection_2d")
