@@ -9,7 +9,7 @@ from fraudlens.functions.columns import (fill_zero, label_fixed, label_name, thr
                                          to_timestamp_safe, truncate_int)
 from fraudlens.operators import prep, sampling
 from fraudlens.plans.registry import query
-from fraudlens.plans.sql import J1, ORDERS, ORDERS_NOTEXT
+from fraudlens.plans.sql import EVENTS, J1, ORDERS, ORDERS_NOTEXT
 from fraudlens.sources import adapters, sinks
 
 
@@ -207,3 +207,38 @@ def count_where(spark, sf_dir):
     j = joined_orders(spark, sf_dir, with_text=False)
     return j.agg(F.count_if(F.col("label") == 1).alias("n_pos"), F.count_if(F.col("label") == -1).alias("n_neg"),
                  F.count_if(F.col("label").isNull()).alias("n_null"))
+
+
+@query("tsv_round_trip", f"""
+WITH {EVENTS},
+c AS (SELECT user_id, prod_id, CAST(epoch_us(date) AS VARCHAR) AS date, Review FROM reviews_events),
+m AS (SELECT user_id, prod_id, rating, label, CAST(epoch_us(date) AS VARCHAR) AS date FROM reviews_events WHERE review_id % 50 <> 0)
+SELECT c.user_id, c.prod_id, c.date, c.Review, m.rating, m.label
+FROM c LEFT JOIN m ON c.user_id = m.user_id AND c.prod_id = m.prod_id AND c.date = m.date""")
+def tsv_round_trip(spark, sf_dir):
+    """S1, S2 (+J1): content and metadata written as tab-separated files to
+    the shared folder, read back with the two scans, and joined."""
+    import uuid
+
+    from fraudlens.session import ensure_checkpoint_dir
+    from fraudlens.sources import tsv
+    ev = adapters.reviews_events(spark, sf_dir).withColumn(
+        "date", F.unix_micros(F.col("date").cast("timestamp")).cast("string"))
+    home = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tsv-{uuid.uuid4().hex}"
+    tsv.write_tsv(ev.select("user_id", "prod_id", "date", "Review"), f"{home}/content")
+    tsv.write_tsv(ev.where(F.col("review_id") % 50 != 0).select("user_id", "prod_id", "rating", "label", "date"), f"{home}/metadata")
+    j = prep.left_join_reviews(tsv.read_content(spark, f"{home}/content"), tsv.read_metadata(spark, f"{home}/metadata"))
+    return j.select("user_id", "prod_id", "date", "Review", "rating", "label")
+
+
+@query("tsv_graph", f"""
+WITH {EVENTS} SELECT review_id AS "ID", user_id AS unknown, rating AS "Rating" FROM reviews_events""")
+def tsv_graph(spark, sf_dir):
+    """S3: the three-column label file, written and scanned."""
+    import uuid
+
+    from fraudlens.session import ensure_checkpoint_dir
+    from fraudlens.sources import tsv
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tsv-graph-{uuid.uuid4().hex}"
+    tsv.write_tsv(adapters.reviews_events(spark, sf_dir).select("review_id", "user_id", "rating"), path)
+    return tsv.read_graph(spark, path)
