@@ -7,7 +7,6 @@ functions  column expressions (label maps, text stats, time gaps, grids)
 operators  joins, sampling, behavioural features, transforms, graphs,
            clustering, text embedding, models, search, evaluation
 plans      end-to-end pipelines and the query registry
-streaming  (no streaming operator exists in the reference; see README)
 """
 
 __version__ = "0.1.0"

@@ -95,11 +95,6 @@ def threshold_at(j) -> Column:
             + _c(j).cast("double") * F.lit(GRID_SPAN) / F.lit(float(GRID_SIZE - 1)))
 
 
-def threshold_grid() -> Column:
-    """F8: array of the 200 thresholds."""
-    return F.transform(F.sequence(F.lit(0), F.lit(GRID_SIZE - 1)), lambda j: threshold_at(j))
-
-
 def grid_bin(score) -> Column:
     """Number of grid thresholds ``t`` with ``t <= score`` (0..200).
 

@@ -78,10 +78,9 @@ def text_stats(reviews: DataFrame) -> DataFrame:
 
 
 def with_time_gaps(narrow: DataFrame, n_slices: int | None = None) -> DataFrame:
-    """User and product gaps, then global min-max scaling. Each gap
-    is written once: the second slicing passes over its input twice (bounds,
-    then rows), and so does the scaling (bounds of the values, then rows)."""
-    g = write_table(time_gap(narrow, "user_id", "time_since_prev", n_slices=n_slices), "user-gaps")
+    """User and product gaps, then global min-max scaling. The gaps
+    are written once: the scaling reads them twice (bounds, then rows)."""
+    g = time_gap(narrow, "user_id", "time_since_prev", n_slices=n_slices)
     g = write_table(time_gap(g, "prod_id", "time_since_prev_prod", n_slices=n_slices), "gaps")
     return minmax_scale(g, ["time_since_prev", "time_since_prev_prod"])
 
@@ -133,9 +132,8 @@ def behavior_features(reviews: DataFrame, n_slices: int | None = None) -> DataFr
     gaps scaled globally, product/user statistics over the given rows; a
     NULL product key gives NULL product statistics (prod_rating_var 0).
     """
-    # Range slicing passes over its input twice (bound sampling, shuffle)
-    # and the entropy reads it again: write the narrow rows once instead of
-    # recomputing the join and the text measurement each time.
+    # The gaps and the entropy both read the narrow rows: write them once
+    # instead of repeating the join and the text measurement.
     n = write_table(narrow_reviews(reviews), "reviews")
     g = with_time_gaps(n, n_slices)
     # one user-level table (B7-B11) and one entropy table, joined once

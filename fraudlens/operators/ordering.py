@@ -28,10 +28,19 @@ from fraudlens.session import write_table
 SLICE = "_slice"
 
 
-def _n_slices(df: DataFrame, n: int | None) -> int:
+#: Rows that one slice should hold at most, and at least where the shuffle
+#: setting asks for more slices than the size does.
+ROWS_PER_SLICE, LEAST_ROWS = 200_000, 5_000
+
+
+def _n_slices(written: DataFrame, n: int | None) -> int:
+    """Slices by the number of rows, so that a slice of a hot key stays as
+    large as any other when the table grows."""
     if n:
         return int(n)
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    rows = written.count()  # from the footers of the written files
+    wanted = int(written.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(1, -(-rows // ROWS_PER_SLICE), min(wanted, -(-rows // LEAST_ROWS)))
 
 
 def _sliced(df: DataFrame, part_cols: list[str], order_cols: list[str], n: int | None) -> DataFrame:
@@ -43,8 +52,10 @@ def _sliced(df: DataFrame, part_cols: list[str], order_cols: list[str], n: int |
     output), they could sample different bounds and disagree on slices.
     Writing the sliced rows as a table in the shared checkpoint folder
     pins one assignment (the slice is a stored column) that every branch
-    reads and that survives executor loss.
+    reads and that survives executor loss. The input is written before, since
+    slicing reads it three times (row count, bounds, rows).
     """
+    df = write_table(df, "unsliced")
     sliced = (df.repartitionByRange(_n_slices(df, n), *[F.col(c).asc_nulls_first() for c in part_cols + order_cols])
                 .withColumn(SLICE, F.spark_partition_id()))
     return write_table(sliced, "sliced")

@@ -16,6 +16,7 @@ from fraudlens.operators import evaluate, features, models, search
 from fraudlens.operators.sampling import train_val_split
 from fraudlens.plans import pipeline
 from fraudlens.plans.registry import query
+from fraudlens.plans.sql import DOCS
 from fraudlens.session import write_table
 from fraudlens.sources import adapters
 
@@ -66,6 +67,20 @@ def gaussian_nb(spark, sf_dir):
     return models.fit_gaussian_nb(tr, va, 1e-9)
 
 
+@query("model_split", f"""
+WITH {DOCS},
+base AS (SELECT review_id, CASE WHEN label = -1 THEN 0 ELSE label END AS y FROM reviews_docs),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5(CAST(review_id AS VARCHAR) || '|42'), review_id) AS rn,
+                  ceil(0.2 * count(*) OVER (PARTITION BY y)) AS k FROM base)
+SELECT review_id AS id, y AS label, rn <= k AS is_val, CAST(78 AS INTEGER) AS width FROM ranked""")
+def model_split(spark, sf_dir):
+    """The rows that every model is fit on and judged by: id, label, split
+    flag (K2) and the width of the fused vector (64 semantic + 14 behavioural)."""
+    tr, va = _matrix(spark, sf_dir)
+    one = lambda df, v: df.select("id", "label", F.lit(v).alias("is_val"), F.size("features").alias("width"))
+    return one(tr, False).unionByName(one(va, True))
+
+
 @query("fit_logreg")
 def fit_logreg(spark, sf_dir):
     """M2: logistic regression, C = 1, L2, balanced weights, 2000 iterations."""

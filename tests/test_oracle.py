@@ -2,11 +2,15 @@
 import pytest
 
 SF = "/root/testdata/sf0.001"
-FAST = ["left_join_reviews", "null_profile", "stratified_sample", "kfold", "user_gap", "behavior_features",
-        "threshold_sweep", "roc_auc", "leaderboard", "knn_graph", "gaussian_nb", "box_stats"]
 
 
-@pytest.mark.parametrize("name", FAST)
+def _names():
+    from fraudlens.plans import registry
+    registry.load_all()
+    return sorted(registry.ORACLE)
+
+
+@pytest.mark.parametrize("name", _names())
 def test_query_matches_oracle(spark, name):
     import os
     if not os.path.isdir(SF):
