@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -63,6 +64,25 @@ def checkpoint(df, eager: bool = True):
     return df.checkpoint(eager=eager)
 
 
+_SCOPES: list[str] = []
+
+
+@contextlib.contextmanager
+def table_scope(spark: SparkSession):
+    """Owner of the tables written inside it: they go to one folder of the
+    shared checkpoint space, which is deleted at the end. Results that are
+    still needed must be written elsewhere before. Without a scope, tables
+    stay until the folder's owner clears it."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/scope-{uuid.uuid4().hex}"
+    _SCOPES.append(path)
+    try:
+        yield path
+    finally:
+        _SCOPES.remove(path)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def write_table(df, name: str = "table"):
     """Cut lineage by writing ``df`` as a parquet table under the shared
     checkpoint folder and reading it back.
@@ -70,9 +90,10 @@ def write_table(df, name: str = "table"):
     One write job, columnar and compressed; unlike ``checkpoint()`` (a count
     job, then a second job that recomputes the lineage to save it row by
     row) the input is computed once. The copy lives in the cluster's shared
-    folder, so it survives the loss of any executor."""
+    folder, so it survives the loss of any executor. The innermost
+    ``table_scope`` owns it, if there is one."""
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
+    base = _SCOPES[-1] if _SCOPES else f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables"
+    path = f"{base}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)

@@ -60,3 +60,13 @@ def test_cluster_without_shared_checkpoint_dir_raises():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         ensure_checkpoint_dir(Session())
+
+
+def test_tables_of_a_scope_are_deleted(spark):
+    from fraudlens.session import table_scope, write_table
+    with table_scope(spark) as path:
+        inside = write_table(spark.range(5), "scoped")
+        assert inside.count() == 5 and path.rsplit("/", 1)[1] in inside.inputFiles()[0]
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    assert not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path))
+    assert path.rsplit("/", 1)[1] not in write_table(spark.range(2), "free").inputFiles()[0]
