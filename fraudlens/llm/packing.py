@@ -16,8 +16,8 @@ come from the same run of the tasks, so a lost executor cannot make the two
 disagree.
 
 Tokenising: white space is dropped by this tokenizer and no token spans it,
-so a text is cut at blanks and newlines and each distinct word is encoded
-by the tokenizers library once per worker (``KNOWN_WORDS`` are remembered).
+so a text is cut at blanks and newlines and distinct words are encoded by the
+tokenizers library once; a worker remembers about ``KNOWN_WORDS`` of them.
 
 Edge cases: a null or empty text is the end-of-text id alone. Repeated rows
 are packed as often as they occur. A document of any length is cut over as
@@ -28,6 +28,7 @@ than document id and text are not read.
 from __future__ import annotations
 
 import os
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,32 +42,66 @@ from fraudlens.llm.common import write_table
 WINDOW, N_OPEN, MIN_CUT, END_ID = 4096, 32, 16, 2
 #: Partitions whose leftovers are merged by one task.
 GROUP = 64
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 250_000
+#: Signs that may follow a run of letters and are tokens of their own.
+SIGNS = ".,!?;:%&#*$|"
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 class Tokenizer:
-    """Whole-text ids of the tokenizers library, word by word."""
+    """Whole-text ids of the tokenizers library, from its ids of single words.
+
+    Letters and the signs after them are separate tokens and letter case is
+    dropped, so the library sees each run of letters once: many of them in
+    one call, told apart by the tokens that end a word."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer as Library
 
-        self.library, self.known = Library.from_file(path), {}
+        self.library = Library.from_file(path)
+        self.ends = np.zeros(self.library.get_vocab_size(), dtype=bool)
+        for token, i in self.library.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+        self.known: dict[str, bytes] = {}  # words
+        self.older: dict[str, bytes] = {}  # words of the generation before
+        self.parts: dict[str, bytes] = {}
+
+    def _encode_parts(self, parts: list[str]) -> None:
+        runs = [x for x in parts if unicodedata.normalize("NFC", x).lower().isalpha()]
+        for a in range(0, len(runs), 512):
+            some = runs[a:a + 512]
+            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == len(some):
+                self.parts.update(zip(some, (x.tobytes() for x in np.split(ids, last[:-1]))))
+        for x in parts:
+            if x not in self.parts:
+                self.parts[x] = np.array(self.library.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        """Put the ids of ``words`` into ``known``."""
+        older, split = self.older, {}
+        for w in words:
+            if w in older:
+                self.known[w] = older[w]
+                continue
+            k = w.lower() if w.isascii() else w
+            core = k.rstrip(SIGNS)
+            split[w] = (core, k[len(core):]) if core and core[-1].isalpha() else (k, "")
+        if len(self.parts) > KNOWN_WORDS:
+            self.parts.clear()
+        self._encode_parts(list({x for pair in split.values() for x in pair if x not in self.parts}))
+        for w, (core, tail) in split.items():
+            self.known[w] = self.parts[core] + self.parts[tail]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         words = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
+        if len(self.known) > KNOWN_WORDS:  # words still in use come back from the older ones
+            self.older, self.known = self.known, {}
         known = self.known
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-        new = list({w for ws in words for w in ws if w not in known})
-        for w, e in zip(new, self.library.encode_batch(new, add_special_tokens=False)):
-            known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        out = [np.frombuffer(b"".join([known[w] for w in ws]), dtype="<u4") for ws in words]
-        for w in new:
-            if len(w) > 64:
-                del known[w]
-        return out
+        self._learn(list({w for ws in words for w in ws if w not in known}))
+        return [np.frombuffer(b"".join([known[w] for w in ws]), dtype="<u4") for ws in words]
 
 
 _TOKENIZERS: dict[str, Tokenizer] = {}
