@@ -17,7 +17,8 @@ disagree.
 
 Tokenising: white space is dropped by this tokenizer and no token spans it,
 so a text is cut at blanks and newlines and distinct words are encoded by the
-tokenizers library once; a worker remembers about ``KNOWN_WORDS`` of them.
+tokenizers library once; a worker remembers up to
+two generations of ``KNOWN_WORDS`` of them.
 
 Edge cases: a null or empty text is the end-of-text id alone. Repeated rows
 are packed as often as they occur. A document of any length is cut over as
@@ -42,7 +43,7 @@ from fraudlens.llm.common import write_table
 WINDOW, N_OPEN, MIN_CUT, END_ID = 4096, 32, 16, 2
 #: Partitions whose leftovers are merged by one task.
 GROUP = 64
-KNOWN_WORDS = 250_000
+KNOWN_WORDS, KNOWN_PARTS = 300_000, 500_000
 #: Signs that may follow a run of letters and are tokens of their own.
 SIGNS = ".,!?;:%&#*$|"
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -68,32 +69,47 @@ class Tokenizer:
         self.parts: dict[str, bytes] = {}
 
     def _encode_parts(self, parts: list[str]) -> None:
-        runs = [x for x in parts if unicodedata.normalize("NFC", x).lower().isalpha()]
+        """Put the ids of runs of letters, and of other parts, into ``parts``."""
+        own = self.parts
+        runs = [x for x in parts if (x if x.isascii() else unicodedata.normalize("NFC", x).lower()).isalpha()]
         for a in range(0, len(runs), 512):
             some = runs[a:a + 512]
             ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
-            last = np.flatnonzero(self.ends[ids]) + 1
+            last = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
             if len(last) == len(some):
-                self.parts.update(zip(some, (x.tobytes() for x in np.split(ids, last[:-1]))))
+                flat, at = ids.tobytes(), 0
+                for x, end in zip(some, last):
+                    own[x] = flat[at:end]
+                    at = end
         for x in parts:
-            if x not in self.parts:
-                self.parts[x] = np.array(self.library.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            if x not in own:
+                own[x] = np.array(self.library.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
         """Put the ids of ``words`` into ``known``."""
-        older, split = self.older, {}
+        known, older, own, split = self.known, self.older, self.parts, []
+        if len(own) > KNOWN_PARTS:
+            own.clear()
+        new = set()
         for w in words:
-            if w in older:
-                self.known[w] = older[w]
+            ids = older.get(w)
+            if ids is not None:
+                known[w] = ids
                 continue
             k = w.lower() if w.isascii() else w
             core = k.rstrip(SIGNS)
-            split[w] = (core, k[len(core):]) if core and core[-1].isalpha() else (k, "")
-        if len(self.parts) > KNOWN_WORDS:
-            self.parts.clear()
-        self._encode_parts(list({x for pair in split.values() for x in pair if x not in self.parts}))
-        for w, (core, tail) in split.items():
-            self.known[w] = self.parts[core] + self.parts[tail]
+            if len(core) == len(k) or not core or not core[-1].isalpha():
+                core, tail = k, ""
+            else:
+                tail = k[len(core):]
+                if tail not in own:
+                    new.add(tail)
+            split.append((w, core, tail))
+            if core not in own:
+                new.add(core)
+        self._encode_parts(list(new))
+        for w, core, tail in split:
+            known[w] = own[core] + own[tail] if tail else own[core]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         words = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
