@@ -140,18 +140,23 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return write_table(out.where(F.col("u") != F.col("v")).distinct(), "star-edges")
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether the links are stars: no node is on both sides, and each on
+    the left has one link. One aggregate over (node, links left, right)."""
+    sides = edges.select(F.col("u").alias("x"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(
+        edges.select(F.col("v").alias("x"), F.lit(0).alias("a"), F.lit(1).alias("b")))
+    per = sides.groupBy("x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return not per.agg(F.max((F.col("a") > 1) | ((F.col("a") > 0) & (F.col("b") > 0)))).first()[0]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of all nodes of ``edges`` (u, v); the component is
-    its smallest node. Alternates large-star and small-star until the links
-    no longer change, which is when each points to its component."""
+    its smallest node. Alternates large-star and small-star until each link
+    points to its component, which is when all links are stars."""
     edges = write_table(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
                         .where(F.col("u") != F.col("v")).distinct(), "links")
-    state = None
-    while True:
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == state or not now[0]:
-            break
-        state, edges = now, _star(_star(edges, True), False)
+    while not _settled(edges):
+        edges = _star(_star(edges, True), False)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
@@ -231,8 +236,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sigs = write_table(signatures(docs, doc_id, text, words, bands, rows, seed), "minhash")
     classes = write_table(sigs.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
                           .groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = sigs.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "n", "f1", "f2"], "left_semi")
+    reps = sigs.join(classes.withColumnRenamed("rep", "doc_id").hint("merge"), ["doc_id", "n", "f1", "f2"], "left_semi")
 
+    # (merge hints: documents and their texts are dealt by id at any size, so
+    # that a run on a sample moves its share of what the whole table will move)
     # unverified links: each member of a bucket to the smallest one
     slots = reps.select(F.col("doc_id").alias("node"), F.posexplode("bands").alias("band", "key"))
     buckets = write_table(slots.groupBy("band", "key").agg(F.min("node").alias("head"), F.max("node").alias("last"))
@@ -240,10 +247,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     loose = slots.join(buckets, ["band", "key"]).where(F.col("node") != F.col("head")).select(
         F.col("node").alias("u"), F.col("head").alias("v"))
     groups = components(loose)
-    members = write_table(groups.join(reps.select(F.col("doc_id").alias("node"), "th", "n", "sig"), "node"), "members")
-
+    # the texts of members only, written once for all that compares them
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("node"), F.xxhash64(F.col(f"`{text}`")).alias("th"),
                         F.col(f"`{text}`").alias("t"))
+    found = groups.join(reps.select(F.col("doc_id").alias("node"), "th", "n", "sig"), "node")
+    members = write_table(found.join(texts.hint("merge"), ["node", "th"]), "members")
     blocks = lambda n, w: F.ceil(F.greatest(n / block_docs, w / block_shingles)).cast("int")
     sized = members.groupBy("comp").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("weight"))
     big = write_table(sized.select("comp", blocks(F.col("docs"), F.col("weight")).alias("nb")).where("nb > 1"), "large-groups")
@@ -251,7 +259,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = None
     labels = None
     if some:  # random blocks in the large groups
-        inside = members.join(big, "comp").join(texts, ["node", "th"])
+        inside = members.join(big, "comp")
         tasks = inside.withColumn("round", F.explode(F.array(*map(F.lit, range(ROUNDS))))).select(
             F.col("comp").alias("grp"), (-1 - F.col("round")).alias("bi"),
             F.pmod(F.xxhash64("node", "round"), "nb").cast("int").alias("bj"), F.lit(0).alias("blk"),
@@ -275,7 +283,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         main = F.lit(False)
     own = F.when(main, F.col("ns") + F.pmod(F.xxhash64("node"), "nm")).otherwise(F.pmod(F.xxhash64("node"), F.greatest("ns", F.lit(1)))).cast("int")
     last = F.when(main, F.col("ns")).otherwise(F.col("ns") + F.col("nm"))  # main blocks meet only the others
-    tasks = (part.withColumn("blk", own).join(texts, ["node", "th"])
+    tasks = (part.withColumn("blk", own)
              .withColumn("other", F.explode(F.when(last > 0, F.sequence(F.lit(0), last.cast("int") - 1)).otherwise(F.array().cast("array<int>"))))
              .select(F.col("comp").alias("grp"), F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"),
                      "blk", "node", "label", "sig", "t"))
