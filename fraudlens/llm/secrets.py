@@ -3,9 +3,13 @@ by a random forest. Only DataFrame functions and Spark ML are used.
 
 1. ``candidates`` finds words of a whole text that hold a long run of
    key-like characters with a digit or mixed case, or that follow a
-   credential word and an assignment. A candidate carries its value, its
-   word's position, what stands before it in the word and the three words
-   before and two words after.
+   credential word and an assignment. Every match in such a word is a
+   candidate: each run (a JWT with its dots is one), each value given behind
+   a credential word, and in a word that follows one each value. A name
+   before ``=`` or ``:`` does not hide what stands behind it. A candidate
+   carries its value, its word's position, what stands before and after it
+   in the word and the three words before and two words after (``CONTEXT``
+   characters of each, so that a word with many matches stays linear).
 2. ``featurize`` measures length, character classes and transitions between
    them, coverage by the corpus dictionary, traces of a path or address, and
    what the neighbouring words say. The dictionary is made of all documents:
@@ -17,7 +21,7 @@ by a random forest. Only DataFrame functions and Spark ML are used.
    classes are balanced by a bound of ``TRAIN_ROWS`` rows each, taken in the
    order of a hash; everything else covers all documents.
 4. ``scan`` scores every candidate; ``redact`` replaces the secret values
-   in the texts.
+   in the texts, longer ones first, as one may lie in another.
 
 Edge cases: null, empty and blank texts have no candidates. Repeated rows
 give repeated findings. A text of any length is read whole. A table without
@@ -40,11 +44,22 @@ TRAIN_ROWS, TREES, DEPTH, SEED, MIN_DOCS = 3000, 24, 7, 11, 5
 KEYWORD = (r"(?i)(?:^|[^a-z])(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|apikey|access[_-]?key(?:[_-]?id)?|auth(?:orization)?|bearer|"
            r"credentials?|private[_-]?key|client[_-]?secret)[\"']?[^a-z0-9]*$")
 NAMED = r"(?i)(?:password|passwd|pwd|passphrase|secret|token|key|auth|bearer|credential)"
-RUN = r"[A-Za-z0-9_+/-]{16,}={0,2}"
-VALUE = r"[A-Za-z0-9_+/!@#$%^&*.-]{8,}={0,2}"
-GIVEN = rf"{NAMED}[\"']?[:=][\"']?({VALUE})"
+RUN = r"[A-Za-z0-9_+/-]{16,}"
+VALUE = r"[A-Za-z0-9_+/!@#$%^&*.-]{8,}"
+GIVEN = rf"{NAMED}[\"']?[:=][\"']?{VALUE}"
+#: ``=`` belongs to a value only if no other value is assigned by it.
+PAD = r"(?:={1,2}(?![\"']?[A-Za-z0-9_+/=-]))?"
+JWT = r"eyJ[A-Za-z0-9_-]{13,}(?:\.{1,2}[A-Za-z0-9_-]+){1,4}"
+#: What each kind of match is; possessive, as Java recurses on other repeated
+#: groups. A run ends before a JWT, a given value before ``&name=`` of a URL.
+RUNS = rf"{JWT}|(?:[A-Za-df-z0-9_+/-]|e(?!{JWT[1:]})){{16,}}+{PAD}"
+GIVENS = (rf"(?<=[:=][\"']?)(?<={NAMED}[\"']?[:=][\"']?)(?:(?:[A-Za-z0-9_+/!@#$%^*.-]|&(?![A-Za-z0-9_.-]+=)){{8,}}+|{VALUE}){PAD}")
+VALUES = VALUE + PAD
+#: Characters of context on either side; each match but the last of a word
+#: has 8 or more, so NEIGHBOURS matches hold them.
+CONTEXT, NEIGHBOURS = 256, 32
 #: Formats that name themselves.
-FORMAT = r"^(?:AKIA|ASIA)[A-Z0-9]{12,}$|^gh[pousr]_[A-Za-z0-9]{20,}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^sk[-_][A-Za-z0-9_-]{16,}$|^eyJ[A-Za-z0-9_-]{16,}$"
+FORMAT = r"^(?:AKIA|ASIA)[A-Z0-9]{12,}$|^gh[pousr]_[A-Za-z0-9]{20,}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^sk[-_][A-Za-z0-9_-]{16,}$|^eyJ[A-Za-z0-9_-]{13,}(?:\.{1,2}[A-Za-z0-9_-]+){0,4}$"
 PARTS = ["value", "inner", "before", "after"]
 
 
@@ -60,14 +75,36 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     found = F.filter(F.transform("w", lambda x, i: F.when(long(x) | x.rlike(GIVEN) | ((F.length(x) >= 8) & named(x, i)), i)), lambda i: i.isNotNull())
     # inline() keeps the search for candidates apart from what is done with them
     rows = rows.withColumn("found", found).select("doc_id", "th", "w", F.inline(F.transform("found", lambda i: F.struct(i.alias("pos")))))
-    word = F.get("w", F.col("pos"))
-    rows = rows.select("doc_id", "th", "pos", word.alias("word"), near(F.col("pos")).alias("before"),
-                       F.concat_ws(" ", F.get("w", F.col("pos") + 1), F.get("w", F.col("pos") + 2)).alias("after"))
-    run, given = F.regexp_extract("word", RUN, 0), F.regexp_extract("word", GIVEN, 1)
-    rows = rows.withColumn("value", F.when(run != "", run).when(given != "", given).otherwise(F.regexp_extract("word", VALUE, 0)))
-    at = F.position(F.col("value"), F.col("word"))
-    return rows.select("doc_id", "th", "pos", "value", F.substring("word", F.lit(1), at - 1).alias("inner"), "before",
-                       F.concat(F.substring("word", at + F.length("value"), F.length("word")), F.lit(" "), "after").alias("after"))
+    rows = rows.select("doc_id", "th", "pos", F.get("w", F.col("pos")).alias("word"), named(F.get("w", F.col("pos")), F.col("pos")).alias("named"),
+                       F.right(near(F.col("pos")), F.lit(CONTEXT)).alias("before"),
+                       F.left(F.concat_ws(" ", F.get("w", F.col("pos") + 1), F.get("w", F.col("pos") + 2)), F.lit(CONTEXT)).alias("behind"))
+    # one row for each kind of match: the values, what stands between them, and the values that another kind has
+    every = lambda rx: F.regexp_extract_all("word", F.lit(rx), F.lit(0))
+    none, bare = F.array().cast("array<string>"), F.transform(every(GIVENS), lambda v: _bare(v, every(RUNS)))
+    kind = lambda rx, own: F.struct(every(rx).alias("m"), F.split("word", rx, -1).alias("p"), own.alias("own"))
+    kinds = F.array(kind(RUNS, none), kind(GIVENS, every(RUNS)), F.when(F.col("named"), kind(VALUES, F.concat(every(RUNS), bare))))
+    rows = rows.select("doc_id", "th", "pos", "before", "behind", F.inline(F.filter(kinds, lambda k: k.isNotNull() & (F.size(k["m"]) > 0))))
+    joined = lambda x, y: F.zip_with(x, y, lambda u, v: F.concat(u, v))
+    n = F.size("m")
+    rows = rows.select("doc_id", "th", "pos", "before", "behind", F.inline(F.array(F.struct(
+        "m", "p", "own", joined(F.slice("p", F.lit(1), n), F.col("m")).alias("left"), joined(F.col("m"), F.slice("p", F.lit(2), n)).alias("right")))))
+
+    def match(v: Column, i: Column) -> Column:
+        value = _bare(v, F.col("own"))
+        left = F.concat(F.array_join(F.slice("left", F.greatest(i - NEIGHBOURS + 1, F.lit(1)), F.least(i, F.lit(NEIGHBOURS))), ""), F.get("p", i))
+        right = F.concat(F.substring(v, F.length(value) + 1, F.length(v)), F.get("p", i + 1), F.array_join(F.slice("right", i + 2, F.lit(NEIGHBOURS)), ""))
+        return F.when(~F.array_contains("own", value), F.struct(
+            value.alias("value"), F.right(left, F.lit(CONTEXT)).alias("inner"), F.left(right, F.lit(CONTEXT)).alias("right")))
+
+    found = F.filter(F.transform("m", match), lambda x: x.isNotNull())
+    rows = rows.select("doc_id", "th", "pos", "before", "behind", F.inline(found))
+    return rows.select("doc_id", "th", "pos", "value", "inner", "before", F.concat("right", F.lit(" "), "behind").alias("after"))
+
+
+def _bare(v: Column, own: Column) -> Column:
+    """Value ``v`` without the full stops of a sentence if the rest is in ``own``."""
+    bare = F.regexp_replace(v, r"\.+$", "")
+    return F.when(F.array_contains(own, bare), bare).otherwise(v)
 
 
 def dictionary(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
@@ -85,7 +122,7 @@ def _trigrams(c: Column) -> Column:
 
 
 FEATURES = ["length", "digits", "uppers", "lowers", "signs", "distinct", "class_changes", "case_changes", "hex_only", "vowel_changes",
-            "covered", "slashes", "dots", "address", "extension", "keyword", "assigned", "quoted", "named_near", "harmless_near", "format"]
+            "covered", "slashes", "dots", "address", "extension", "keyword", "assigned", "quoted", "named_near", "harmless_near", "names", "format"]
 
 
 def featurize(found: DataFrame, known: DataFrame) -> DataFrame:
@@ -111,7 +148,7 @@ def featurize(found: DataFrame, known: DataFrame) -> DataFrame:
         "address": flag(before.rlike(r"(?i)(?:https?:|www\.|file:|/[a-z]+/)\S*$")), "extension": flag(F.col("after").rlike(r"^\.[a-z]{2,4}\b")),
         "keyword": flag(before.rlike(KEYWORD)), "assigned": flag(before.rlike(r"[:=]\s*[\"']?$")), "quoted": flag(before.rlike("[\"']$")),
         "named_near": flag(before.rlike(NAMED)), "harmless_near": flag(before.rlike(r"(?i)\b(?:commit|sha\d*|md5|checksum|hash|uuid|id|version|revision|order|card|isbn)\W*$")),
-        "format": flag(v.rlike(FORMAT)),
+        "names": flag(F.col("after").rlike(r"^[\"']?[:=][\"']?[A-Za-z0-9_+/$-]")), "format": flag(v.rlike(FORMAT)),
     })
 
 
@@ -119,7 +156,7 @@ def labelled_findings(found: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """Parts and ``label`` of findings that can be told for certain, and of
     variations made from hashes of the same rows; at most ``rows`` of each
     class and origin, in the order of a hash."""
-    h = F.xxhash64("doc_id", "th", "pos")
+    h = F.xxhash64("doc_id", "th", "pos", *PARTS)
     base = found.select(*PARTS, h.alias("h"))
     at = F.concat(F.col("before"), F.lit(" "), F.col("inner"))
     random = F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]") & (F.regexp_count("value", F.lit("[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])")) >= 3)
@@ -128,6 +165,7 @@ def labelled_findings(found: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     pick = lambda df: df.orderBy("h").limit(rows).drop("h")
     hexes = F.sha2(F.col("h").cast("string"), 512)
     code = lambda a, n: F.substring(F.translate(F.base64(F.unhex(hexes)), "+/", "Qz"), a, n)
+    signed = F.substring(F.base64(F.unhex(hexes)), 5, 40)
     upper = F.upper(F.translate(F.substring(F.base64(F.unhex(hexes)), 5, 16), "+/", "7K"))
     word = F.regexp_extract("before", r"\p{L}{4,}", 0)
     made = [  # (label, before, inner, value, after)
@@ -136,6 +174,13 @@ def labelled_findings(found: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
         (1, "const", 'api_key="', F.substring(hexes, 9, 32), '"'), (1, "client", "secret: '", code(7, 40), "'"), (1, "see", "", F.concat(F.lit("ghp_"), code(2, 36)), ""),
         (1, "", "", F.concat(F.lit("gho_"), F.substring(hexes, 3, 36)), ""), (1, "it is", "", F.concat(F.lit("sk-"), code(4, 40)), "."),
         (1, "from", "", F.concat(F.lit("xoxb-"), F.substring(F.regexp_replace(hexes, "[a-f]", ""), 1, 12), F.lit("-"), code(5, 24)), ""),
+        (1, "export", "AWS_SECRET_ACCESS_KEY=", signed, ""), (1, "", "AWS_ACCESS_KEY_ID=", F.concat(F.lit("AKIA"), upper), ""),
+        (1, "see", "https://api.example.com/v1/resources/list?token=", F.substring(hexes, 5, 32), ""), (1, "", '{"id":1,"secret":"', signed, '","n":2}'),
+        (1, "cookie", "", F.concat(F.lit("eyJ"), code(1, 30), F.lit(".eyJ"), code(9, 50), F.lit("."), code(3, 43)), ""),
+        (0, "export", "", F.concat(F.upper(word), F.lit("_SECRET_ACCESS_KEY")), F.concat(F.lit("="), signed)),
+        (0, "", "", F.concat(F.upper(word), F.lit("_ACCESS_KEY_ID2")), F.concat(F.lit("="), upper)),
+        (0, "see", "https://api.example.", F.concat(F.lit("com/v1/"), word, F.lit("/list")), F.concat(F.lit("?token="), F.substring(hexes, 5, 32))),
+        (0, "see", "https://api.example.com/v1/resources/list?version=", F.substring(hexes, 5, 32), ""),
         (0, "in commit", "", F.substring(hexes, 1, 40), ""), (0, "from https://cdn.example.com/assets/", "https://cdn.example.com/assets/", F.substring(hexes, 1, 32), ".js"),
         (0, "with", "sha256:", F.substring(hexes, 1, 64), ""), (0, "order number", "", F.substring(F.regexp_replace(hexes, "[a-f]", ""), 1, 16), ""),
         (0, "the uuid", "", F.concat_ws("-", F.substring(hexes, 1, 8), F.substring(hexes, 9, 4), F.substring(hexes, 13, 4), F.substring(hexes, 17, 4), F.substring(hexes, 21, 12)), ""),
@@ -180,7 +225,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", labelled:
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> tuple[DataFrame, str]:
     """``docs`` with each text's secret values replaced by ``mark``; returns
     it and the new column's name. Only texts with a secret are changed."""
-    secret = write_table(scan(docs, doc_id, text).where("is_secret").groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("value"), False).alias("values")), "secrets")
+    secret = write_table(scan(docs, doc_id, text).where("is_secret").groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("value"), lambda a, b: F.length(b) - F.length(a)).alias("values")), "secrets")
     d, th, sd, sth, values = fresh(docs, "d__", "th__", "sd__", "sth__", "values__")
     (out,) = fresh(docs, "redacted")
     own = docs.withColumns({d: F.col(f"`{doc_id}`").cast("long"), th: F.xxhash64(F.col(f"`{text}`"))})
