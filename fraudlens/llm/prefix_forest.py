@@ -3,12 +3,14 @@
 Vectors are dealt to shards of about ``shard_rows`` rows by a hash of their
 id, queries to blocks, and each (shard, block of queries) meets in one task.
 A task builds one tree per group of random hyperplanes: the sorted array of
-its vectors' long hash strings (32 bits). A query descends every tree to its
+its different vectors' long hash strings (32 bits). A query descends every tree to its
 longest prefix match, by binary search and comparison with both neighbours,
 and then ascends all trees together, one bit shorter at a time, until the
-ranges of rows that share its prefix hold ``share`` of the shard (repeats
-over trees included). Those candidates are scored exactly on the original
-vectors in double precision; the best of each shard are merged per query.
+ranges of vectors that share its prefix hold ``share`` of the shard's vectors
+(different ones: neither repeats over trees nor rows with the same vector
+count again, so a group of copies fills no quota). Those candidates are scored exactly on the
+original vectors in double precision and stand for all rows that hold them;
+the best of each shard are merged per query.
 
 ``share`` is relative to a shard, whose size is fixed, so recall does not
 fall as the table grows. Inner products of vectors of any norm are ranked as
@@ -19,7 +21,7 @@ The trees hold every row; hyperplanes are random (seeded), nothing is fitted.
 Edge cases: vectors that are null, zero, or hold null or non-finite
 components take no part, nor do rows without id. Vectors of different
 length never meet. Repeated rows count once; rows with the query's own id
-are not its candidates. Exact copies share every hash string, so all of them
+are not its candidates. Exact copies are one vector of the trees, so all of them
 are candidates, and equal scores are ranked by smaller id. With fewer than
 ``k`` candidates all are found. An empty table gives an empty result.
 """
@@ -49,10 +51,13 @@ def _prefix(depth: int) -> np.uint32:
 
 
 class Forest:
-    """Trees over the rows of one shard."""
+    """Trees over the different vectors of one shard."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, trees: int, seed: int):
-        self.ids, self.x, self.trees = ids, x, trees
+        x, of = np.unique(x, axis=0, return_inverse=True)
+        by = np.lexsort((ids, of.ravel()))
+        self.ids, self.x, self.trees = ids[by], x, trees  # the ids of vector i, in order, are ids[start[i]:start[i + 1]]
+        self.start = np.r_[0, np.cumsum(np.bincount(of.ravel(), minlength=len(x)))]
         norm2 = (x * x).sum(axis=1)
         self.top = norm2.max()
         lifted = np.c_[x, np.sqrt(np.maximum(self.top - norm2, 0))]
@@ -61,10 +66,17 @@ class Forest:
         self.order = [np.argsort(strings[:, t], kind="stable") for t in range(trees)]
         self.sorted = [strings[o, t] for t, o in enumerate(self.order)]
 
+    def among(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Flags of the vectors that the trees' ranges hold."""
+        out = np.zeros(len(self.x), dtype=bool)
+        for order, a, b in zip(self.order, lo.tolist(), hi.tolist()):
+            out[order[a:b]] = True
+        return out
+
     def ranges(self, strings: np.ndarray, enough: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
         """Per query and tree the range of candidates in the sorted array:
-        ``enough`` in all trees together, ``least`` different ones in one."""
-        n, rows = len(strings), len(self.ids)
+        ``enough`` different ones in all trees together, ``least`` in one."""
+        n, rows = len(strings), len(self.x)
         lo = np.zeros((n, self.trees), dtype=np.int64)
         hi = np.full((n, self.trees), rows, dtype=np.int64)
         longest = np.zeros(n, dtype=np.int64)
@@ -83,6 +95,8 @@ class Forest:
                 low = strings[now, t] & _prefix(depth)
                 a[:, t], b[:, t] = np.searchsorted(s, low), np.searchsorted(s, low | ~_prefix(depth), side="right")
             full = ((b - a).sum(axis=1) >= enough) & ((b - a).max(axis=1) >= least)
+            for j in np.flatnonzero(full):  # without repeats there may be fewer
+                full[j] = self.among(a[j], b[j]).sum() >= enough
             lo[now[full]], hi[now[full]] = a[full], b[full]
             waiting = np.setdiff1d(waiting, now[full], assume_unique=True)
         return lo, hi
@@ -90,16 +104,20 @@ class Forest:
     def search(self, q_ids: np.ndarray, q: np.ndarray, k: int, share: float) -> list[tuple]:
         """(query id, id, score) of the best candidates of each query."""
         strings = hash_strings(np.c_[q, np.zeros(len(q))], self.planes, self.trees)
-        lo, hi = self.ranges(strings, int(share * len(self.ids)), min(len(self.ids), 2 * k + 2))
-        out, among = [], np.zeros(len(self.ids), dtype=bool)
+        lo, hi = self.ranges(strings, int(share * len(self.x)), min(len(self.x), 2 * k + 2))
+        out = []
         for i, qid in enumerate(q_ids):
-            among[:] = False
-            for t, order in enumerate(self.order):
-                among[order[lo[i, t]:hi[i, t]]] = True
-            rows = np.flatnonzero(among & (self.ids != qid))
+            rows = np.flatnonzero(self.among(lo[i], hi[i]))
             score = (self.x[rows] * q[i]).sum(axis=1)  # the same order of additions for every row
-            best = rows[np.lexsort((self.ids[rows], -score))[:k]]
-            out += zip([qid] * len(best), self.ids[best].tolist(), (self.x[best] * q[i]).sum(axis=1).tolist())
+            if len(rows) > k + 1:  # every vector stands for a row at least, one of them may be the query's own
+                top = score >= np.partition(score, -k - 1)[-k - 1]
+                rows, score = rows[top], score[top]
+            first, held = self.start[rows], np.minimum(self.start[rows + 1] - self.start[rows], k + 1)
+            ids = self.ids[np.repeat(first - np.r_[0, np.cumsum(held)[:-1]], held) + np.arange(held.sum())]
+            score = np.repeat(score, held)
+            ids, score = ids[ids != qid], score[ids != qid]
+            best = np.lexsort((ids, -score))[:k]
+            out += zip([qid] * len(best), ids[best].tolist(), score[best].tolist())
         return out
 
 

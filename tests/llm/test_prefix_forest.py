@@ -71,6 +71,27 @@ def test_query_recall_against_brute_force(spark):
     assert len(hits) == len(have) and np.mean(hits) >= 0.9
 
 
+def test_recall_beside_many_copies_and_with_varied_norms(spark):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((4096, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:4096 // 3] = x[0]
+    asked = np.flatnonzero((x @ x[0] > 0.2) & (x @ x[0] < 0.3))[:100]
+    varied = x * rng.uniform(0.5, 2, (4096, 1))
+    varied[:4096 // 3] = varied[0]
+    for y in (x, varied):
+        rows = [(i, v.tolist()) for i, v in enumerate(y)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        have = got(P.nearest(df, df.where(F.col("vec_id").isin(asked.tolist()))))
+        hits = []
+        for q in asked.tolist():
+            s = (y * y[q]).sum(axis=1)
+            s[q] = -np.inf
+            want = np.lexsort((np.arange(4096), -s))[:20].tolist()
+            hits.append(len(set(want) & {i for i, _ in have[q]}) / 20)
+        assert np.mean(hits) >= 0.9
+
+
 def test_descent_finds_the_longest_prefix():
     x = np.random.default_rng(0).standard_normal((300, 6))
     f = P.Forest(np.arange(300), x, 4, 3)
