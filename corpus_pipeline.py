@@ -51,12 +51,15 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (operator 4): the one
-    with the smallest id. Of rows that repeat it with the same text, one."""
+    with the smallest id. Of rows that repeat it with the same text, one. An
+    id's other texts stay as long as operator 4 keeps their own rows."""
     groups = minhash.near_duplicates(docs, percent=SIMILAR_PERCENT, rows=BAND_ROWS)
-    gone = write_table(groups.where(~F.col("kept")).select("doc_id").distinct(), "near-duplicates")
-    th, gone_id = fresh(docs, "th__", "gone_id__")
-    left = docs.join(gone.withColumnRenamed("doc_id", gone_id), F.col("doc_id") == F.col(gone_id), "left_anti")
-    return left.withColumn(th, F.xxhash64("text")).dropDuplicates(["doc_id", th]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = write_table(groups.where(~F.col("kept")).select("doc_id", "th").distinct(), "near-duplicates")
+    th, gone_id, gone_th = fresh(docs, "th__", "gone_id__", "gone_th__")
+    gone = gone.select(F.col("doc_id").alias(gone_id), F.col("th").alias(gone_th))
+    same = F.col("doc_id").eqNullSafe(F.col(gone_id)) & F.col(th).eqNullSafe(F.col(gone_th))
+    left = docs.withColumn(th, F.xxhash64("text")).join(gone, same, "left_anti")
+    return left.dropDuplicates(["doc_id", th]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -230,8 +230,9 @@ def _confirmed(tasks: DataFrame, percent: int, bound: float, words: int) -> Data
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT,
                     bands: int = BANDS, rows: int = ROWS, seed: int = SEED, block_docs: int = BLOCK_DOCS,
                     block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """One row per input row: ``doc_id``, ``n_shingles``, ``class_id`` (smallest
-    id with the same set), ``component_id`` and ``kept``."""
+    """One row per input row: ``doc_id``, ``th`` (hash of the text),
+    ``n_shingles``, ``class_id`` (smallest id with the same set),
+    ``component_id`` and ``kept``."""
     bound = max(0.0, percent / 100 - 4.5 * (percent / 100 * (1 - percent / 100) / (bands * rows)) ** 0.5)
     sigs = write_table(signatures(docs, doc_id, text, words, bands, rows, seed), "minhash")
     classes = write_table(sigs.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
@@ -291,10 +292,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     comps = components(found if links is None else found.unionByName(links))
 
     rep = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    rows_ = sigs.select("doc_id", "n", "f1", "f2").join(write_table(rep, "class-components"), ["n", "f1", "f2"], "left")
+    rows_ = sigs.select("doc_id", "th", "n", "f1", "f2").join(write_table(rep, "class-components"), ["n", "f1", "f2"], "left")
     # different texts under one id make one node: the id's own component is the smallest of them
     return rows_.select(
-        "doc_id", F.col("n").alias("n_shingles"),
+        "doc_id", "th", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("class_id"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

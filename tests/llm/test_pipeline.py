@@ -75,6 +75,15 @@ def test_packing_round_trip(steps):
     assert test_packing.check(texts, after.collect(), Tokenizer.from_file(P.path("word_bpe_49k.json"))) < 0.02
 
 
+def test_an_id_with_two_texts_loses_only_the_copy(spark):
+    one, other = (" ".join(f"{w}{i} of" for i in range(60)) for w in ("first", "second"))
+    df = docs(spark, [one, "plain", one]).union(docs(spark, ["", "", other]).where("text != ''"))
+    df = df.unionByName(df).unionByName(docs(spark, [other]).withColumn("doc_id", F.lit(None).cast("long")))
+    got = C.near_duplicates(spark, df, SF)
+    want = [(0, one), (1, "plain"), (2, other), (None, other)]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str) and got.columns == df.columns
+
+
 def test_run_on_odd_rows_and_an_empty_table(spark):
     long = " ".join(f"the word{i} of" for i in range(60))
     texts = ODD_TEXTS + [long, long, long + " more", None]
