@@ -12,6 +12,7 @@ broadcast), which an SQL oracle can repeat exactly.
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 import pandas as pd
@@ -226,7 +227,8 @@ def fit_svm(train: DataFrame, test: DataFrame, kernel: str = "rbf", C: float = 1
     rbf: random Fourier features sqrt(2/D) cos(Wx + b), W ~ N(0, 2 gamma I).
     poly: tensor sketch of ``(gamma x.y)^degree`` at any degree. gamma is
     1 / (d * var(X)) unless given. Both maps are vectorised pandas UDFs with
-    seeded tables, of ``n_components`` slots."""
+    seeded tables, of ``n_components`` slots. A fit that uses up ``max_iter``
+    steps (the reference has 2000 to 20000) gives a RuntimeWarning."""
     from fraudlens.operators.sampling import kfold
 
     if kernel not in ("rbf", "poly"):
@@ -244,7 +246,10 @@ def fit_svm(train: DataFrame, test: DataFrame, kernel: str = "rbf", C: float = 1
         tr, kw = _weighted(tr, class_weight == "balanced")
         total = tr.agg(F.sum(F.col(kw["weightCol"])) if kw else F.count(F.lit(1))).first()[0]
         svc = LinearSVC(featuresCol="_fv", labelCol=Y, regParam=1.0 / (C * float(total)), maxIter=max_iter, tol=1e-3, **kw)
-        return svc.fit(_vec(tr, "_z")).transform(_vec(rows, "_z")).select(
+        model = svc.fit(_vec(tr, "_z"))
+        if model.summary().totalIterations >= max_iter:
+            warnings.warn(f"the SVM used up {max_iter} steps (C={C})", RuntimeWarning, stacklevel=3)
+        return model.transform(_vec(rows, "_z")).select(
             ID, Y, F.array(vector_to_array("rawPrediction")[1]).alias("_m"))
 
     unseen = None

@@ -38,6 +38,12 @@ def test_stacking_combines_its_bases(spark):
     assert evaluate.roc_auc(out, score_col="prob").first()["roc_auc"] > 0.95
 
 
+def test_svm_says_when_its_steps_are_used_up(spark):
+    tr, te = rings(spark, 80)
+    with pytest.warns(RuntimeWarning, match="used up 2 steps"):
+        models.fit_svm(tr, te, gamma=1.0, C=10.0, max_iter=2, n_folds=2)
+
+
 def test_svm_degree_and_unknown_choices(spark):
     tr, te = rings(spark, 80)
     probs = [[r.prob for r in models.fit_svm(tr, te, kernel="poly", degree=d, gamma=1.0, max_iter=10, n_folds=2).orderBy("id").collect()] for d in (3, 5)]
