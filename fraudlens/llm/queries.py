@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fraudlens.llm import html_text, line_dedup, minhash, packing, prefix_forest, quality, secrets, sentencepiece_codec, token_counts, warc
+from fraudlens.llm import (html_text, line_dedup, minhash, packing, periodic_runs, prefix_forest, quality, secrets, sentencepiece_codec,
+                           token_counts, warc)
 from fraudlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +82,9 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret findings of every document with the forest's verdict."""
     return secrets.secrets_query(table(spark, sf_dir, "documents"))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, with planted ones in every tenth."""
+    return periodic_runs.periodic_query(table(spark, sf_dir, "documents"))
