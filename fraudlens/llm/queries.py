@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fraudlens.llm import (html_text, line_dedup, minhash, packing, periodic_runs, prefix_forest, quality, secrets, sentencepiece_codec,
-                           token_counts, warc)
+from fraudlens.llm import (bloom_sketch, fill_middle, html_text, line_dedup, minhash, packing, periodic_runs, prefix_forest, quality,
+                           secrets, sentencepiece_codec, token_counts, warc)
 from fraudlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,15 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words in every document, with planted ones in every tenth."""
     return periodic_runs.periodic_query(table(spark, sf_dir, "documents"))
+
+
+@query("op12_fill_middle", fill_middle.oracle_sql())
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut for fill-in-the-middle training, and restored."""
+    return fill_middle.fill_middle_query(table(spark, sf_dir, "documents"))
+
+
+@query("op13_bloom_sketch")
+def op13_bloom_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and their likeness."""
+    return bloom_sketch.fingerprints_query(table(spark, sf_dir, "documents"))
