@@ -238,6 +238,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = write_table(sigs.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
                           .groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = sigs.join(classes.withColumnRenamed("rep", "doc_id").hint("merge"), ["doc_id", "n", "f1", "f2"], "left_semi")
+    reps = reps.dropDuplicates(["doc_id", "n", "f1", "f2"])  # a repeated row is one member
 
     # (merge hints: documents and their texts are dealt by id at any size, so
     # that a run on a sample moves its share of what the whole table will move)
@@ -252,7 +253,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("node"), F.xxhash64(F.col(f"`{text}`")).alias("th"),
                         F.col(f"`{text}`").alias("t"))
     found = groups.join(reps.select(F.col("doc_id").alias("node"), "th", "n", "sig"), "node")
-    members = write_table(found.join(texts.hint("merge"), ["node", "th"]), "members")
+    members = write_table(found.join(texts.hint("merge"), ["node", "th"]).dropDuplicates(["node", "th"]), "members")
     blocks = lambda n, w: F.ceil(F.greatest(n / block_docs, w / block_shingles)).cast("int")
     sized = members.groupBy("comp").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("weight"))
     big = write_table(sized.select("comp", blocks(F.col("docs"), F.col("weight")).alias("nb")).where("nb > 1"), "large-groups")
