@@ -98,3 +98,11 @@ def test_null_ids_repeated_rows_clashes_and_empty_table(spark):
     out = sorted(((r.doc_id, r.component_id, r.kept) for r in M.minhash_query(df).collect()), key=str)
     assert out == sorted([(None, None, True), (5, 2, False), (5, 2, False), (2, 2, True), (9, 9, True), (9, 9, True)], key=str)
     assert M.minhash_query(df.limit(0)).count() == 0
+
+
+def test_repeated_rows_are_one_member(spark):
+    one = " ".join(f"w{i}" for i in range(60))
+    df = docs(spark, [one, one + " more"])
+    many = df.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(200)))).drop("r")
+    out = M.minhash_query(many).collect()
+    assert len(out) == 400 and {(r.doc_id, r.component_id, r.kept) for r in out} == {(0, 0, True), (1, 0, False)}
