@@ -180,27 +180,41 @@ def leaderboard(scored_long: DataFrame, model_col: str = "model", label_col: str
 
 # ---- clustering agreement ----------------------------------------------------
 
-def contingency(df: DataFrame, truth_col: str, pred_col: str) -> DataFrame:
-    return df.groupBy(F.col(truth_col).alias("t"), F.col(pred_col).alias("p")).agg(
+def contingency(df: DataFrame, truth_col: str, pred_col: str, by: list[str] | None = None) -> DataFrame:
+    return df.groupBy(*(by or []), F.col(truth_col).alias("t"), F.col(pred_col).alias("p")).agg(
         F.count(F.lit(1)).cast("double").alias("n"))
 
 
+def _ari() -> F.Column:
+    """ARI from the sums of squared cell, row and column counts; 1.0 when no
+    pair is split differently (sklearn's special case)."""
+    tp = F.col("ss") - F.col("n_tot")
+    fp = F.col("sb") - F.col("ss")
+    fn = F.col("sa") - F.col("ss")
+    tn = F.col("n_tot") * F.col("n_tot") - fp - fn - F.col("ss")
+    return F.when((fn == 0) & (fp == 0), F.lit(1.0)).otherwise(
+        2.0 * (tp * tn - fn * fp) / ((tp + fn) * (fn + tn) + (tp + fp) * (fp + tn))).alias("ari")
+
+
 def adjusted_rand_index(df: DataFrame, truth_col: str = "label", pred_col: str = "cluster") -> DataFrame:
-    """ARI from the pair-confusion counts of the contingency table;
-    1.0 when no pair is split differently (sklearn's special case)."""
+    """ARI from the pair-confusion counts of the contingency table."""
     c = contingency(df, truth_col, pred_col)
     rows = c.groupBy("t").agg(F.sum("n").alias("a"))
     cols = c.groupBy("p").agg(F.sum("n").alias("b"))
     s = c.agg(F.sum("n").alias("n_tot"), F.sum(F.col("n") * F.col("n")).alias("ss"))
     t = s.select("n_tot", "ss", rows.agg(F.sum(F.col("a") * F.col("a"))).scalar().alias("sa"),
                  cols.agg(F.sum(F.col("b") * F.col("b"))).scalar().alias("sb"))
-    tp = F.col("ss") - F.col("n_tot")
-    fp = F.col("sb") - F.col("ss")
-    fn = F.col("sa") - F.col("ss")
-    tn = F.col("n_tot") * F.col("n_tot") - fp - fn - F.col("ss")
-    ari = F.when((fn == 0) & (fp == 0), F.lit(1.0)).otherwise(
-        2.0 * (tp * tn - fn * fp) / ((tp + fn) * (fn + tn) + (tp + fp) * (fp + tn)))
-    return t.select(ari.alias("ari"))
+    return t.select(_ari())
+
+
+def adjusted_rand_index_by(df: DataFrame, by: list[str], truth_col: str = "label", pred_col: str = "cluster") -> DataFrame:
+    """G6 of several labellings at once: one row per value of ``by``."""
+    c = contingency(df, truth_col, pred_col, by)
+    out = c.groupBy(*by).agg(F.sum("n").alias("n_tot"), F.sum(F.col("n") * F.col("n")).alias("ss"))
+    for key, name in (("t", "sa"), ("p", "sb")):
+        one = c.groupBy(*by, key).agg(F.sum("n").alias("m")).groupBy(*by).agg(F.sum(F.col("m") * F.col("m")).alias(name))
+        out = out.join(one, by)
+    return out.select(*by, _ari())
 
 
 def normalized_mutual_info(df: DataFrame, truth_col: str = "label", pred_col: str = "cluster") -> DataFrame:
