@@ -3,13 +3,20 @@
 Graphs are edge tables ``(src, dst, weight)``; vertices are ids, never
 positions.
 
-Exact kNN (G1) is a block nested loop: vectors are hashed into ``B``
-blocks, every (query block, candidate block) pair meets in one
-``cogroup().applyInPandas`` task that holds two blocks only (memory is
-bounded by the block size, not by n), computes distances with numpy and
-keeps the best ``k`` per query row; a final ``row_number`` per source keeps
-the best ``k`` of the ``B * k`` candidates. Distances are exact float64;
-ties break by the smaller destination id. Nothing is broadcast.
+Exact kNN (G1) goes by pivot cells. Every vector belongs to its nearest
+pivot, and the rows of a cell are cut into blocks by their distance to it
+(rings). A row's k-th distance inside its own block bounds what it still has
+to look for; by the triangle inequality a ring ``[low, high]`` around pivot
+``p`` holds nothing nearer than ``d(q, p) - high`` or ``low - d(q, p)``, and
+nothing nearer than the plane between ``p`` and the own pivot. A row visits
+only the blocks that these bounds leave, in tasks of two blocks each. Ties
+break by the smaller destination id. Clustered data skip most pairs of
+blocks; isotropic data in many dimensions skip few, and then the work grows
+with the square of the rows, as it must for an exact answer.
+
+Approximate kNN (G1b) is neighbour descent (neighbours of neighbours are
+likely neighbours), whose work per vertex and round is bounded, or LSH, whose
+work grows with the buckets.
 """
 
 from __future__ import annotations
@@ -21,6 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fraudlens.operators.ordering import ordered_rank
 from fraudlens.session import write_table
 
 EDGE_SCHEMA = "src long, dst long, d2 double"
@@ -54,45 +62,126 @@ def _block_topk(qids: np.ndarray, Q: np.ndarray, cids: np.ndarray, C: np.ndarray
     return qids[rows[sel]], cids[cols[sel]], exact[sel]
 
 
+def _topk(qids, Q, cids, C, k: int, bound: np.ndarray | None = None, rows: int = 1024):
+    """``_block_topk`` for a bounded number of query rows at a time; with
+    ``bound``, only what is not farther than each row's bound."""
+    parts = [_block_topk(qids[a:a + rows], Q[a:a + rows], cids, C, k) for a in range(0, len(qids), rows)]
+    if not parts:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    s, d, e = (np.concatenate(x) for x in zip(*parts))
+    if bound is not None:
+        order = np.argsort(qids, kind="stable")
+        keep = e <= bound[order][np.searchsorted(qids[order], s)]
+        s, d, e = s[keep], d[keep], e[keep]
+    return s, d, e
+
+
 def _stack(series: pd.Series) -> np.ndarray:
     if len(series) == 0:
         return np.empty((0, 0))
     return np.vstack([np.asarray(v, dtype=np.float64) for v in series.to_numpy()])
 
 
-def knn_graph(df: DataFrame, id_col: str, vec_col: str, k: int = 50,
-              n_blocks: int | None = None, rows_per_block: int = 2048) -> DataFrame:
+#: Pivots and blocks at most (both are known to every task).
+MAX_PIVOTS, MAX_BLOCKS = 4096, 65536
+
+
+def pivot_blocks(v: DataFrame, n: int, rows_per_block: int = 2048) -> tuple[DataFrame, np.ndarray, pd.DataFrame]:
+    """``(id, vec, cell, r, blk)`` of vectors ``(id, vec)``, the pivots, and
+    the blocks ``(blk, cell, low, high)``. A row's cell is its nearest pivot,
+    ``r`` the distance to it, and a block a ring of a cell with at most
+    ``rows_per_block`` rows (more beyond ``MAX_BLOCKS`` blocks). Pivots are the
+    rows that come first by a hash of the id."""
+    rows_per_block = max(rows_per_block, math.ceil(n / MAX_BLOCKS))
+    top = v.orderBy(F.xxhash64("id"), "id").limit(min(MAX_PIVOTS, math.ceil(n / rows_per_block)))
+    pivots = np.unique(np.array([r["vec"] for r in top.collect()], dtype=np.float64), axis=0)
+
+    def nearest(batches):
+        for b in batches:
+            if len(b):
+                d = np.sqrt(_square_distances(_stack(b["vec"]), pivots))
+                cell = d.argmin(axis=1)
+                yield b.assign(cell=cell.astype(np.int32), r=d[np.arange(len(d)), cell])
+
+    celled = v.mapInPandas(nearest, "id long, vec array<double>, cell int, r double")
+    ranked = ordered_rank(celled, ["cell"], ["r", "id"], "_rank")
+    placed = write_table(ranked.withColumn("ring", F.floor((F.col("_rank") - 1) / rows_per_block)).drop("_rank"), "pivot-cells")
+    rings = placed.groupBy("cell", "ring").agg(F.min("r").alias("low"), F.max("r").alias("high")).orderBy("cell", "ring").toPandas()
+    rings.insert(0, "blk", np.arange(len(rings), dtype=np.int64))
+    names = placed.sparkSession.createDataFrame(rings[["blk", "cell", "ring"]].astype({"cell": "int32"}))
+    return placed.join(F.broadcast(names), ["cell", "ring"]).select("id", "vec", "cell", "r", "blk"), pivots, rings
+
+
+def _square_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    d = np.einsum("ij,ij->i", a, a)[:, None] + np.einsum("ij,ij->i", b, b)[None, :] - 2.0 * (a @ b.T)
+    return np.maximum(d, 0.0)
+
+
+def visits(blocked: DataFrame, pivots: np.ndarray, rings: pd.DataFrame) -> DataFrame:
+    """``(id, vec, blk, bound, visits)`` of rows with ``bound`` (square of the
+    distance within which they look): the other blocks that may hold a row
+    that near, by the triangle inequality."""
+    cells = rings["cell"].to_numpy(np.int64)
+    low, high, names = (rings[c].to_numpy() for c in ("low", "high", "blk"))
+    apart = np.sqrt(_square_distances(pivots, pivots))
+
+    def run(batches):
+        for whole in batches:
+            for a in range(0, len(whole), 256):  # 256 x blocks distances at a time
+                b = whole.iloc[a:a + 256]
+                q, own = _stack(b["vec"]), b["cell"].to_numpy(np.int64)
+                d2 = _square_distances(q, pivots)
+                d = np.sqrt(d2)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    plane = (d2 - d2[np.arange(len(q)), own][:, None]) / (2.0 * apart[own])
+                plane = np.where(np.isfinite(plane), plane, 0.0)
+                least = np.maximum(np.maximum(d[:, cells] - high, low - d[:, cells]), plane[:, cells])
+                # rounding errors of the expansion stay far below this slack
+                slack = 1e-6 * (1.0 + d.max(axis=1))
+                may = least <= (np.sqrt(b["bound"].to_numpy(np.float64)) + slack)[:, None]
+                may &= names[None, :] != b["blk"].to_numpy(np.int64)[:, None]
+                yield pd.DataFrame({"id": b["id"], "vec": b["vec"], "blk": b["blk"], "bound": b["bound"], "visits": [names[m] for m in may]})
+
+    return blocked.mapInPandas(run, "id long, vec array<double>, blk long, bound double, visits array<long>")
+
+
+def knn_graph(df: DataFrame, id_col: str, vec_col: str, k: int = 50, n_blocks: int | None = None,
+              rows_per_block: int = 2048) -> DataFrame:
     """G1 (J3, D4): directed exact kNN graph, self excluded, weight 1.
 
     Output ``(src, dst, weight, rank)`` with ``rank`` 1..k by (distance, dst).
     Rows without an id, or whose vector is null or holds a null, take no part.
     """
-    v = _whole_vectors(df, id_col, vec_col)
-    if n_blocks is None:
-        n_blocks = max(1, math.ceil(v.count() / rows_per_block))
-    B = int(n_blocks)
-    v = v.withColumn("_blk", F.pmod(F.xxhash64("id"), F.lit(B)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(B - 1)))
-    q = v.select(F.col("_blk").alias("_qb"), every.alias("_cb"), "id", "vec")
-    # distinct names on the candidate side: both sides share one lineage and
-    # must not be resolved to the same attributes
-    c = v.select(every.alias("_qb"), F.col("_blk").alias("_cb"), F.col("id").alias("cid"),
-                 F.col("vec").alias("cvec"))
-
-    def pair(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
-        if len(qpdf) == 0 or len(cpdf) == 0:  # a block pair with an empty side
-            return pd.DataFrame({"src": np.empty(0, np.int64), "dst": np.empty(0, np.int64),
-                                 "d2": np.empty(0)})
-        s, d, e = _block_topk(qpdf["id"].to_numpy(np.int64), _stack(qpdf["vec"]),
-                              cpdf["cid"].to_numpy(np.int64), _stack(cpdf["cvec"]), k)
-        return pd.DataFrame({"src": s, "dst": d, "d2": e})
-
-    cand = q.groupBy("_qb", "_cb").cogroup(c.groupBy("_qb", "_cb")).applyInPandas(pair, EDGE_SCHEMA)
-    if B == 1:
-        ranked = cand.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("d2", "dst")))
+    v = _whole_vectors(df, id_col, vec_col).withColumn("vec", F.col("vec").cast("array<double>"))
+    n = v.count()
+    if n_blocks is not None:
+        rows_per_block = max(1, math.ceil(n / n_blocks))
+    if n <= rows_per_block:
+        blocked = v.withColumn("blk", F.lit(0).cast("long"))
     else:
-        w = Window.partitionBy("src").orderBy("d2", "dst")  # <= B*k rows per source
-        ranked = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        blocked, pivots, rings = pivot_blocks(v, n, rows_per_block)
+
+    def inside(b: pd.DataFrame) -> pd.DataFrame:
+        ids, x = b["id"].to_numpy(np.int64), _stack(b["vec"])
+        return pd.DataFrame(dict(zip(("src", "dst", "d2"), _topk(ids, x, ids, x, k))))
+
+    found = blocked.select("blk", "id", "vec").groupBy("blk").applyInPandas(inside, EDGE_SCHEMA)
+    if n > rows_per_block:
+        found = write_table(found, "own-block")
+        kth = found.groupBy("src").agg(F.max("d2").alias("far"), F.count(F.lit(1)).alias("m"))
+        bound = F.when(F.col("m") >= k, F.col("far")).otherwise(F.lit(float("inf")))
+        asked = blocked.join(kth.withColumnRenamed("src", "id"), "id", "left").withColumn("bound", bound).drop("far", "m")
+        asked = write_table(visits(asked, pivots, rings), "visits")
+        pairs = asked.select(F.col("blk").alias("qb"), F.explode("visits").alias("cb")).distinct()
+        queries = asked.select(F.col("blk").alias("qb"), F.explode("visits").alias("cb"), "id", "vec", "bound")
+        others = pairs.join(blocked.select(F.col("blk").alias("cb"), F.col("id").alias("cid"), F.col("vec").alias("cvec")), "cb")
+
+        def pair(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+            got = _topk(q["id"].to_numpy(np.int64), _stack(q["vec"]), c["cid"].to_numpy(np.int64), _stack(c["cvec"]), k, q["bound"].to_numpy(np.float64))
+            return pd.DataFrame(dict(zip(("src", "dst", "d2"), got)))
+
+        found = found.unionByName(queries.groupBy("qb", "cb").cogroup(others.select("qb", "cb", "cid", "cvec").groupBy("qb", "cb")).applyInPandas(pair, EDGE_SCHEMA))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("d2", "dst"))).where(F.col("rank") <= k)
     return ranked.select("src", "dst", F.lit(1.0).alias("weight"), F.col("rank").cast("int").alias("rank"))
 
 
@@ -145,6 +234,87 @@ def knn_graph_lsh(df: DataFrame, id_col: str, vec_col: str, k: int = 50, bucket_
     return out.select("src", "dst", F.lit(1.0).alias("weight"), F.col("rank").cast("int").alias("rank"))
 
 
+def knn_graph_descent(df: DataFrame, id_col: str, vec_col: str, k: int = 50, sample: int | None = None, projections: int = 3,
+                      rows_per_block: int = 1024, tol: float = 0.001, max_rounds: int = 50, seed: int = 42) -> DataFrame:
+    """Approximate kNN by neighbour descent. Same schema as G1; every
+    vertex gets ``min(k, n - 1)`` neighbours, some of them not the nearest.
+
+    It starts from the nearest rows inside blocks of rows that lie close on
+    seeded random directions. In a round, each vertex brings ``sample``
+    (``k / 2``) of its neighbours that are new and as many of the others
+    together, in both directions of the edges (a vertex that very many rows
+    point to takes part with as few as any other), and each of them keeps the
+    ``k`` nearest it has met. It ends when a round changes less than ``tol`` of
+    the edges, and raises if ``max_rounds`` are not enough."""
+    v = write_table(_whole_vectors(df, id_col, vec_col).withColumn("vec", F.col("vec").cast("array<double>")).dropDuplicates(["id"]), "descent-vectors")
+    n = v.count()
+    k = min(k, n - 1)
+    empty = v.sparkSession.createDataFrame([], "src long, dst long, weight double, rank int")
+    if k < 1:
+        return empty
+    sample = sample or max(4, k // 2)
+    width = len(v.select("vec").first()[0])
+    rng = np.random.default_rng(seed)
+    best = Window.partitionBy("src").orderBy("d2", "dst")
+
+    def inside(b: pd.DataFrame) -> pd.DataFrame:
+        ids, x = b["id"].to_numpy(np.int64), _stack(b["vec"])
+        return pd.DataFrame(dict(zip(("src", "dst", "d2"), _topk(ids, x, ids, x, k))))
+
+    def k_best(edges: DataFrame) -> DataFrame:
+        """The k nearest of each vertex; an edge that was there before is not new."""
+        one = edges.groupBy("src", "dst").agg(F.min("d2").alias("d2"), F.min("new").alias("new"))
+        return write_table(one.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "descent-graph")
+
+    size = max(rows_per_block, 2 * (k + 1))
+    start = None
+    for _ in range(projections if n > size else 1):
+        along = F.aggregate(F.zip_with("vec", F.lit(rng.normal(size=width).tolist()), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+        ranked = ordered_rank(v.withColumn("_x", along), [], ["_x", "id"], "_rank")
+        # equal blocks: none is left with too few rows for k neighbours
+        blocks = ranked.withColumn("blk", F.floor((F.col("_rank") - 1) * max(1, n // size) / n))
+        part = blocks.select("blk", "id", "vec").groupBy("blk").applyInPandas(inside, EDGE_SCHEMA)
+        start = part if start is None else start.unionByName(part)
+    graph = k_best(start.withColumn("new", F.lit(1)))
+
+    def meet(batches):
+        for b in batches:
+            out = []
+            for row in b["near"]:
+                ids = np.array([r["u"] for r in row], dtype=np.int64)
+                x = np.array([r["vec"] for r in row], dtype=np.float64)
+                new = np.array([r["new"] for r in row], dtype=bool)
+                far = np.array([r["far"] for r in row], dtype=np.float64)
+                d2 = _square_distances(x, x)
+                d2[ids[:, None] == ids[None, :]] = np.inf
+                i, j = np.nonzero((d2 < far[:, None]) & (new[:, None] | new[None, :]))
+                diff = x[i] - x[j]
+                out.append(pd.DataFrame({"src": ids[i], "dst": ids[j], "d2": np.einsum("ij,ij->i", diff, diff)}))
+            if out:
+                yield pd.concat(out)
+
+    for _ in range(max_rounds):
+        far = graph.groupBy("src").agg(F.max("d2").alias("far")).withColumnRenamed("src", "u")
+        pick = lambda e, by, to: e.select(F.col(by).alias("v"), F.col(to).alias("u"), "new").withColumn("i", F.row_number().over(
+            Window.partitionBy("v", "new").orderBy(F.xxhash64("v", "u", F.lit(int(rng.integers(1 << 30))))))).where(F.col("i") <= sample).drop("i")
+        met = pick(graph, "src", "dst").unionByName(pick(graph, "dst", "src")).groupBy("v", "u").agg(F.max("new").alias("new"))
+        met = write_table(met, "descent-met")
+        lists = (met.join(v.withColumnRenamed("id", "u"), "u").join(far, "u")
+                 .groupBy("v").agg(F.collect_list(F.struct("u", "vec", "new", "far")).alias("near")))
+        found = lists.select("near").mapInPandas(meet, EDGE_SCHEMA)
+        # an edge that took part as a new one is old from now on
+        used = met.where("new = 1").select(F.col("v").alias("src"), F.col("u").alias("dst"), F.lit(0).alias("used"))
+        old = graph.join(used, ["src", "dst"], "left").select("src", "dst", "d2", F.when(F.col("used").isNull(), F.col("new")).otherwise(F.lit(0)).alias("new"))
+        before = graph
+        graph = k_best(old.unionByName(found.withColumn("new", F.lit(1))))
+        kept = graph.join(before, ["src", "dst"], "left_semi").count()
+        if n * k - kept <= tol * n * k:
+            break
+    else:
+        raise RuntimeError(f"neighbour descent still changes after {max_rounds} rounds")
+    return graph.select("src", "dst", F.lit(1.0).alias("weight"), F.col("rank").cast("int").alias("rank"))
+
+
 def recall_at_k(found: DataFrame, exact: DataFrame) -> DataFrame:
     """Share of the exact graph's edges that ``found`` has, in one row."""
     both = exact.select("src", "dst").join(found.select("src", "dst").withColumn("hit", F.lit(1)), ["src", "dst"], "left")
@@ -191,3 +361,16 @@ def symmetrize(edges: DataFrame) -> DataFrame:
     both = edges.select("src", "dst", "weight").unionByName(
         edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     return both.groupBy("src", "dst").agg((F.sum("weight") / 2.0).alias("weight"))
+
+
+def view_edges(views: dict[str, DataFrame]) -> DataFrame:
+    """The symmetrised views side by side: ``(src, dst, w)`` with the weights
+    ``(W_v + W_v^T) / 2`` of an edge in all views, in the order of ``views``.
+    ``sum_v p_v w[v]`` is the symmetrised fusion (G3, G3b) under weights ``p``."""
+    tagged = None
+    for i, e in enumerate(views.values()):
+        for a, b in (("src", "dst"), ("dst", "src")):
+            t = e.select(F.col(a).alias("src"), F.col(b).alias("dst"), "weight", F.lit(i).alias("view"))
+            tagged = t if tagged is None else tagged.unionByName(t)
+    return tagged.groupBy("src", "dst").agg(F.array(*[
+        F.coalesce(F.sum(F.when(F.col("view") == i, F.col("weight"))), F.lit(0.0)) / 2.0 for i in range(len(views))]).alias("w"))

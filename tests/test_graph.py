@@ -46,3 +46,47 @@ def test_weights_fusion_symmetry(spark):
     assert abs(total - (w["a"] * 60 * 3 + w["b"] * 60 * 5)) < 1e-9
     sym = {(r.src, r.dst): r.weight for r in graph.symmetrize(fused).collect()}
     assert all(abs(sym[(s, d)] - sym[(d, s)]) < 1e-15 for s, d in sym)
+
+
+def test_clustered_rows_skip_most_blocks(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 100, size=(20, 6))
+    X = np.concatenate([c + rng.normal(size=(60, 6)) for c in centres])
+    X[5:25] = X[5]  # a group of copies: ties, and a ring of radius zero
+    df = spark.createDataFrame([(i, X[i].tolist()) for i in range(len(X))], "id long, v array<double>")
+    k = 6
+    g = graph.knn_graph(df, "id", "v", k, rows_per_block=50)
+    D = ((X[:, None, :] - X[None, :, :]) ** 2).sum(-1)
+    np.fill_diagonal(D, np.inf)
+    want = {(i, int(j), r + 1) for i in range(len(X)) for r, j in enumerate(np.lexsort((np.arange(len(X)), D[i]))[:k])}
+    assert {(r.src, r.dst, r["rank"]) for r in g.collect()} == want
+
+    v = df.select("id", F.col("v").alias("vec"))
+    blocked, pivots, rings = graph.pivot_blocks(v, len(X), 50)
+    assert blocked.groupBy("blk").count().agg(F.max("count")).first()[0] <= 50
+    asked = graph.visits(blocked.withColumn("bound", F.lit(30.0)), pivots, rings).collect()
+    went = sum(len(r.visits) for r in asked)
+    assert went < 0.25 * len(X) * (len(rings) - 1)  # isotropic rows would go nearly everywhere
+    block = {r.id: r.blk for r in blocked.collect()}
+    for r in asked:  # nothing within the bound is skipped
+        assert {block[int(j)] for j in np.flatnonzero(D[r.id] <= 30.0)} <= {r.blk, *r.visits}
+
+
+def test_descent_gives_k_neighbours_and_recall(spark):
+    X, df = _vectors(spark, 1500, 16, 7)
+    near = graph.knn_graph_descent(df, "id", "v", 10, rows_per_block=128)
+    assert near.groupBy("src").agg(F.count("*").alias("n"), F.max("rank").alias("m")).where("n != 10 or m != 10").count() == 0
+    assert near.where("src = dst").count() == 0 and near.select("src").distinct().count() == 1500
+    assert graph.recall_at_k(near, graph.knn_graph(df, "id", "v", 10)).first()["recall"] >= 0.9
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(40)], "id long, v array<double>")
+    assert graph.knn_graph_descent(same, "id", "v", 5).count() == 200
+    assert graph.knn_graph_descent(df.limit(0), "id", "v", 3).count() == 0
+    assert graph.knn_graph_descent(df.limit(1), "id", "v", 3).count() == 0
+
+
+def test_view_edges_are_the_symmetrised_fusion(spark):
+    _, df = _vectors(spark, 40, 4, 2)
+    views = {"a": graph.knn_graph(df, "id", "v", 3), "b": graph.knn_graph(df, "id", "v", 6)}
+    want = {(r.src, r.dst): r.weight for r in graph.symmetrize(graph.fuse_graphs(views, {"a": 0.3, "b": 0.7})).collect()}
+    got = {(r.src, r.dst): 0.3 * r.w[0] + 0.7 * r.w[1] for r in graph.view_edges(views).collect()}
+    assert got.keys() == want.keys() and all(abs(got[e] - want[e]) < 1e-12 for e in want)
