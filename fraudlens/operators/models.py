@@ -3,8 +3,8 @@ another table.
 
 Inputs are ``(id, label, features array<double>)``; outputs are
 ``(id, label, prob)`` DataFrames, so evaluation (V*) joins nothing by
-position. All models except Gaussian naive Bayes are Spark ML estimators;
-naive Bayes is two aggregations over the long form ``(id, slot, value)``
+position. Trees, forests and the linear models are Spark ML estimators, the
+perceptron is trained over partitions (``operators.mlp``); naive Bayes is two aggregations over the long form ``(id, slot, value)``
 (the per-class parameter table has classes x features rows and is
 broadcast), which an SQL oracle can repeat exactly.
 """
@@ -12,12 +12,10 @@ broadcast), which an SQL oracle can repeat exactly.
 from __future__ import annotations
 
 import math
-import warnings
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
-                                       MultilayerPerceptronClassifier, RandomForestClassifier)
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -25,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fraudlens.functions.columns import with_scalar
+from fraudlens.operators import fitlog
 from fraudlens.operators.prep import class_weights
 from fraudlens.session import ensure_checkpoint_dir, write_table
 
@@ -167,18 +166,34 @@ def fit_forest(train: DataFrame, test: DataFrame, n_estimators: int = 100, max_d
     return _prob(m.fit(_vec(tr)).transform(_vec(test)))
 
 
-def fit_mlp(train: DataFrame, test: DataFrame, hidden: tuple = (64,), solver: str = "l-bfgs",
-            learning_rate_init: float = 0.03, max_iter: int = 200, seed: int = 42) -> DataFrame:
-    """M4: multilayer perceptron (sigmoid hidden units, no L2 penalty).
-    ``solver`` is "lbfgs" or "gd" (gradient descent with step
-    ``learning_rate_init``), the two that Spark has; others raise."""
-    solvers = {"lbfgs": "l-bfgs", "l-bfgs": "l-bfgs", "gd": "gd"}
-    if solver not in solvers:
-        raise ValueError(f"no solver {solver!r}; there are {sorted(solvers)}")
-    width = len(train.select(X).first()[0])
-    m = MultilayerPerceptronClassifier(featuresCol="_fv", labelCol=Y, layers=[width, *hidden, 2], solver=solvers[solver],
-                                       stepSize=learning_rate_init, maxIter=max_iter, seed=seed)
-    return _prob(m.fit(_vec(train)).transform(_vec(test)))
+def fit_mlp(train: DataFrame, test: DataFrame, hidden: tuple = (64,), activation: str = "relu", solver: str = "lbfgs",
+            alpha: float = 1e-4, learning_rate: str = "constant", learning_rate_init: float = 1e-3, max_iter: int = 50_000,
+            tol: float = 1e-4, seed: int = 42) -> DataFrame:
+    """M4: multilayer perceptron with L2 penalty ``alpha``, hidden units relu,
+    tanh or sigmoid, trained by lbfgs, adam or sgd over the partitions of the
+    table (see ``operators.mlp``). The learning rate's schedule matters to sgd
+    alone. Steps and convergence are recorded (``fitlog``)."""
+    from fraudlens.operators import mlp
+
+    solver = {"l-bfgs": "lbfgs", "gd": "sgd"}.get(solver, solver)
+    for what, value, known in (("solver", solver, ("lbfgs", "adam", "sgd")), ("activation", activation, mlp.ACTIVATIONS),
+                               ("learning rate", learning_rate, ("constant", "adaptive"))):
+        if value not in known:
+            raise ValueError(f"no {what} {value!r}; there are {known}")
+    net, theta, steps, converged = mlp.train_mlp(train, ID, X, Y, tuple(hidden), activation, solver, alpha, learning_rate, learning_rate_init,
+                                                 max_iter, tol, seed)
+    fitlog.record("mlp", steps, converged)
+
+    @F.pandas_udf(T.DoubleType())
+    def prob(col: pd.Series) -> pd.Series:
+        some = col.notna().to_numpy()
+        out = np.full(len(col), np.nan)
+        if some.any():
+            _, z = net.forward(theta, np.vstack(col[some].to_numpy()).astype(float))
+            out[some] = 0.5 * (1.0 + np.tanh(0.5 * z))
+        return pd.Series(out)
+
+    return test.select(ID, Y, F.nanvl(prob(F.col(X)), F.lit(None).cast("double")).alias("prob"))
 
 
 def _rff_udf(width: int, n_components: int, gamma: float, seed: int):
@@ -227,8 +242,8 @@ def fit_svm(train: DataFrame, test: DataFrame, kernel: str = "rbf", C: float = 1
     rbf: random Fourier features sqrt(2/D) cos(Wx + b), W ~ N(0, 2 gamma I).
     poly: tensor sketch of ``(gamma x.y)^degree`` at any degree. gamma is
     1 / (d * var(X)) unless given. Both maps are vectorised pandas UDFs with
-    seeded tables, of ``n_components`` slots. A fit that uses up ``max_iter``
-    steps (the reference has 2000 to 20000) gives a RuntimeWarning."""
+    seeded tables, of ``n_components`` slots. Steps and convergence are
+    recorded (``fitlog``); the reference allows 2000 to 20000."""
     from fraudlens.operators.sampling import kfold
 
     if kernel not in ("rbf", "poly"):
@@ -247,8 +262,8 @@ def fit_svm(train: DataFrame, test: DataFrame, kernel: str = "rbf", C: float = 1
         total = tr.agg(F.sum(F.col(kw["weightCol"])) if kw else F.count(F.lit(1))).first()[0]
         svc = LinearSVC(featuresCol="_fv", labelCol=Y, regParam=1.0 / (C * float(total)), maxIter=max_iter, tol=1e-3, **kw)
         model = svc.fit(_vec(tr, "_z"))
-        if model.summary().totalIterations >= max_iter:
-            warnings.warn(f"the SVM used up {max_iter} steps (C={C})", RuntimeWarning, stacklevel=3)
+        steps = model.summary().totalIterations
+        fitlog.record("svm", steps, steps < max_iter)
         return model.transform(_vec(rows, "_z")).select(
             ID, Y, F.array(vector_to_array("rawPrediction")[1]).alias("_m"))
 
@@ -279,14 +294,16 @@ MODEL_FITS = {
 
 
 def fit_stacking(train: DataFrame, test: DataFrame, base_params: dict[str, dict] | None = None,
-                 n_folds: int = 5, seed: int = 42, parallelism: int = 4) -> DataFrame:
+                 n_folds: int = 5, seed: int = 42, parallelism: int = 8, ready: dict | None = None) -> DataFrame:
     """M8: stacking of six bases (svm, dt, rf, gbt, nb, mlp; no LR base).
 
     Out-of-fold probabilities (stratified folds, K3) train a logistic
     meta-model (500 iterations, no passthrough); the bases are then refit
     on all training rows and the meta-model combines their test
     probabilities. The 6 x (folds + 1) fits are independent Spark jobs and
-    run ``parallelism`` at a time from driver threads."""
+    run ``parallelism`` at a time from driver threads. ``ready`` names bases
+    that were fit on the same rows with the same parameters elsewhere: functions
+    without arguments that return their ``(id, label, prob)`` of ``test``."""
     from concurrent.futures import ThreadPoolExecutor
 
     from fraudlens.operators.sampling import kfold
@@ -299,13 +316,16 @@ def fit_stacking(train: DataFrame, test: DataFrame, base_params: dict[str, dict]
 
     def run(task):
         name, f = task
+        if f is None and name in (ready or {}):
+            p = ready[name]()
+            return p.select(ID, Y, F.lit(name).alias("model"), F.lit(True).alias("of_test"), "prob")
         tr = whole if f is None else folded.where(F.col("fold") != f).drop("fold")
         te = test if f is None else folded.where(F.col("fold") == f).drop("fold")
         p = MODEL_FITS[name](tr, te, **base_params.get(name, {}))
         # one long table of predictions; written, so that the fit runs in this thread
         return write_table(p.select(ID, Y, F.lit(name).alias("model"), F.lit(f is None).alias("of_test"), "prob"), "stack-part")
 
-    tasks = [(b, f) for b in bases for f in [*range(n_folds), None]]
+    tasks = [(b, f) for f in [*range(n_folds), None] for b in ("gbt", "svm", "mlp", "rf", "dt", "nb")]  # the longest first
     with ThreadPoolExecutor(max(1, parallelism)) as ex:
         parts = list(ex.map(run, tasks))
     long = parts[0]
