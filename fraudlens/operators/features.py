@@ -10,20 +10,22 @@ from __future__ import annotations
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fraudlens.functions.columns import fill_zero, with_scalar
-from fraudlens.session import write_table
+from fraudlens.session import written
 
 
-def zscore_columns(df: DataFrame, cols: list[str]) -> DataFrame:
+def zscore_columns(df: DataFrame, cols: list[str], fit_on: Column | None = None) -> DataFrame:
     """X1 on scalar columns: ``(x - mean) / std_pop``; a constant column
     gives ``x - mean`` (= 0), as a scaler with unit fallback scale does.
     NULLs stay NULL (ignored by the statistics). The rows are written first:
-    the statistics and the scaling both read them."""
-    df = write_table(df, "unscaled")
-    out = with_scalar(df, "_st", df.agg(F.struct(*[F.avg(c).alias(f"m_{c}") for c in cols],
+    the statistics and the scaling both read them. ``fit_on`` limits the
+    statistics to some rows (T4: those of the training part)."""
+    df = written(df, "unscaled")
+    fit = df if fit_on is None else df.where(fit_on)
+    out = with_scalar(df, "_st", fit.agg(F.struct(*[F.avg(c).alias(f"m_{c}") for c in cols],
                                                    *[F.stddev_pop(c).alias(f"s_{c}") for c in cols])))
     def z(c):
         m, s = F.col(f"_st.m_{c}"), F.col(f"_st.s_{c}")
@@ -39,16 +41,17 @@ def assemble(df: DataFrame, cols: list[str], out: str = "features", fill_null: b
     return df.withColumn(out, F.array(*elems))
 
 
-def zscore_vector(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
+def zscore_vector(df: DataFrame, col: str, out: str | None = None, fit_on: Column | None = None) -> DataFrame:
     """X1 on an array column, per slot, population std.
 
     Means and variances come from ``Summarizer`` (one JVM aggregate with
     partial merge); Spark's variance is the sample one, so it is rescaled
     by (n-1)/n. The width-d statistics row is a scalar subquery, and the
-    vectors are written first, since statistics and scaling both read them."""
+    vectors are written first, since statistics and scaling both read them.
+    ``fit_on`` limits the statistics to some rows."""
     out = out or col
-    df = write_table(df, "unscaled")
-    v = df.withColumn("_v", array_to_vector(F.col(col)))
+    df = written(df, "unscaled")
+    v = (df if fit_on is None else df.where(fit_on)).withColumn("_v", array_to_vector(F.col(col)))
     st = v.select(Summarizer.metrics("mean", "variance", "count").summary(F.col("_v")).alias("s")) \
           .select(F.struct(vector_to_array("s.mean").alias("mean"), vector_to_array("s.variance").alias("var"),
                            F.col("s.count").alias("n")))

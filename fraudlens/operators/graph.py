@@ -374,3 +374,16 @@ def view_edges(views: dict[str, DataFrame]) -> DataFrame:
             tagged = t if tagged is None else tagged.unionByName(t)
     return tagged.groupBy("src", "dst").agg(F.array(*[
         F.coalesce(F.sum(F.when(F.col("view") == i, F.col("weight"))), F.lit(0.0)) / 2.0 for i in range(len(views))]).alias("w"))
+
+
+def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Modularity of a clustering ``(id, cluster)`` on a symmetric edge
+    table, ``sum_c in_c / W - (s_c / W)^2`` with the weight inside a cluster,
+    its vertices' strength and the total weight; an objective that needs no
+    truth. One row; no edges give null. Ends without a cluster are left out."""
+    ends = edges.join(labels.select(F.col("id").alias("src"), F.col("cluster").alias("_a")), "src").join(
+        labels.select(F.col("id").alias("dst"), F.col("cluster").alias("_b")), "dst")
+    sums = ends.groupBy("_a").agg(F.sum("weight").alias("s"), F.sum(F.when(F.col("_a") == F.col("_b"), F.col("weight")).otherwise(0.0)).alias("i"))
+    total = sums.agg(F.sum("s").alias("w"), F.sum("i").alias("i"), F.sum(F.col("s") * F.col("s")).alias("ss"))
+    return total.select(F.try_divide("i", "w").alias("_i"), (F.try_divide("ss", F.col("w") * F.col("w"))).alias("_s")).select(
+        (F.col("_i") - F.col("_s")).alias("modularity"))

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fraudlens.operators.sums import summed
 from fraudlens.session import write_table
 
 SLICE_ROWS, BATCH_ROWS = 65_536, 200
@@ -99,25 +100,6 @@ def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return batch.column(0).to_numpy(), x, batch.column(2).to_numpy().astype(float)
 
 
-def _summed(parts: DataFrame, tasks: int) -> np.ndarray:
-    """Sum of the vectors of ``parts`` (part long, v binary), in a tree."""
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for b in batches:
-            for v in b.column(1):
-                x = np.frombuffer(v.as_buffer(), dtype=float)
-                total = x.copy() if total is None else total + x
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([total.tobytes()], pa.binary())], names=["part", "v"])
-
-    while tasks > FAN_IN:
-        tasks = -(-tasks // FAN_IN)
-        parts = parts.repartition(tasks, "part").mapInArrow(add, "part long, v binary").withColumn("part", F.spark_partition_id().cast("long"))
-    # the order of addition does not depend on which task ends first
-    got = sorted((r["part"], bytes(r["v"])) for r in parts.collect())
-    return np.sum([np.frombuffer(v, dtype=float) for _, v in got], axis=0)
-
-
 class Table:
     """The training rows, dealt and written once."""
 
@@ -144,7 +126,7 @@ class Table:
             yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([total.tobytes()], pa.binary())], names=["part", "v"])
 
         parts = self.rows.mapInArrow(run, "part long, v binary").withColumn("part", F.spark_partition_id().cast("long"))
-        total = _summed(parts, self.tasks) / self.n
+        total = summed(parts, self.tasks, FAN_IN) / self.n
         w = theta * net.penalised()
         return total[0] + 0.5 * alpha / self.n * float(w @ w), total[1:] + alpha / self.n * w
 
@@ -179,7 +161,7 @@ class Table:
                 yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([total.tobytes()], pa.binary())], names=["part", "v"])
 
         parts = self.rows.mapInArrow(run, "part long, v binary").withColumn("part", F.spark_partition_id().cast("long"))
-        total = _summed(parts, self.tasks)
+        total = summed(parts, self.tasks, FAN_IN)
         return total[1 + epochs:] / total[0], total[1:1 + epochs] / total[0]
 
 

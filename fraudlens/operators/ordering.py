@@ -23,14 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fraudlens.session import write_table
+from fraudlens.session import write_table, written
 
 SLICE = "_slice"
 
 
 #: Rows that one slice should hold at most, and at least where the shuffle
 #: setting asks for more slices than the size does.
-ROWS_PER_SLICE, LEAST_ROWS = 200_000, 5_000
+ROWS_PER_SLICE, LEAST_ROWS = 2_000_000, 5_000
 
 
 def _n_slices(written: DataFrame, n: int | None) -> int:
@@ -52,10 +52,11 @@ def _sliced(df: DataFrame, part_cols: list[str], order_cols: list[str], n: int |
     output), they could sample different bounds and disagree on slices.
     Writing the sliced rows as a table in the shared checkpoint folder
     pins one assignment (the slice is a stored column) that every branch
-    reads and that survives executor loss. The input is written before, since
-    slicing reads it three times (row count, bounds, rows).
+    reads and that survives executor loss. The input is written before, unless
+    it is a written table, since slicing reads it three times (row count,
+    bounds, rows).
     """
-    df = write_table(df, "unsliced")
+    df = written(df, "unsliced")
     sliced = (df.repartitionByRange(_n_slices(df, n), *[F.col(c).asc_nulls_first() for c in part_cols + order_cols])
                 .withColumn(SLICE, F.spark_partition_id()))
     return write_table(sliced, "sliced")

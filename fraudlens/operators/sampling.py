@@ -84,3 +84,14 @@ def kfold(df: DataFrame, label_col: str = "label_fixed", n_folds: int = 5, seed:
     d = df.where(F.col(label_col).isNotNull()).withColumn("_h", hash_order(id_col, seed))
     r = ordered_rank(d, [label_col], ["_h", id_col], "_rank", n_slices)
     return r.withColumn("fold", F.pmod(F.col("_rank") - 1, F.lit(n_folds)).cast("int")).drop("_h", "_rank")
+
+
+def three_way_split(df: DataFrame, label_col: str = "label_fixed", val_fraction: float = 0.2, test_fraction: float = 0.2, seed: int = 42,
+                    id_col: str = "review_id", prefix_len: int = 5) -> DataFrame:
+    """T4, strict mode: stratified ``part`` train, val or test. The test rows
+    are K2's under ``seed``; the validation rows are drawn from the rest, by
+    ``seed + 1``, as ``val_fraction`` of the rest."""
+    first = _flag(df, label_col, test_fraction, seed, id_col, prefix_len, "_is_test")
+    rest = _flag(first.where(~F.col("_is_test")).drop("_is_test"), label_col, val_fraction, seed + 1, id_col, prefix_len, "_is_val")
+    test = first.where("_is_test").drop("_is_test").withColumn("part", F.lit("test"))
+    return test.unionByName(rest.withColumn("part", F.when(F.col("_is_val"), "val").otherwise("train")).drop("_is_val"))

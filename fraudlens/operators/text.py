@@ -16,15 +16,19 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fraudlens.operators.sums import summed
 from fraudlens.session import write_table
 
 # Token pattern: runs of Unicode letters, digits and underscore.
 TOKEN_PATTERN = "[\\p{L}\\p{N}_]+"
 DEFAULT_VOCAB = 1 << 15
+#: Ids of the learned encoder, whose driver holds a dense row for each.
+LEARNED_VOCAB = 1 << 13
 
 
 def tokens(text: Column | str) -> Column:
@@ -114,6 +118,90 @@ def semantic_embedding(df: DataFrame, text_col: str = "Review", dim: int = 64, v
     return with_ids.withColumn(out, encode(F.col("_ids"))).drop("_ids")
 
 
+# ---- E3 learned word vectors: co-occurrence -> PPMI -> randomised SVD ---------------
+
+def cooccurrence(df: DataFrame, ids_col: str, window: int = 5) -> DataFrame:
+    """``(i, j, n)``: how often two ids stand within ``window`` places of each
+    other in a whole text, in either order."""
+    n = F.size(ids_col)
+    near = [F.arrays_zip(F.slice(ids_col, F.lit(1), F.greatest(n - d, F.lit(0))).alias("i"), F.slice(ids_col, F.lit(d + 1), F.greatest(n - d, F.lit(0))).alias("j"))
+            for d in range(1, window + 1)]
+    pairs = df.where(n > 1).select(F.explode(F.concat(*near)).alias("p")).select("p.i", "p.j")
+    counted = pairs.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"))  # at most vocab^2 rows
+    both = counted.unionByName(counted.select(F.col("j").alias("i"), F.col("i").alias("j"), "n"))
+    return both.groupBy("i", "j").agg(F.sum("n").alias("n"))
+
+
+def ppmi(counts: DataFrame, smoothing: float = 0.75) -> DataFrame:
+    """``(i, j, v)``: positive pointwise mutual information, with context
+    counts raised to ``smoothing`` so that rare contexts weigh less."""
+    row = counts.groupBy("i").agg(F.sum("n").alias("ri"))  # at most vocab rows
+    ctx = row.select(F.col("i").alias("j"), F.pow("ri", F.lit(smoothing)).alias("cj"))
+    total = ctx.agg(F.sum("cj")).scalar()
+    v = F.ln(F.col("n") * total / (F.col("ri") * F.col("cj")))
+    return counts.join(row, "i").join(ctx, "j").select("i", "j", v.alias("v")).where(F.col("v") > 0)
+
+
+def _times(matrix: DataFrame, right: np.ndarray, transposed: bool = False, tasks: int = 64) -> np.ndarray:
+    """The sparse matrix ``(i, j, v)`` (or its transpose) times a dense one."""
+    shape = right.shape
+
+    def run(batches):
+        out = None
+        for b in batches:
+            i, j, v = (b.column(k).to_numpy() for k in ((1, 0, 2) if transposed else (0, 1, 2)))
+            out = np.zeros(shape) if out is None else out
+            rows, at = np.unique(i, return_inverse=True)
+            part = np.zeros((len(rows), shape[1]))
+            np.add.at(part, at, v[:, None] * right[j])
+            out[rows] += part
+        if out is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([out.tobytes()], pa.binary())], names=["part", "v"])
+
+    parts = matrix.select("i", "j", "v").mapInArrow(run, "part long, v binary").withColumn("part", F.spark_partition_id().cast("long"))
+    total = summed(parts, tasks, 16)
+    return total.reshape(shape) if np.ndim(total) else np.zeros(shape)
+
+
+def word_vectors(df: DataFrame, ids_col: str, dim: int = 64, vocab: int = LEARNED_VOCAB, window: int = 5, rounds: int = 2, seed: int = 7) -> np.ndarray:
+    """Learned vectors of the ids ``0..vocab``, rows of ``U sqrt(S)`` of their
+    PPMI matrix. The randomised SVD multiplies the matrix by ``dim + 10`` dense
+    columns in tasks; QR and the small SVD are the driver's (``vocab`` rows, a
+    parameter). Each column's largest entry is positive."""
+    matrix = write_table(ppmi(write_table(cooccurrence(df, ids_col, window), "cooccurrence")), "ppmi")
+    rng = np.random.default_rng(seed)
+    y = _times(matrix, rng.standard_normal((vocab + 1, dim + 10)))
+    for _ in range(rounds):
+        q, _ = np.linalg.qr(y)
+        z, _ = np.linalg.qr(_times(matrix, q, transposed=True))
+        y = _times(matrix, z)
+    q, _ = np.linalg.qr(y)
+    b = _times(matrix, q, transposed=True).T
+    u, s, _ = np.linalg.svd(b, full_matrices=False)
+    w = (q @ u * np.sqrt(s))[:, :dim]
+    return w * np.where(w[np.abs(w).argmax(axis=0), np.arange(w.shape[1])] < 0, -1.0, 1.0)
+
+
+def learned_embedding(df: DataFrame, text_col: str = "Review", dim: int = 64, vocab: int = LEARNED_VOCAB, window: int = 5, seed: int = 7,
+                      out: str = "semantic") -> DataFrame:
+    """E3, learned: each text is the mean of its words' learned vectors
+    (``word_vectors`` of the same texts), weighted by TF-IDF and scaled to unit
+    length; texts without words are zero. ``text_col`` itself is dropped."""
+    keep = [c for c in df.columns if c != text_col]
+    with_ids = write_table(df.select(*keep, token_ids(F.coalesce(F.col(text_col), F.lit("")), vocab).alias("_ids")), "token_ids")
+    idf = np.zeros(vocab + 1)
+    for r in idf_table(with_ids, "_ids").collect():  # <= vocab rows
+        idf[int(r["tok"])] = float(r["idf"])
+    vectors = word_vectors(with_ids, "_ids", dim, vocab, window, seed=seed) * idf[:, None]
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def encode(col: pd.Series) -> pd.Series:
+        sums = [vectors[np.asarray(ids, dtype=np.int64)].sum(axis=0) if len(ids) else np.zeros(dim) for ids in col]
+        return pd.Series([(x / (np.linalg.norm(x) or 1.0)).astype(np.float32) for x in sums])
+
+    return with_ids.withColumn(out, encode(F.col("_ids"))).drop("_ids")
+
+
 # ---- E4 n-gram CNN with seeded, untrained weights ----------------------------------
 
 @lru_cache(maxsize=4)

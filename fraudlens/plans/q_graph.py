@@ -98,6 +98,17 @@ def mean_degree(spark, sf_dir):
     return graph.mean_degree(_fused(spark, sf_dir), n_vertices(spark, sf_dir))
 
 
+@query("fused_modularity", _views_sql() + """,
+sym AS (SELECT src, dst, sum(weight) / 2 AS weight FROM (
+  SELECT src, dst, weight FROM fused UNION ALL SELECT dst AS src, src AS dst, weight FROM fused) GROUP BY src, dst),
+ends AS (SELECT a.label >= 5 AS a, b.label >= 5 AS b, s.weight FROM sym s JOIN embeddings a ON s.src = a.vec_id JOIN embeddings b ON s.dst = b.vec_id),
+sums AS (SELECT a, sum(weight) AS s, sum(CASE WHEN a = b THEN weight ELSE 0 END) AS i FROM ends GROUP BY a)
+SELECT round(sum(i) / sum(s) - sum(s * s) / (sum(s) * sum(s)), 6) AS modularity FROM sums""")
+def fused_modularity(spark, sf_dir):
+    """Modularity of the two label classes on the symmetric fused graph."""
+    return graph.modularity(graph.symmetrize(_fused(spark, sf_dir)), _truth(spark, sf_dir).withColumnRenamed("label", "cluster"))
+
+
 # ---- vectors -----------------------------------------------------------------------
 
 @query("weighted_block", """

@@ -13,7 +13,7 @@ import json
 from pyspark.sql import functions as F
 
 from fraudlens.operators import evaluate, features, models, search
-from fraudlens.operators.sampling import train_val_split
+from fraudlens.operators.sampling import three_way_split, train_val_split
 from fraudlens.plans import pipeline
 from fraudlens.plans.registry import query
 from fraudlens.plans.sql import DOCS
@@ -81,6 +81,58 @@ def model_split(spark, sf_dir):
     return one(tr, False).unionByName(one(va, True))
 
 
+_STRICT = """
+WITH base AS (SELECT vec_id AS id, CASE WHEN label >= 5 THEN 1 ELSE 0 END AS label, embedding FROM embeddings),
+t1 AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(id AS VARCHAR) || '|42'), id)
+                 <= ceil(0.2 * count(*) OVER (PARTITION BY label)) AS is_test FROM base),
+t2 AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(id AS VARCHAR) || '|43'), id)
+                 <= ceil(0.2 * count(*) OVER (PARTITION BY label)) AS is_val FROM t1 WHERE NOT is_test),
+parts AS (SELECT id, label, embedding, 'test' AS part FROM t1 WHERE is_test
+  UNION ALL SELECT id, label, embedding, CASE WHEN is_val THEN 'val' ELSE 'train' END FROM t2)"""
+
+
+def _strict(spark, sf_dir):
+    """T4: the embeddings with a stratified part: train, val or test."""
+    e = adapters.load_table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), (F.col("label") >= 5).cast("int").alias("label"), F.col("embedding").cast("array<double>").alias("features"))
+    return three_way_split(e, "label", 0.2, 0.2, 42, "id")
+
+
+@query("strict_split", _STRICT + "\nSELECT id, label, part FROM parts")
+def strict_split(spark, sf_dir):
+    """T4, strict mode: three-way stratified split."""
+    return _strict(spark, sf_dir).select("id", "label", "part")
+
+
+@query("strict_zscore", _STRICT + """,
+lng AS (SELECT id, part, CAST(i AS INTEGER) - 1 AS slot, CAST(v AS DOUBLE) AS v FROM (
+  SELECT id, part, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM parts)),
+st AS (SELECT slot, avg(v) AS m, stddev_pop(v) AS s FROM lng WHERE part = 'train' GROUP BY slot)
+SELECT id, part, lng.slot, round(CASE WHEN s = 0 THEN v - m ELSE (v - m) / s END, 6) AS value FROM lng JOIN st ON lng.slot = st.slot""")
+def strict_zscore(spark, sf_dir):
+    """All parts scaled by the statistics of the training part."""
+    z = features.zscore_vector(_strict(spark, sf_dir), "features", fit_on=F.col("part") == "train")
+    return z.select("id", "part", F.posexplode("features").alias("slot", "value"))
+
+
+@query("strict_metrics")
+def strict_metrics(spark, sf_dir):
+    """T4 end to end: naive Bayes fit on the training part, its threshold
+    chosen on the validation part, metrics of the test part at it."""
+    z = write_table(features.zscore_vector(_strict(spark, sf_dir), "features", fit_on=F.col("part") == "train"), "strict")
+    part = lambda p: z.where(F.col("part") == p).drop("part")
+    params = write_table(models.gaussian_nb_fit(part("train")), "strict-nb")
+    sweep = evaluate.threshold_sweep(models.gaussian_nb_predict(params, part("val")), score_col="prob")
+    best = evaluate.best_threshold(sweep).first()["threshold"]
+    pred = models.gaussian_nb_predict(params, part("test")).withColumn("pred", (F.col("prob") >= F.lit(best)).cast("int"))
+    hit = lambda y, p: F.count_if((F.col("label") == y) & (F.col("pred") == p)).cast("double")
+    c = pred.agg(hit(1, 1).alias("tp"), hit(0, 1).alias("fp"), hit(1, 0).alias("fn"), hit(0, 0).alias("tn"))
+    tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
+    return c.select(F.lit(best).alias("threshold"), F.try_divide(tp + tn, tp + fp + fn + tn).alias("accuracy"),
+                    ((F.try_divide(tp, tp + fn) + F.try_divide(tn, tn + fp)) / 2).alias("balanced_accuracy"),
+                    F.try_divide(2 * tp, 2 * tp + fp + fn).alias("f1"))
+
+
 @query("fit_logreg")
 def fit_logreg(spark, sf_dir):
     """M2: logistic regression, C = 1, L2, balanced weights, 2000 iterations."""
@@ -222,7 +274,7 @@ def _study(model: str, seed: int):
             pred = models.MODEL_FITS[model](tr, va, **more, **search.used(model, p))
             return evaluate.roc_auc(pred, score_col="prob").first()["roc_auc"] or 0.0
 
-        trials = write_table(search.run_search(spark, model, objective, search.sample_params(model, 10, seed), parallelism=4), "trials")
+        trials = write_table(search.run_study(spark, model, objective, 10, seed, parallelism=8), "trials")
         best = search.best_trial(trials).select("model", F.col("trial").alias("_bt"))
         return trials.join(best, "model").withColumn("is_best", F.col("trial") == F.col("_bt")).drop("_bt")
     run.__doc__ = f"H1-H3: ten trials of the {model} study, with the best one marked."

@@ -96,4 +96,11 @@ def write_table(df, name: str = "table"):
     base = _SCOPES[-1] if _SCOPES else f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables"
     path = f"{base}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._written_table = True
+    return out
+
+
+def written(df, name: str = "table"):
+    """``df`` itself if ``write_table`` returned it, else written now."""
+    return df if getattr(df, "_written_table", False) else write_table(df, name)

@@ -90,3 +90,16 @@ def test_view_edges_are_the_symmetrised_fusion(spark):
     want = {(r.src, r.dst): r.weight for r in graph.symmetrize(graph.fuse_graphs(views, {"a": 0.3, "b": 0.7})).collect()}
     got = {(r.src, r.dst): 0.3 * r.w[0] + 0.7 * r.w[1] for r in graph.view_edges(views).collect()}
     assert got.keys() == want.keys() and all(abs(got[e] - want[e]) < 1e-12 for e in want)
+
+
+def test_modularity_equals_its_definition(spark):
+    rng = np.random.default_rng(1)
+    A = rng.uniform(size=(20, 20)) * (rng.uniform(size=(20, 20)) < 0.3)
+    A = A + A.T
+    c = rng.integers(0, 3, 20)
+    edges = spark.createDataFrame([(i, j, float(A[i, j])) for i in range(20) for j in range(20) if A[i, j]], "src long, dst long, weight double")
+    labels = spark.createDataFrame([(i, int(c[i])) for i in range(20)], "id long, cluster int")
+    d, W = A.sum(1), A.sum()
+    want = sum((A[i, j] - d[i] * d[j] / W) for i in range(20) for j in range(20) if c[i] == c[j]) / W
+    assert abs(graph.modularity(edges, labels).first()["modularity"] - want) < 1e-12
+    assert graph.modularity(edges.limit(0), labels).first()["modularity"] is None

@@ -71,3 +71,40 @@ def test_sinks_round_trip(spark, tmp_path):
     write_feature_matrix(df, str(tmp_path / "m"), width=2)
     m = spark.read.parquet(str(tmp_path / "m")).orderBy("review_id").collect()
     assert m[1]["0"] == 2.0 and m[1]["1"] == -1.0 and m[1].label == 1
+
+
+def test_learned_vectors_group_words_that_share_contexts(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    topics = [[f"t{k}w{i}" for i in range(60)] for k in range(3)]
+    common = [f"c{i}" for i in range(20)]
+    rows = []
+    for d in range(240):
+        k = d % 3  # each text has few of its topic's words, so that texts of a topic share hardly any
+        words = list(rng.choice(topics[k], 6, replace=False)) + list(rng.choice(common, 6))
+        rng.shuffle(words)
+        rows.append((d, k, " ".join(words)))
+    df = spark.createDataFrame(rows, "id long, topic int, Review string")
+
+    def separation(out):
+        v = {r.id: np.array(r.semantic, dtype=float) for r in out.collect()}
+        ids = sorted(v)
+        x = np.array([v[i] / (np.linalg.norm(v[i]) or 1) for i in ids])
+        sims = x @ x.T
+        same = np.array([[a % 3 == b % 3 for b in ids] for a in ids])
+        off = ~np.eye(len(ids), dtype=bool)
+        a, b = sims[same & off], sims[~same]
+        return float((a[:, None] > rng.choice(b, 400)[None, :]).mean())  # area under the curve
+
+    learned, projected = separation(text.learned_embedding(df, dim=8, vocab=1024)), separation(text.semantic_embedding(df, dim=8, vocab=1024))
+    assert learned > projected + 0.05 and learned > 0.75, (learned, projected)
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "one two one")], "id long, Review string")
+    out = {r.id: r.semantic for r in text.learned_embedding(odd, dim=4, vocab=64).collect()}
+    assert not any(out[1]) and not any(out[2]) and len(out[3]) == 4
+
+
+def test_cooccurrence_counts_and_ppmi(spark):
+    df = spark.createDataFrame([([1, 2, 1, 3],), ([2],), ([],)], "ids array<long>")
+    got = {(r.i, r.j): r.n for r in text.cooccurrence(df, "ids", 2).collect()}
+    assert got == {(1, 2): 2, (2, 1): 2, (1, 1): 2, (2, 3): 1, (3, 2): 1, (1, 3): 1, (3, 1): 1}
+    assert all(r.v > 0 for r in text.ppmi(text.cooccurrence(df, "ids", 2)).collect())

@@ -90,3 +90,22 @@ def test_split_and_folds(spark):
     f = sampling.kfold(df, "label_fixed", 5, n_slices=4)
     per = {r.fold: r["count"] for r in f.where("label_fixed = 0").groupBy("fold").count().collect()}
     assert max(per.values()) - min(per.values()) <= 1
+
+
+def test_three_parts_are_stratified_and_disjoint(spark):
+    from fraudlens.operators import features, sampling
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([(i, int(i % 5 == 0), [float(i), 1.0]) for i in range(200)], "id long, label int, v array<double>")
+    out = sampling.three_way_split(df, "label", 0.25, 0.2, 42, "id")
+    n = {(r.part, r.label): r["count"] for r in out.groupBy("part", "label").count().collect()}
+    assert n == {("test", 0): 32, ("test", 1): 8, ("val", 0): 32, ("val", 1): 8, ("train", 0): 96, ("train", 1): 24}
+    assert out.select("id").distinct().count() == 200
+    z = features.zscore_vector(out, "v", fit_on=F.col("part") == "train").withColumn("x", F.col("v")[0])
+    m = z.where("part = 'train'").agg(F.avg("x"), F.stddev_pop("x")).first()
+    assert abs(m[0]) < 1e-12 and abs(m[1] - 1) < 1e-12 and abs(z.where("part = 'test'").agg(F.avg("x")).first()[0]) > 1e-6
+
+
+def test_a_written_table_is_not_written_again(spark):
+    from fraudlens.session import write_table, written
+    df = write_table(spark.range(5), "once")
+    assert written(df) is df and written(df.where("id > 1")) is not df and written(df.where("id > 1")).count() == 3
