@@ -5,8 +5,8 @@ full windows off long ones, and places what is left best-fit in one of
 ``n_open`` open windows. When none fits, the fullest window is topped up
 with a cut of the document if its gap is worth one, and emitted. What is
 still open at the end of a partition is a leftover; leftovers are merged in
-a second, much smaller step, in groups of partitions, so that no task or
-driver ever holds them all. Only the last window of such a group can stay
+a second, much smaller step, in groups of ``GROUP`` windows, so that no task
+or driver ever holds them all. Only the last window of such a group can stay
 unfilled; it is cut into sequences whose lengths are powers of two, which
 need no padding.
 
@@ -16,9 +16,9 @@ come from the same run of the tasks, so a lost executor cannot make the two
 disagree.
 
 Tokenising: white space is dropped by this tokenizer and no token spans it,
-so a text is cut at blanks and newlines and distinct words are encoded by the
-tokenizers library once; a worker remembers up to
-two generations of ``KNOWN_WORDS`` of them.
+so a text is cut at blanks and newlines and each distinct word is encoded
+once; a task remembers words of at most ``CACHE_BYTES`` (in two generations,
+so that those in use stay) and forgets them when it ends.
 
 Edge cases: a null or empty text is the end-of-text id alone. Repeated rows
 are packed as often as they occur. A document of any length is cut over as
@@ -29,8 +29,8 @@ than document id and text are not read.
 from __future__ import annotations
 
 import os
-import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -41,92 +41,127 @@ from pyspark.sql import functions as F
 from fraudlens.llm.common import write_table
 
 WINDOW, N_OPEN, MIN_CUT, END_ID = 4096, 32, 16, 2
-#: Partitions whose leftovers are merged by one task.
-GROUP = 64
-KNOWN_WORDS, KNOWN_PARTS = 300_000, 500_000
+#: Leftover windows that one task merges.
+GROUP = 256
+#: Memory of the remembered words of a task, and what one takes beside its letters.
+CACHE_BYTES, ENTRY_BYTES = 64 << 20, 190
 #: Signs that may follow a run of letters and are tokens of their own.
 SIGNS = ".,!?;:%&#*$|"
+#: Letters below this one are in normal form, and Python lower-cases them as the library does.
+PLAIN_LETTERS = "\u0250"
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
+_LIBRARIES: dict = {}
 
-class Tokenizer:
-    """Whole-text ids of the tokenizers library, from its ids of single words.
 
-    Letters and the signs after them are separate tokens and letter case is
-    dropped, so the library sees each run of letters once: many of them in
-    one call, told apart by the tokens that end a word."""
-
-    def __init__(self, path: str):
+def library(path: str):
+    """The worker's tokenizer of a file."""
+    if path not in _LIBRARIES:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer as Library
 
-        self.library = Library.from_file(path)
-        self.ends = np.zeros(self.library.get_vocab_size(), dtype=bool)
-        for token, i in self.library.get_vocab().items():
-            self.ends[i] = token.endswith("</w>")
-        self.known: dict[str, bytes] = {}  # words
-        self.older: dict[str, bytes] = {}  # words of the generation before
-        self.parts: dict[str, bytes] = {}
-
-    def _encode_parts(self, parts: list[str]) -> None:
-        """Put the ids of runs of letters, and of other parts, into ``parts``."""
-        own = self.parts
-        runs = [x for x in parts if (x if x.isascii() else unicodedata.normalize("NFC", x).lower()).isalpha()]
-        for a in range(0, len(runs), 512):
-            some = runs[a:a + 512]
-            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
-            last = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
-            if len(last) == len(some):
-                flat, at = ids.tobytes(), 0
-                for x, end in zip(some, last):
-                    own[x] = flat[at:end]
-                    at = end
-        for x in parts:
-            if x not in own:
-                own[x] = np.array(self.library.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        """Put the ids of ``words`` into ``known``."""
-        known, older, own, split = self.known, self.older, self.parts, []
-        if len(own) > KNOWN_PARTS:
-            own.clear()
-        new = set()
-        for w in words:
-            ids = older.get(w)
-            if ids is not None:
-                known[w] = ids
-                continue
-            k = w.lower() if w.isascii() else w
-            core = k.rstrip(SIGNS)
-            if len(core) == len(k) or not core or not core[-1].isalpha():
-                core, tail = k, ""
-            else:
-                tail = k[len(core):]
-                if tail not in own:
-                    new.add(tail)
-            split.append((w, core, tail))
-            if core not in own:
-                new.add(core)
-        self._encode_parts(list(new))
-        for w, core, tail in split:
-            known[w] = own[core] + own[tail] if tail else own[core]
+        _LIBRARIES[path] = Library.from_file(path)
+    return _LIBRARIES[path]
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        words = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        if len(self.known) > KNOWN_WORDS:  # words still in use come back from the older ones
-            self.older, self.known = self.known, {}
-        known = self.known
-        self._learn(list({w for ws in words for w in ws if w not in known}))
-        return [np.frombuffer(b"".join([known[w] for w in ws]), dtype="<u4") for ws in words]
 
+class Words(dict):
+    """Rows of the words met; a new one is noted and gets the next row."""
+
+    def __init__(self, older: dict[str, int], rows: int):
+        self.older, self.rows, self.new, self.bytes = older, rows, [], 0
 
-_TOKENIZERS: dict[str, Tokenizer] = {}
+    def __missing__(self, word: str) -> int:
+        row = self.older.get(word)
+        if row is None:
+            row = self.rows + len(self.new)
+            self.new.append(word)
+        self[word] = row
+        self.bytes += len(word) + ENTRY_BYTES
+        return row
 
 
-def tokenizer(path: str) -> Tokenizer:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = Tokenizer(path)
-    return _TOKENIZERS[path]
+class Tokenizer:
+    """Whole-text ids of the tokenizers library, from its ids of single words.
+
+    The library makes letters and the signs after them separate tokens and
+    drops letter case, so a run of plain letters goes to its merges alone.
+    All other words are encoded by the library whole."""
+
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.library, self.bound = library(path), cache_bytes // 2
+        self.merges, self.tails = self.library.model.tokenize, {}
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.byte_form = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, ord(PLAIN_LETTERS)) if chr(c).isalpha()}
+        self.words = Words({}, 0)
+        self.flat, self.ends = np.empty(0, dtype="<u4"), np.zeros(1, dtype=np.int64)  # ids of all rows, end to end
+
+    def _whole(self, word: str) -> list[int]:
+        return self.library.encode(word, add_special_tokens=False).ids
+
+    def _tail(self, signs: str) -> list[int]:
+        """Ids of the signs behind a run of letters."""
+        ids = self.tails.get(signs)
+        if ids is None:
+            ids = self._whole(signs)
+            if len(signs) < 4:  # so many, and no more, are possible
+                self.tails[signs] = ids
+        return ids
+
+    def _learn(self) -> None:
+        """Ids of the new words, as rows after the known ones. Letters with
+        other signs or in other case than before are not merged again."""
+        words, get, older, merges = self.words, self.words.get, self.words.older, self.merges
+        if not words.new:
+            return
+        found, cores, known, flat, ends = [], {}, words.rows, self.flat, self.ends
+        for word, low in zip(words.new, "\n".join(words.new).lower().split("\n")):
+            core = low.rstrip(SIGNS)
+            plain = core.isascii()
+            if not core.isalpha() or not plain and max(core) >= PLAIN_LETTERS:
+                found.append(self._whole(word) if word else [])
+                continue
+            ids = cores.get(core)
+            if ids is None:
+                row = get(core, known) if core is not word else known
+                if row >= known:
+                    row = older.get(core, known)
+                if row < known:
+                    ids = flat[ends[row]:ends[row + 1]].tolist()
+                else:
+                    ids = [t.id for t in merges(core if plain else core.translate(self.byte_form))]
+                cores[core] = ids
+            found.append(ids + self._tail(low[len(core):]) if len(core) < len(low) else ids)
+        own = np.cumsum([len(x) for x in found]) + ends[-1]
+        self.flat = np.concatenate([flat, np.fromiter(chain.from_iterable(found), dtype="<u4", count=int(own[-1] - ends[-1]))])
+        self.ends = np.concatenate([ends, own])
+        words.rows, words.new = known + len(words.new), []
+
+    def _rows(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of rows end to end, and where each row ends."""
+        start = self.ends[rows]
+        size = self.ends[rows + 1] - start
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+    def _forget(self) -> None:
+        """Keep the words met since the last time, as the older generation."""
+        kept = self.words
+        self.flat, ends = self._rows(np.fromiter(kept.values(), dtype=np.int64, count=len(kept)))
+        self.ends = np.r_[0, ends]
+        self.words = Words(dict(zip(kept, range(len(kept)))), len(kept))
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        if self.words.bytes > self.bound:
+            self._forget()
+        row = self.words.__getitem__
+        rows = [np.fromiter(map(row, ws), dtype=np.int64, count=len(ws))
+                for ws in (t.replace("\n", " ").split(" ") if t else [] for t in texts)]
+        self._learn()
+        ids, ends = self._rows(np.concatenate(rows) if rows else np.empty(0, np.int64))
+        cuts = np.r_[0, ends][np.cumsum([0, *map(len, rows)])]
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 class Packer:
@@ -194,7 +229,7 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
     columns = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, code, end = TaskContext.get().partitionId(), tokenizer(tokenizer_path), np.array([end_id], dtype="<u4")
+        part, code, end = TaskContext.get().partitionId(), Tokenizer(tokenizer_path), np.array([end_id], dtype="<u4")
         packer = Packer(part << 32, window, n_open, min_cut)
         for whole in batches:
             for a in range(0, len(whole), rows):
@@ -210,7 +245,7 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
         if packer.out:
             yield pd.DataFrame(packer.out, columns=columns).assign(part=part, left=True)
 
-    def merge(key: tuple, pieces: pd.DataFrame) -> pd.DataFrame:
+    def merge(key: tuple, pieces: pd.DataFrame) -> pd.DataFrame:  # of the windows of a group
         packer = Packer((1 << 62) + (int(key[0]) << 32), window, n_open, min_cut)
         pieces = pieces.sort_values(["sequence_id", "offset"], kind="stable")
         for p in pieces.itertuples():
@@ -220,8 +255,10 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
 
     streamed = docs.select(F.col(f"`{doc_id}`").cast("long").cast("string").alias("d"), F.col(f"`{text}`").alias("t"))
     done = write_table(streamed.mapInPandas(stream, f"{PIECE}, part int, left boolean"), "packed")
-    merged = (done.where("left").drop("left").withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("part", F.floor(F.col("part") / group).cast("long"))
-              .groupBy("part").applyInPandas(merge, PIECE))
+    left = done.where("left").drop("left", "part")
+    groups = max(1, -(-left.where(F.col("offset") == 0).count() // group))  # a window has one piece at 0
+    merged = (left.withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("grp", F.pmod(F.xxhash64("sequence_id"), F.lit(groups)))
+              .groupBy("grp").applyInPandas(merge, PIECE))
     return done.where(~F.col("left")).drop("part", "left").unionByName(merged)
 
 

@@ -4,6 +4,8 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers as P
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from fraudlens.llm import packing as K
@@ -24,6 +26,28 @@ def test_ids_equal_the_library(library, spark):
         assert ids.tolist() == library.encode(t or "", add_special_tokens=False).ids
 
 
+#: Letters whose lower case or normal form ends in a mark or changes its length, marks, signs, digits.
+ODD_LETTERS = "abzİıÉéßẞǅΣσſÅŉkKǺ̧̇'.,!?;:%&#*$|-_<>\" \n\t12²½漢\u0250\u0085\u00a0"
+CODE = K.Tokenizer(PATH, 20_000)
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.text(alphabet=ODD_LETTERS, max_size=24), max_size=4))
+def test_ids_of_odd_letters_equal_the_library(texts):
+    library = K.library(PATH)
+    for t, ids in zip(texts, CODE.encode(texts)):
+        assert ids.tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_remembered_words_stay_within_their_bound(library):
+    code = K.Tokenizer(PATH, 40_000)
+    for i in range(60):
+        texts = [f"always the same words and w{i}x{j} too." for j in range(20)] + ["İ. xİ! Aİ,"]
+        for t, ids in zip(texts, code.encode(texts)):
+            assert ids.tolist() == library.encode(t, add_special_tokens=False).ids
+        assert code.words.bytes < 20_000 + 40 * 200 and len(code.words.older) < 300 and len(code.ends) < 600
+
+
 def check(rows, pieces, library, window=4096):
     """An exact round trip; returns the share of padding."""
     want = defaultdict(list)
@@ -71,6 +95,13 @@ def test_odd_rows_many_partitions_and_empty_table(spark, library):
     assert [r.doc_id for r in K.packing_query(none, PATH).collect()] and K.packing_query(none, PATH).first().doc_id is None
 
 
+def test_leftovers_are_merged_in_several_groups(spark, library):
+    df = docs(spark, ["some words of a text " * (i % 40 + 1) for i in range(300)]).repartition(8)
+    pieces = K.pack(df, PATH, group=3).selectExpr("doc_id", "start", "length", "crc32(ids) ids_crc32", "doc_tokens", "sequence_id", "offset").collect()
+    assert check([(r.doc_id, r.text) for r in df.collect()], pieces, library) < 0.05
+    assert len({p.sequence_id >> 32 for p in pieces if p.sequence_id >= 1 << 62}) > 1
+
+
 def test_bounded_space_and_best_fit():
     p = K.Packer(0, 100, 2, 16)
     for i, n in enumerate((60, 70, 35, 28)):
