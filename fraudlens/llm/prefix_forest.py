@@ -148,8 +148,9 @@ def nearest(rows: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
         ids, x = left["id"].to_numpy(), np.stack(left["v"].to_numpy())
-        whole = np.c_[ids.astype(np.float64), x]  # repeated rows count once
-        first = np.sort(np.unique(whole, axis=0, return_index=True)[1]) if len(np.unique(ids)) < len(ids) else slice(None)
+        different, number = np.unique(ids, return_inverse=True)  # numbers, as doubles do not tell large ids apart
+        # repeated rows count once
+        first = np.sort(np.unique(np.c_[number, x], axis=0, return_index=True)[1]) if len(different) < len(ids) else slice(None)
         forest = Forest(ids[first], x[first], trees, seed)
         found = forest.search(right["id"].to_numpy(), np.stack(right["v"].to_numpy()), k, share)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])

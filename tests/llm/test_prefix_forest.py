@@ -98,3 +98,11 @@ def test_descent_finds_the_longest_prefix():
     lo, hi = f.ranges(P.hash_strings(np.c_[x, np.zeros(300)], f.planes, 4), 1)
     assert (hi > lo).any(axis=1).all()
     assert f.sorted[0].tolist() == sorted(f.sorted[0].tolist())
+
+
+def test_large_ids_are_told_apart(spark):
+    big = 2 ** 53
+    rows = [(big, [1.0, 0.0]), (big + 1, [1.0, 0.0]), (big + 1, [1.0, 0.0]), (20, [0.5, 0.5]), (-2 ** 62, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert [i for i, _ in got(P.nearest(df, df.where("vec_id = 20")))[20]] == [-2 ** 62, big, big + 1]
+    assert got(P.nearest(df, df)) == brute(rows, rows, 20)
