@@ -266,11 +266,20 @@ def model_roc_curves(spark, sf_dir):
     return evaluate.roc_curve(model_scores(spark, sf_dir), by=["model"])
 
 
+_STUDIES: dict = {}
+
+
 def _study(model: str, seed: int):
     """H1-H3: ten seeded trials of a space, scored by validation AUC. The
     vectors (after PCA, for the two models that want it) are written once
-    and shared by the trials."""
+    and shared by the trials. Run once per application and folder."""
     def run(spark, sf_dir):
+        key = (spark.sparkContext.applicationId, sf_dir, model, seed)
+        if key not in _STUDIES:
+            _STUDIES[key] = study(spark, sf_dir)
+        return _STUDIES[key]
+
+    def study(spark, sf_dir):
         tr, va = _matrix(spark, sf_dir)
         if model in PCA_FIRST:
             tr, va = models.with_pca(tr, va)
