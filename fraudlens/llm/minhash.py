@@ -238,7 +238,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = write_table(sigs.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
                           .groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = sigs.join(classes.withColumnRenamed("rep", "doc_id").hint("merge"), ["doc_id", "n", "f1", "f2"], "left_semi")
-    reps = reps.dropDuplicates(["doc_id", "n", "f1", "f2"])  # a repeated row is one member
+    # a repeated row is one member; written, as three steps read it
+    reps = write_table(reps.dropDuplicates(["doc_id", "n", "f1", "f2"]), "representatives")
 
     # (merge hints: documents and their texts are dealt by id at any size, so
     # that a run on a sample moves its share of what the whole table will move)
