@@ -103,3 +103,38 @@ def test_modularity_equals_its_definition(spark):
     want = sum((A[i, j] - d[i] * d[j] / W) for i in range(20) for j in range(20) if c[i] == c[j]) / W
     assert abs(graph.modularity(edges, labels).first()["modularity"] - want) < 1e-12
     assert graph.modularity(edges.limit(0), labels).first()["modularity"] is None
+
+
+def test_rows_are_sent_a_fixed_number_of_times(spark, monkeypatch):
+    X, df = _vectors(spark, 1200, 4, 5)
+    X[100:130] = X[100]  # copies: ties
+    df = spark.createDataFrame([(i, X[i].tolist()) for i in range(len(X))], "id long, v array<double>")
+    k, sent, whole = 6, spark.sparkContext.accumulator(0), graph._stream_past
+
+    def counted(pivots, k):
+        run = whole(pivots, k)
+
+        def past(batches):
+            def seen():
+                for b in batches:
+                    sent.add(b.num_rows)
+                    yield b
+            yield from run(seen())
+        return past
+
+    monkeypatch.setattr(graph, "_stream_past", counted)
+    monkeypatch.setattr(graph, "GROUPS", 5)
+    got = {(r.src, r.dst, r["rank"]) for r in graph.knn_graph(df, "id", "v", k, rows_per_block=20).collect()}
+    D = ((X[:, None, :] - X[None, :, :]) ** 2).sum(-1)
+    np.fill_diagonal(D, np.inf)
+    assert got == {(i, int(j), r + 1) for i in range(len(X)) for r, j in enumerate(np.lexsort((np.arange(len(X)), D[i]))[:k])}
+    assert sent.value == 5 * len(X)  # sixty blocks, but five groups
+    # single precision, and a group bound that makes more groups
+    monkeypatch.setattr(graph, "GROUP_BYTES", 1200 * (4 * 8 + k * 24) // 9)
+    one = df.select("id", F.col("v").cast("array<float>").alias("v"))
+    got = {(r.src, r.dst, r["rank"]) for r in graph.knn_graph(one, "id", "v", k, rows_per_block=20).collect()}
+    X = X.astype(np.float32).astype(float)
+    D = ((X[:, None, :] - X[None, :, :]) ** 2).sum(-1)
+    np.fill_diagonal(D, np.inf)
+    assert got == {(i, int(j), r + 1) for i in range(len(X)) for r, j in enumerate(np.lexsort((np.arange(len(X)), D[i]))[:k])}
+    assert sent.value >= (5 + 9) * len(X)
