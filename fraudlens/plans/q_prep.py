@@ -14,12 +14,19 @@ from fraudlens.sources import adapters, sinks
 
 
 def joined_orders(spark: SparkSession, sf_dir: str, with_text: bool = True,
-                  text_stats: bool = False) -> DataFrame:
+                  text_stats: bool = False, presence: bool = False) -> DataFrame:
     """J1 over the orders adapter: content LEFT JOIN metadata. With
     ``text_stats`` the content carries per-document text statistics
-    instead of the text itself."""
+    instead of the text itself.
+
+    Many orders share one text, so the text stays out of the join's shuffle: the
+    content carries its document's id through J1 and takes the text behind it
+    (with ``presence``: an empty text instead of any)."""
     reviews = adapters.reviews_orders(spark, sf_dir, with_text=with_text, text_stats=text_stats)
     content, meta = adapters.split_content_meta(reviews)
+    if with_text and not text_stats:
+        content = adapters.split_content_meta(adapters.reviews_orders(spark, sf_dir, key_only=True))[0]
+        return adapters.order_texts(spark, sf_dir, prep.left_join_reviews(content, meta), presence)
     return prep.left_join_reviews(content, meta)
 
 
@@ -57,7 +64,7 @@ SELECT * FROM (
     for c in _NULL_COLS) + ")")
 def null_profile(spark, sf_dir):
     """NULL count of every column of the joined table."""
-    return prep.null_profile(joined_orders(spark, sf_dir).select(*_NULL_COLS))
+    return prep.null_profile(joined_orders(spark, sf_dir, presence=True).select(*_NULL_COLS))
 
 
 @query("label_map_recode", f"""

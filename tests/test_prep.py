@@ -109,3 +109,22 @@ def test_a_written_table_is_not_written_again(spark):
     from fraudlens.session import write_table, written
     df = write_table(spark.range(5), "once")
     assert written(df) is df and written(df.where("id > 1")) is not df and written(df.where("id > 1")).count() == 3
+
+
+def test_texts_join_behind_j1_and_repeats_still_multiply(spark, tmp_path):
+    from fraudlens.plans import q_prep
+    from fraudlens.sources import adapters
+
+    put = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    put("documents", [(0, "zero"), (1, "one"), (1, "uno"), (2, None), (None, "lost")], "doc_id long, text string")
+    put("orders", [(1, 7, "F", D, "1-URGENT"), (2, 7, "O", D, "2-HIGH"), (6, 7, "F", D, "3-MEDIUM"), (6, 7, "F", D, "3-MEDIUM"), (11, None, "F", D, None), (None, 8, "O", D, "5")],
+        "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp, o_orderpriority string")
+    put("lineitem", [(1, 5), (1, 4), (2, 4), (6, 4), (11, 3)], "l_orderkey long, l_partkey long")
+    got = q_prep.joined_orders(spark, str(tmp_path))
+    plain = prep.left_join_reviews(*adapters.split_content_meta(adapters.reviews_orders(spark, str(tmp_path)))).select(*got.columns)
+    assert got.count() == plain.count() and got.exceptAll(plain).count() == 0
+    profile = lambda df: {r.column_name: r.null_count for r in prep.null_profile(df.select(*q_prep._NULL_COLS)).collect()}
+    assert {r.column_name: r.null_count for r in q_prep.null_profile(spark, str(tmp_path)).collect()} == profile(plain)
+    # the text meets the rows in the last join, not before the one on user, product and date
+    joins = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftOuter" in line]
+    assert "doc_key" in joins[0] and "user_id" not in joins[0]
