@@ -168,3 +168,26 @@ def test_tsv_lines_keep_their_tabs_and_bad_lines_are_named(spark):
     assert sorted(r._corrupt or "" for r in kept) == ["", "1\t2", "x\t2\t5.0\t-1\td"]
     with pytest.raises(Exception, match="does not fit"):
         tsv.read_metadata(spark, f"{home}/meta").collect()
+
+
+def test_fits_do_not_depend_on_how_the_rows_lie(spark, monkeypatch):
+    """A small table is one task, wherever its rows come from."""
+    from fraudlens.operators import fitlog, models
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 3))
+    rows = [(i, int(x[i] @ x[i] < 2.4), x[i].tolist()) for i in range(300)]
+    wide = spark.createDataFrame(rows, "id long, label int, features array<double>").repartition(7)
+    one = spark.createDataFrame(rows[::-1], "id long, label int, features array<double>").coalesce(1)
+    assert models._dealt(wide).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(models, "ROWS_PER_TASK", 100)
+    assert models._dealt(wide).rdd.getNumPartitions() == 3
+    prob = lambda df: {r.id: r.prob for r in models.fit_forest(df, one, n_estimators=5, max_depth=3).collect()}
+    assert prob(wide) == prob(one)
+    fitlog.taken()
+    models.fit_svm(wide, one, max_iter=3, n_folds=2).collect()
+    assert [r["model"] for r in fitlog.taken()] == ["svm"] * 3  # two folds and the whole
+    # the wide rows are mapped as they are read, in pieces
+    f = models._rff(3, 16, 0.5, 1)
+    got = {r.id: r["_z"] for r in models._mapped(wide, f, 3, rows=11).collect()}
+    assert all(np.allclose(got[i], f(x[i:i + 1])[0], rtol=0, atol=1e-12) for i in range(300))
