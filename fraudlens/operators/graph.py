@@ -336,47 +336,108 @@ def _whole_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return v.where(F.col("id").isNotNull() & F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull()))
 
 
+#: Rows of a bucket that one task looks neighbours up for, at least and at most.
+LSH_ROWS = (1024, 65536)
+
+
+def _bucket_topk(asked: DataFrame, rows: DataFrame, n: int, k: int) -> DataFrame:
+    """``(src, dst, d2)``: of every bucket ``(slot, bucket)`` of ``asked`` the
+    ``k`` nearest of its rows to each. A bucket's askers are cut into groups and all
+    its rows stream past each group, so no pair leaves its task unless it is
+    among the ``k`` best."""
+    size = max(LSH_ROWS[0], min(LSH_ROWS[1], n // 16))
+    cuts = asked.groupBy("slot", "bucket").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("cuts"))
+    # a bucket is a share of the spread: they are few, however many rows there are
+    ask = asked.join(F.broadcast(cuts), ["slot", "bucket"]).withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), F.col("cuts")).cast("int"))
+    look = rows.join(F.broadcast(cuts), ["slot", "bucket"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    one = lambda df, side: df.select("slot", "bucket", "part", F.lit(side).alias("side"), "id", "vec")
+    sent = one(ask, 0).unionByName(one(look, 1))
+    dealt = sent.repartition(max(8, min(1024, n // 500)), "slot", "bucket", "part").sortWithinPartitions("slot", "bucket", "part", "side")
+
+    def run(batches):
+        group, at, own = None, None, []
+
+        def opened():
+            ids, x = np.concatenate([b.column("id").to_numpy() for b in own]), np.concatenate([_vectors_of(b) for b in own])
+            return _Group(ids, x, np.zeros(len(ids)), np.zeros(len(ids)), None, k)
+
+        for whole in batches:
+            keys = list(zip(*(whole.column(c).to_pylist() for c in ("slot", "bucket", "part", "side"))))
+            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a == b:
+                    continue
+                if keys[a][:3] != at:
+                    if group is not None:
+                        yield from group.edges()
+                    group, at, own = None, keys[a][:3], []
+                if keys[a][3] == 0:
+                    own.append(whole.slice(a, b - a))
+                    continue
+                if group is None:
+                    group, own = opened(), []
+                some = whole.slice(a, b - a)
+                group.meet(some.column("id").to_numpy(), _vectors_of(some), 0, 0.0, 0.0)
+        if group is not None:
+            yield from group.edges()
+
+    return dealt.mapInArrow(run, EDGE_SCHEMA)
+
+
 def knn_graph_lsh(df: DataFrame, id_col: str, vec_col: str, k: int = 50, bucket_length: float | None = None,
                   num_hash_tables: int = 3, seed: int = 42) -> DataFrame:
-    """Approximate kNN with ``BucketedRandomProjectionLSH``: neighbours
+    """Approximate kNN by ``BucketedRandomProjectionLSH``: neighbours
     are looked for among the rows that share a bucket in some hash table and
     ranked by exact distance, like G1. Same schema; recall below 1 is the
     price of less work, but every vertex gets ``min(k, n - 1)`` neighbours:
     vertices that found fewer are searched again, against all rows, with
-    buckets twice as long, until none is left.
+    buckets twice as long, until none is left. Buckets longer than every
+    vector hold all rows, on whichever side of zero they lie. Vectors that are
+    not finite take no part.
 
     ``bucket_length`` starts at half the spread of the data along a random
-    direction (root mean variance per slot) unless given. No distance bound
-    is set, so no candidate of a bucket is dropped."""
+    direction (root mean variance per slot) unless given. All pairs of a bucket
+    are compared, inside tasks (``_bucket_topk``): the shuffle is a few copies of
+    the table and ``k`` edges a row and hash table."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    v = write_table(_whole_vectors(df, id_col, vec_col), "lsh-vectors")
-    n = v.count()
+    odd = F.exists("vec", lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
+    v = write_table(_whole_vectors(df, id_col, vec_col).where(~odd), "lsh-vectors")
+    n, most, width = v.agg(F.count(F.lit(1)), F.max(F.array_max(F.transform("vec", F.abs))), F.max(F.size("vec"))).first()
     want = min(k, n - 1)
-    if bucket_length is None:
+    if bucket_length is None and n:
         spread = v.select(F.posexplode("vec").alias("slot", "x")).groupBy("slot").agg(F.var_pop("x").alias("s")).agg(F.avg("s")).first()[0]
         bucket_length = 0.5 * math.sqrt(spread) if spread else 1.0
-    rows = v.withColumn("v", array_to_vector(F.col("vec").cast("array<double>"))).select("id", "v")
+    rows = v.dropDuplicates(["id", "vec"])
+    if want > 0:
+        rows = write_table(rows.withColumn("v", array_to_vector(F.col("vec").cast("array<double>"))), "lsh-rows")
     out, asked = None, rows
-    w = Window.partitionBy("src").orderBy("dist", "dst")
+    w = Window.partitionBy("src")
     while want > 0:
+        last = bucket_length > most * math.sqrt(width)
         model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=float(bucket_length),
                                             numHashTables=num_hash_tables, seed=seed).fit(rows)
-        pairs = (model.approxSimilarityJoin(asked, rows, float("inf"), distCol="dist")
-                      .select(F.col("datasetA.id").alias("src"), F.col("datasetB.id").alias("dst"), "dist")
-                      .where(F.col("src") != F.col("dst")))
-        ranked = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= want)
-        found = write_table(ranked, "lsh-neighbours")
-        done = found.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == want).select(F.col("src").alias("id"))
-        part = found.join(done.withColumnRenamed("id", "src"), "src", "left_semi")
+
+        def buckets(some):
+            if last:
+                return some.select(F.lit(0).alias("slot"), F.lit(0.0).alias("bucket"), "id", "vec")
+            hashed = model.transform(some).select("id", "vec", F.posexplode("h").alias("slot", "_h"))
+            return hashed.select("slot", vector_to_array("_h")[0].alias("bucket"), "id", "vec")
+
+        near = _bucket_topk(buckets(asked), buckets(rows), n, want).repartition("src").dropDuplicates(["src", "dst", "d2"])
+        found = write_table(near.withColumn("rank", F.row_number().over(w.orderBy("d2", "dst"))).withColumn("got", F.count(F.lit(1)).over(w))
+                            .where(F.col("rank") <= want), "lsh-neighbours")
+        part = found if last else found.where(F.col("got") >= want)
         out = part if out is None else out.unionByName(part)
-        asked = write_table(asked.join(done, "id", "left_anti"), "lsh-unfinished")
+        if last:
+            break
+        asked = write_table(asked.join(part.where(F.col("rank") == want).select(F.col("src").alias("id")), "id", "left_anti"), "lsh-unfinished")
         if asked.isEmpty():
             break
         bucket_length *= 2.0
     if out is None:
-        out = v.sparkSession.createDataFrame([], "src long, dst long, dist double, rank int")
+        out = v.sparkSession.createDataFrame([], "src long, dst long, rank int")
     return out.select("src", "dst", F.lit(1.0).alias("weight"), F.col("rank").cast("int").alias("rank"))
 
 

@@ -180,8 +180,7 @@ def _truth(spark, sf_dir) -> DataFrame:
 def knn_lsh(spark, sf_dir):
     """Approximate 50-NN graph by bucketed random projections."""
     e = adapters.load_table(spark, sf_dir, "embeddings")
-    e = e.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    return graph.knn_graph_lsh(e, "vec_id", "v", K, num_hash_tables=4)
+    return graph.knn_graph_lsh(e, "vec_id", "embedding", K, num_hash_tables=4)
 
 
 @query("knn_descent")

@@ -137,6 +137,36 @@ def test_lsh_gives_each_vertex_k_neighbours(spark):
     assert graph.knn_graph_lsh(df.limit(0), "id", "v", 3).count() == 0
 
 
+def test_lsh_meets_all_rows_of_its_buckets(spark, monkeypatch):
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 3, (150, 4))
+    x[100:130] = x[0]  # copies
+    df = spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(x)], "id long, v array<double>")
+    vec = df.select("id", array_to_vector("v").alias("v"))
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=6.0, numHashTables=2, seed=3).fit(vec)
+    h = {r["id"]: [b[0] for b in r["h"]] for r in model.transform(vec).collect()}
+    d2 = ((x[:, None] - x[None, :]) ** 2).sum(axis=2)
+    want = {}
+    for i in h:
+        near = sorted((d2[i, j], j) for j in h if j != i and any(a == b for a, b in zip(h[i], h[j])))
+        if len(near) >= 5:
+            want[i] = [j for _, j in near[:5]]
+    monkeypatch.setattr(graph, "LSH_ROWS", (16, 16))
+    got = {}
+    for r in graph.knn_graph_lsh(df, "id", "v", 5, bucket_length=6.0, num_hash_tables=2, seed=3).orderBy("src", "rank").collect():
+        got.setdefault(r["src"], []).append(r["dst"])
+    assert len(want) > 100 and all(got[i] == want[i] for i in want)
+    assert len(got) == 150 and all(len(set(g)) == 5 for g in got.values())
+
+
+def test_lsh_ends_where_no_bucket_spans_zero(spark):
+    df = spark.createDataFrame([(1, [5.0, 5.0]), (2, [-5.0, -5.0]), (3, [float("nan"), 0.0]), (4, None)], "id long, v array<double>")
+    assert sorted((r["src"], r["dst"]) for r in graph.knn_graph_lsh(df, "id", "v", 3).collect()) == [(1, 2), (2, 1)]
+
+
 def test_null_vectors_and_texts(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [None, 1.0]), (None, [1.0, 1.0])], "id long, v array<double>")
     assert {(r.src, r.dst) for r in graph.knn_graph(df, "id", "v", 2).collect()} == {(1, 2), (2, 1)}
