@@ -47,6 +47,22 @@ def test_sums_over_many_slices_equal_one(spark, monkeypatch):
     assert abs(one[0] - (loss + 0.05 * w @ w) / len(y)) < 1e-12
 
 
+def test_slices_lie_in_tasks_of_their_own_and_sums_in_smaller_ones(spark, monkeypatch):
+    tr, _ = ring(spark)
+    net = mlp.Net((2, 6, 1), "tanh")
+    theta = net.start(1)
+    one = mlp.Table(tr, "id", "features", "label").gradient(net, theta, 0.1)
+    monkeypatch.setattr(mlp, "SLICE_ROWS", 60)
+    monkeypatch.setattr(mlp, "SUM_ROWS", 25)
+    monkeypatch.setattr(mlp, "BLOCK_ROWS", 8)
+    for sums, tasks in ((False, 5), (True, 12)):
+        table = mlp.Table(tr, "id", "features", "label", sums=sums)
+        files = table.rows.groupBy(F.input_file_name().alias("file")).agg(F.countDistinct("slice").alias("slices"), F.sum(F.length("y") / 8).alias("rows")).collect()
+        assert table.tasks == len(files) == tasks and all(f.slices == 1 for f in files) and sum(f.rows for f in files) == 300
+        got = table.gradient(net, theta, 0.1)
+        assert abs(one[0] - got[0]) < 1e-12 and np.allclose(one[1], got[1], atol=1e-12)
+
+
 @pytest.mark.parametrize("params", [{"solver": "lbfgs", "activation": "tanh", "alpha": 1e-2}, {"solver": "adam", "learning_rate_init": 0.02, "tol": 1e-3},
                                     {"solver": "sgd", "learning_rate": "adaptive", "learning_rate_init": 0.05, "tol": 1e-3}])
 def test_solvers_find_a_ring_and_say_that_they_converged(spark, params):
