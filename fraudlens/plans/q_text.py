@@ -43,7 +43,7 @@ p AS (SELECT a.id AS i, b.id AS j FROM toks a JOIN toks b ON a.doc_id = b.doc_id
 SELECT i, j, CAST(count(*) AS BIGINT) AS n FROM (SELECT i, j FROM p UNION ALL SELECT j AS i, i AS j FROM p) GROUP BY i, j""")
 def cooccurrence(spark, sf_dir):
     """Co-occurrence counts of hashed words within five places, over whole texts."""
-    d = adapters.load_table(spark, sf_dir, "documents").select(text.token_ids("text", text.LEARNED_VOCAB).alias("ids"))
+    d = text.spread(adapters.load_table(spark, sf_dir, "documents").select("text"), 4096).select(text.token_ids("text", text.LEARNED_VOCAB).alias("ids"))
     return text.cooccurrence(d, "ids")
 
 

@@ -108,3 +108,23 @@ def test_cooccurrence_counts_and_ppmi(spark):
     got = {(r.i, r.j): r.n for r in text.cooccurrence(df, "ids", 2).collect()}
     assert got == {(1, 2): 2, (2, 1): 2, (1, 1): 2, (2, 3): 1, (3, 2): 1, (1, 3): 1, (3, 1): 1}
     assert all(r.v > 0 for r in text.ppmi(text.cooccurrence(df, "ids", 2)).collect())
+
+
+def test_cooccurrence_of_many_pieces_equals_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [None, [], [3]] + [[int(x) for x in rng.integers(1, 9, n)] for n in (2, 3, 40, 0, 7, 1, 90)]
+    want = {}
+    for ids in texts:
+        for a, b in ((a, b) for a in range(len(ids or [])) for b in range(len(ids)) if 0 < abs(a - b) <= 3):
+            want[ids[a], ids[b]] = want.get((ids[a], ids[b]), 0) + 1
+    monkeypatch.setattr(text, "PAIR_TOKENS", 5)
+    df = spark.createDataFrame([(i,) for i in texts], "ids array<long>").coalesce(1)
+    got = text.cooccurrence(df, "ids", 3).collect()
+    assert len(got) == len(want) and {(r.i, r.j): r.n for r in got} == want
+
+
+def test_texts_of_one_file_are_dealt_over_tasks(spark):
+    df = spark.range(3000).select("id", F.lit("a b c").alias("t")).coalesce(1)
+    cnn = text.cnn_embedding(df, "t", vocab=64, emb=4, channels=2)
+    assert cnn.select(F.spark_partition_id().alias("p"), "cnn").groupBy("p").count().count() == 3
+    assert cnn.select("cnn").distinct().count() == 1
