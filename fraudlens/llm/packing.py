@@ -44,7 +44,7 @@ WINDOW, N_OPEN, MIN_CUT, END_ID = 4096, 32, 16, 2
 #: Leftover windows that one task merges.
 GROUP = 256
 #: Memory of the remembered words of a task, and what one takes beside its letters.
-CACHE_BYTES, ENTRY_BYTES = 64 << 20, 190
+CACHE_BYTES, ENTRY_BYTES = 96 << 20, 190
 #: Signs that may follow a run of letters and are tokens of their own.
 SIGNS = ".,!?;:%&#*$|"
 #: Letters below this one are in normal form, and Python lower-cases them as the library does.
@@ -118,15 +118,17 @@ class Tokenizer:
         found, cores, known, flat, ends = [], {}, words.rows, self.flat, self.ends
         for word, low in zip(words.new, "\n".join(words.new).lower().split("\n")):
             core = low.rstrip(SIGNS)
-            plain = core.isascii()
-            if not core.isalpha() or not plain and max(core) >= PLAIN_LETTERS:
-                found.append(self._whole(word) if word else [])
-                continue
             ids = cores.get(core)
             if ids is None:
-                row = get(core, known) if core is not word else known
-                if row >= known:
-                    row = older.get(core, known)
+                plain = core.isascii()
+                if not core.isalpha() or not plain and max(core) >= PLAIN_LETTERS:
+                    found.append(self._whole(word) if word else [])
+                    continue
+                row = known
+                if core != word:  # the word itself is new
+                    row = get(core, known)
+                    if row >= known:
+                        row = older.get(core, known)
                 if row < known:
                     ids = flat[ends[row]:ends[row + 1]].tolist()
                 else:

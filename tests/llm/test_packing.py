@@ -48,6 +48,20 @@ def test_remembered_words_stay_within_their_bound(library):
         assert code.words.bytes < 20_000 + 40 * 200 and len(code.words.older) < 300 and len(code.ends) < 600
 
 
+def test_words_of_a_large_vocabulary_are_merged_once(library, monkeypatch):
+    code, merged = K.Tokenizer(PATH), []
+    merges = code.merges
+    code.merges = lambda w: merged.append(w) or merges(w)
+    letters = "abcdefghijklmnopqrst"
+    words = ["".join(letters[i // 20 ** k % 20] for k in range(5)) for i in range(250_000)]
+    for _ in range(2):
+        for a in range(0, len(words), 20_000):
+            text = " ".join(words[a:a + 20_000])
+            ids = code.encode([text])[0]
+            assert a or ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(merged) == len(words)
+
+
 def check(rows, pieces, library, window=4096):
     """An exact round trip; returns the share of padding."""
     want = defaultdict(list)
