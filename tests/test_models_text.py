@@ -27,6 +27,14 @@ def test_separable_auc(separable, fit):
     assert evaluate.roc_auc(pred, score_col="prob").first().roc_auc > 0.95
 
 
+def test_logistic_rows_lie_in_few_tasks(spark, monkeypatch):
+    rows = spark.range(20_000).select("id", (F.col("id") % 2).cast("int").alias("label"), F.array(F.rand(1), F.rand(2)).alias("features"))
+    seen, dealt = [], models._dealt
+    monkeypatch.setattr(models, "_dealt", lambda *a: seen.append(dealt(*a)) or seen[-1])
+    models.fit_logreg(rows, rows.limit(5), max_iter=5)
+    assert seen[0].select(F.spark_partition_id()).distinct().count() == 1 and seen[0].count() == 20_000
+
+
 def test_token_ids_and_cnn_partition_invariant(spark):
     rows = [(i, f"word{i % 5} Über straße {i} x_y") for i in range(20)]
     df = spark.createDataFrame(rows, "id long, t string")
