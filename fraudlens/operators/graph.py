@@ -30,8 +30,10 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fraudlens.operators.ordering import ordered_rank
 from fraudlens.session import write_table
@@ -441,6 +443,74 @@ def knn_graph_lsh(df: DataFrame, id_col: str, vec_col: str, k: int = 50, bucket_
     return out.select("src", "dst", F.lit(1.0).alias("weight"), F.col("rank").cast("int").alias("rank"))
 
 
+def _closest(src: np.ndarray, dst: np.ndarray, d2: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The ``k`` nearest of each ``src``, a pair once: (src, dst, d2, place from 0)."""
+    order = np.lexsort((dst, d2, src))
+    src, dst, d2 = src[order], dst[order], d2[order]
+    once = np.ones(len(src), dtype=bool)
+    once[1:] = (src[1:] != src[:-1]) | (dst[1:] != dst[:-1])
+    src, dst, d2 = src[once], dst[once], d2[once]
+    starts = np.flatnonzero(np.r_[True, src[1:] != src[:-1]]) if len(src) else np.empty(0, np.int64)
+    place = np.arange(len(src)) - np.repeat(starts, np.diff(np.r_[starts, len(src)]))
+    keep = place < k
+    return src[keep], dst[keep], d2[keep], place[keep]
+
+
+#: Rows of a cell of neighbour descent at least and at most, and pairs that a
+#: task holds before it thins them out.
+DESCENT_ROWS, DESCENT_PAIRS = (256, 8192), 1 << 20
+
+
+def _meet(k: int):
+    """Brings the rows of a cell's lists ``(fresh, stale)`` together, from its
+    rows ``(u, vec, far)``: pairs of which one is fresh and that are nearer than
+    ``far``. No more than the ``k`` nearest of a row leave the cell; others cannot
+    be among its ``k`` nearest of all cells."""
+    def meet(lists: pa.Table, rows: pa.Table) -> pa.Table:
+        ids = rows.column("u").to_numpy()
+        order = np.argsort(ids)
+        ids, far = ids[order], rows.column("far").to_numpy()[order]
+        x = np.concatenate([_raw(c) for c in rows.column("vec").chunks])[order]
+        bound, slack = np.full(len(ids), np.inf), 1e-9 * (1.0 + np.einsum("ij,ij->i", x, x, dtype=np.float64).max(initial=0.0))
+        none = np.empty(0, np.int64)
+        best, held, more = (none, none, np.empty(0)), [], 0
+
+        def thin():
+            nonlocal best, held, more
+            s, d, e, place = _closest(*(np.concatenate(c) for c in zip(best, *held)), k)
+            last = place == k - 1
+            bound[s[last]] = e[last]
+            best, held, more = (s, d, e), [], 0
+
+        for b in lists.to_batches():
+            fresh, stale = b.column("fresh"), b.column("stale")
+            one, two = (np.searchsorted(ids, c.flatten().to_numpy()) for c in (fresh, stale))
+            ends = [np.r_[0, np.cumsum(pc.list_value_length(c).to_numpy())] for c in (fresh, stale)]
+            for r in range(b.num_rows):
+                young = one[ends[0][r]:ends[0][r + 1]]
+                at = np.r_[young, two[ends[1][r]:ends[1][r + 1]]]
+                near = x[at].astype(np.float64)
+                d2 = _square_distances(near, near)
+                np.fill_diagonal(d2, np.inf)
+                d2[len(young):, len(young):] = np.inf
+                # (places among ids keep the order of the ids)
+                i, j = np.nonzero((d2 < far[at][:, None]) & (d2 <= (bound[at] * (1.0 + 1e-9) + slack)[:, None]))
+                diff = near[i] - near[j]
+                held.append((at[i], at[j], np.einsum("ij,ij->i", diff, diff)))
+                more += len(i)
+                if more > DESCENT_PAIRS:
+                    thin()
+        thin()
+        return pa.table({"src": ids[best[0]], "dst": ids[best[1]], "d2": best[2]})
+
+    return meet
+
+
+def _raw(vectors: pa.Array) -> np.ndarray:
+    """Vectors of equal length as a matrix of their own type."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+
+
 def knn_graph_descent(df: DataFrame, id_col: str, vec_col: str, k: int = 50, sample: int | None = None, projections: int = 3,
                       rows_per_block: int = 1024, tol: float = 0.001, max_rounds: int = 50, seed: int = 42) -> DataFrame:
     """Approximate kNN by neighbour descent. Same schema as G1; every
@@ -452,8 +522,14 @@ def knn_graph_descent(df: DataFrame, id_col: str, vec_col: str, k: int = 50, sam
     together, in both directions of the edges (a vertex that very many rows
     point to takes part with as few as any other), and each of them keeps the
     ``k`` nearest it has met. It ends when a round changes less than ``tol`` of
-    the edges, and raises if ``max_rounds`` are not enough."""
-    v = write_table(_whole_vectors(df, id_col, vec_col).withColumn("vec", F.col("vec").cast("array<double>")).dropDuplicates(["id"]), "descent-vectors")
+    the edges, and raises if ``max_rounds`` are not enough.
+
+    Vertices meet in cells of rows that lie close (``pivot_blocks``): a vector
+    is sent once to each cell whose vertices bring it, in the input's own
+    precision, instead of once to each vertex."""
+    single = df.schema[vec_col].dataType == T.ArrayType(T.FloatType(), df.schema[vec_col].dataType.containsNull)
+    v = _whole_vectors(df, id_col, vec_col).withColumn("vec", F.col("vec").cast("array<float>" if single else "array<double>"))
+    v = write_table(v.dropDuplicates(["id"]), "descent-vectors")
     n = v.count()
     k = min(k, n - 1)
     empty = v.sparkSession.createDataFrame([], "src long, dst long, weight double, rank int")
@@ -469,9 +545,12 @@ def knn_graph_descent(df: DataFrame, id_col: str, vec_col: str, k: int = 50, sam
         return pd.DataFrame(dict(zip(("src", "dst", "d2"), _topk(ids, x, ids, x, k))))
 
     def k_best(edges: DataFrame) -> DataFrame:
-        """The k nearest of each vertex; an edge that was there before is not new."""
-        one = edges.groupBy("src", "dst").agg(F.min("d2").alias("d2"), F.min("new").alias("new"))
-        return write_table(one.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "descent-graph")
+        """The k nearest of each vertex. ``was`` is the mark of an edge that was
+        there before, ``used`` says that it has taken part as a new one: it is old from now on."""
+        one = edges.repartition("src").groupBy("src", "dst").agg(F.min("d2").alias("d2"), F.min("was").alias("was"), F.max("used").alias("used"))
+        mark = F.when(F.col("was").isNull(), 1).when(F.col("used") == 1, 0).otherwise(F.col("was"))
+        ranked = one.where("d2 is not null").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        return write_table(ranked.select("src", "dst", "d2", mark.alias("new"), "rank", F.col("was").isNotNull().alias("kept")), "descent-graph")
 
     size = max(rows_per_block, 2 * (k + 1))
     start = None
@@ -482,39 +561,27 @@ def knn_graph_descent(df: DataFrame, id_col: str, vec_col: str, k: int = 50, sam
         blocks = ranked.withColumn("blk", F.floor((F.col("_rank") - 1) * max(1, n // size) / n))
         part = blocks.select("blk", "id", "vec").groupBy("blk").applyInPandas(inside, EDGE_SCHEMA)
         start = part if start is None else start.unionByName(part)
-    graph = k_best(start.withColumn("new", F.lit(1)))
-
-    def meet(batches):
-        for b in batches:
-            out = []
-            for row in b["near"]:
-                ids = np.array([r["u"] for r in row], dtype=np.int64)
-                x = np.array([r["vec"] for r in row], dtype=np.float64)
-                new = np.array([r["new"] for r in row], dtype=bool)
-                far = np.array([r["far"] for r in row], dtype=np.float64)
-                d2 = _square_distances(x, x)
-                d2[ids[:, None] == ids[None, :]] = np.inf
-                i, j = np.nonzero((d2 < far[:, None]) & (new[:, None] | new[None, :]))
-                diff = x[i] - x[j]
-                out.append(pd.DataFrame({"src": ids[i], "dst": ids[j], "d2": np.einsum("ij,ij->i", diff, diff)}))
-            if out:
-                yield pd.concat(out)
+    found_as = lambda e: e.select("src", "dst", "d2", F.lit(None).cast("int").alias("was"), F.lit(0).alias("used"))
+    graph = k_best(found_as(start))
+    rows = min(DESCENT_ROWS[1], max(DESCENT_ROWS[0], n // 24))
+    cells = write_table(pivot_blocks(v, n, rows)[0].select(F.col("id").alias("v"), F.col("blk").alias("cell")), "descent-cells")
 
     for _ in range(max_rounds):
         far = graph.groupBy("src").agg(F.max("d2").alias("far")).withColumnRenamed("src", "u")
-        pick = lambda e, by, to: e.select(F.col(by).alias("v"), F.col(to).alias("u"), "new").withColumn("i", F.row_number().over(
-            Window.partitionBy("v", "new").orderBy(F.xxhash64("v", "u", F.lit(int(rng.integers(1 << 30))))))).where(F.col("i") <= sample).drop("i")
-        met = pick(graph, "src", "dst").unionByName(pick(graph, "dst", "src")).groupBy("v", "u").agg(F.max("new").alias("new"))
-        met = write_table(met, "descent-met")
-        lists = (met.join(v.withColumnRenamed("id", "u"), "u").join(far, "u")
-                 .groupBy("v").agg(F.collect_list(F.struct("u", "vec", "new", "far")).alias("near")))
-        found = lists.select("near").mapInPandas(meet, EDGE_SCHEMA)
-        # an edge that took part as a new one is old from now on
-        used = met.where("new = 1").select(F.col("v").alias("src"), F.col("u").alias("dst"), F.lit(0).alias("used"))
-        old = graph.join(used, ["src", "dst"], "left").select("src", "dst", "d2", F.when(F.col("used").isNull(), F.col("new")).otherwise(F.lit(0)).alias("new"))
-        before = graph
-        graph = k_best(old.unionByName(found.withColumn("new", F.lit(1))))
-        kept = graph.join(before, ["src", "dst"], "left_semi").count()
+        ways = [graph.select(F.col(a).alias("v"), F.col(b).alias("u"), "new", F.lit(int(rng.integers(1 << 30))).alias("way")) for a, b in (("src", "dst"), ("dst", "src"))]
+        drawn = Window.partitionBy("v", "new", "way").orderBy(F.xxhash64("v", "u", "way"))
+        picked = ways[0].unionByName(ways[1]).repartition("v").withColumn("i", F.row_number().over(drawn)).where(F.col("i") <= sample)
+        met = (picked.groupBy("v", "u").agg(F.max("new").alias("new"))
+               .groupBy("v").agg(*[F.collect_list(F.when(F.col("new") == m, F.col("u"))).alias(name) for m, name in ((1, "fresh"), (0, "stale"))]))
+        met = write_table(met.where(F.size("fresh") > 0).join(cells, "v"), "descent-met")
+        asked = met.select("cell", F.explode(F.concat("fresh", "stale")).alias("u")).repartition("u").groupBy("u", "cell").agg(F.lit(1).alias("one"))
+        sent = asked.join(v.withColumnRenamed("id", "u").join(far, "u"), "u").select(F.col("cell").alias("at"), "u", "vec", "far")
+        found = met.select("cell", "fresh", "stale").groupBy("cell").cogroup(sent.groupBy("at")).applyInArrow(_meet(k), EDGE_SCHEMA)
+        used = met.select(F.col("v").alias("src"), F.explode("fresh").alias("dst"))
+        before = graph.select("src", "dst", "d2", F.col("new").alias("was"), F.lit(0).alias("used"))
+        used = used.select("src", "dst", F.lit(None).cast("double").alias("d2"), F.lit(None).cast("int").alias("was"), F.lit(1).alias("used"))
+        graph = k_best(before.unionByName(used).unionByName(found_as(found)))
+        kept = graph.where("kept").count()
         if n * k - kept <= tol * n * k:
             break
     else:

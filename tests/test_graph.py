@@ -84,6 +84,35 @@ def test_descent_gives_k_neighbours_and_recall(spark):
     assert graph.knn_graph_descent(df.limit(1), "id", "v", 3).count() == 0
 
 
+def test_descent_meets_in_cells_like_brute_force(spark, monkeypatch):
+    """A vector comes once to a cell, in its own precision; only the k best of a row leave it."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(graph, "DESCENT_PAIRS", 50)
+    rng, k = np.random.default_rng(3), 4
+    X = rng.normal(size=(30, 5)).astype(np.float32)
+    X[7] = X[8] = X[9]
+    ids, far = rng.permutation(30) * 10, np.full(30, 9.0)
+    lists = [rng.permutation(30)[:12] for _ in range(20)]
+    got = graph._meet(k)(pa.table({"cell": [1] * 20, "fresh": [ids[m[:5]].tolist() for m in lists], "stale": [ids[m[5:]].tolist() for m in lists]}),
+                         pa.table({"at": [1] * 30, "u": ids, "vec": pa.array(list(X), pa.list_(pa.float32())), "far": far}))
+    near = {}
+    for m in lists:
+        for a, i in enumerate(m):
+            for b, j in enumerate(m):
+                d = float(((X[i].astype(float) - X[j].astype(float)) ** 2).sum())
+                if i != j and (a < 5 or b < 5) and d < 9.0:
+                    near.setdefault(int(ids[i]), {})[int(ids[j])] = d
+    want = {(i, j) for i, js in near.items() for j, _ in sorted(js.items(), key=lambda e: (round(e[1], 9), e[0]))[:k]}
+    assert set(zip(got["src"].to_pylist(), got["dst"].to_pylist())) == want and got.num_rows == len(want)
+
+    Y = rng.normal(size=(400, 8)).astype(np.float32)
+    rows = [(i, [float(x) for x in y]) for i, y in enumerate(Y)]
+    edges = [{(r.src, r.dst, r["rank"]) for r in graph.knn_graph_descent(spark.createDataFrame(rows, f"id long, v array<{t}>"), "id", "v", 6, rows_per_block=64).collect()}
+             for t in ("float", "double")]
+    assert edges[0] == edges[1] and len(edges[0]) == 2400
+
+
 def test_view_edges_are_the_symmetrised_fusion(spark):
     _, df = _vectors(spark, 40, 4, 2)
     views = {"a": graph.knn_graph(df, "id", "v", 3), "b": graph.knn_graph(df, "id", "v", 6)}
