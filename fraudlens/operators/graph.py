@@ -257,7 +257,7 @@ def _vectors_of(b: pa.RecordBatch) -> np.ndarray:
 
 
 def _stream_past(pivots: np.ndarray | None, k: int):
-    """Rows sorted by group, the group's own first (``side`` 0), then by block."""
+    """Rows sorted by group, the group's own first (``side`` 0, at least one), then by block."""
     def run(batches):
         group, at, own = None, None, []
 
@@ -323,7 +323,9 @@ def knn_graph(df: DataFrame, id_col: str, vec_col: str, k: int = 50, n_blocks: i
         blocked, pivots, rings = pivot_blocks(v, n, rows_per_block)
         groups = max(min(GROUPS, math.ceil(n / rows_per_block)), math.ceil(n * (width * 8 + k * 24) / GROUP_BYTES))
         before = rings["rows"].cumsum() - rings["rows"]
-        names = rings[["blk"]].assign(own=(before * groups // n).astype("int32"))
+        # a block may be longer than a group's share: groups without a block are not counted
+        own, kept = pd.factorize(before * groups // n)
+        names, groups = rings[["blk"]].assign(own=own.astype("int32")), len(kept)
         placed = blocked.join(F.broadcast(v.sparkSession.createDataFrame(names)), "blk").select("id", "vec", "cell", "r", "blk", "own")
     sent = placed.withColumn("qa", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(
         "id", "vec", "cell", "r", "blk", "qa", F.when(F.col("qa") == F.col("own"), 0).otherwise(1).alias("side"))

@@ -167,3 +167,15 @@ def test_rows_are_sent_a_fixed_number_of_times(spark, monkeypatch):
     np.fill_diagonal(D, np.inf)
     assert got == {(i, int(j), r + 1) for i in range(len(X)) for r, j in enumerate(np.lexsort((np.arange(len(X)), D[i]))[:k])}
     assert sent.value >= (5 + 9) * len(X)
+
+
+def test_blocks_longer_than_a_groups_share_leave_no_empty_group(spark):
+    X = np.repeat([[0.0, 1.0], [1.0, 1.0]], [13, 28], axis=0)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "id long, v array<double>")
+    rings = graph.pivot_blocks(df.withColumnRenamed("v", "vec"), len(X), 20)[2]
+    assert rings["rows"].tolist() == [13, 20, 8]  # the second third of the rows has no block that begins in it
+    k = 4
+    got = {(r.src, r.dst, r.rank) for r in graph.knn_graph(df, "id", "v", k, rows_per_block=20).collect()}
+    D = ((X[:, None, :] - X[None, :, :]) ** 2).sum(-1)
+    np.fill_diagonal(D, np.inf)
+    assert got == {(i, int(j), n + 1) for i in range(len(X)) for n, j in enumerate(np.lexsort((np.arange(len(X)), D[i]))[:k])}
