@@ -101,3 +101,27 @@ def test_wrappers_do_not_take_their_article_with_them():
         assert H.decide(H.blocks(page)) == (want, [])
     teasers = '<div class="sidebar"><article>card</article></div><p>Real long text of the page stands here.</p>'
     assert H.decide(H.blocks(teasers)) == ([], ["Real long text of the page stands here."])
+
+
+def test_repetition_decides_what_lies_outside_an_article(spark):
+    footer = "All rights reserved by the example company of nowhere at all in 2024"
+    quote = "a passage that every article of this host quotes in the same nine words"
+    lead = [" ".join(f"lead{i}x{j}" for j in range(12)) for i in range(4)]
+
+    def page(i):
+        return f"<p>{lead[i]}</p><article><p>{ARTICLES[i]}</p><p>{quote}</p></article><p>by someone</p><div>{footer}</div>"
+
+    rows = [(i, "http://one.example/p", page(i)) for i in range(4)] + [(9, "http://one.example/q", f"<div>{ARTICLES[9]}</div><div>{footer}</div>")]
+    rows += [(10 + i, "http://two.example/p", page(i)) for i in range(2)]  # too few pages for a verdict
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    before = H.ASKED_TOKENS
+    try:
+        for chunk, some in ((500_000, before), (40, before), (40, 0)):
+            H.ASKED_TOKENS = some
+            got = {r.page_id: r.text for r in H.main_text(df, chunk_tokens=chunk).collect()}
+            assert all(got[i] == f"{lead[i]}\n{ARTICLES[i]}\n{quote}" for i in range(4))
+            assert got[9] == ARTICLES[9]
+            assert all(got[10 + i] == f"{ARTICLES[i]}\n{quote}" for i in range(2))
+    finally:
+        H.ASKED_TOKENS = before
+    assert H.decide(H.blocks(page(0))) == ([ARTICLES[0], quote], [lead[0], footer])
