@@ -80,3 +80,19 @@ def test_rand_index_by_group_equals_one_by_one(spark):
     got = {r.g: r.ari for r in evaluate.adjusted_rand_index_by(df, ["g"]).collect()}
     for g in range(3):
         assert got[g] == pytest.approx(evaluate.adjusted_rand_index(df.where(F.col("g") == g)).first()["ari"], abs=1e-12)
+
+
+def test_label_rules_of_the_review_clusters_share_one_eigenvector_run(spark, monkeypatch):
+    from fraudlens.plans import q_graph
+
+    edges = _cliques(spark, True).withColumn("rank", F.lit(1))
+    v = spark.range(20).select(F.col("id").alias("review_id"), (F.col("id") >= 10).cast("int").alias("label"))
+    monkeypatch.setattr(q_graph, "review_graphs", lambda *_: (v, {name: edges for name in q_graph.REVIEW_VIEWS}))
+    runs, whole = [], cluster.second_eigenvectors
+    monkeypatch.setattr(cluster, "second_eigenvectors", lambda *a, **kw: runs.append(1) or whole(*a, **kw))
+    found = q_graph.review_clusters(spark, "made rows").collect()
+    assert len(found) == 40 and len(runs) == 1
+    for how in ("cluster_qr", "kmeans"):
+        sides = {r.label: {x.cluster for x in found if x.assign == how and x.label == r.label} for r in found}
+        assert all(len(s) == 1 for s in sides.values()) and sides[0] != sides[1]
+    assert [round(r.ari, 6) for r in q_graph.review_cluster_agreement(spark, "made rows").collect()] == [1.0, 1.0] and len(runs) == 1
